@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -40,3 +42,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+
+def rows_of(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
+    """Python values; unlike pandas, Arrow keeps a long beside a null exact."""
+    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def batch_of(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [*zip(*rows, strict=True)] or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

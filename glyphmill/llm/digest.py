@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import written
+from glyphmill.llm.common import arrow_schema, batch_of, rows_of, written
 
 BUCKETS = 256
 #: Offsets of the three bytes of a triplet in a window: wide, so that buckets follow the document more than its
@@ -65,7 +66,7 @@ def edited(text: str, following: str) -> str:
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_OUT_NAMES = [x.split()[0] for x in _OUT.split(", ")]
+_ENDS = "part int, end int, end_id long, end_text string, end_mark string"
 
 
 def _compared(doc_id, text: str, own: str, following: str, its: str) -> tuple:
@@ -96,28 +97,22 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = rows.repartitionByRange(order[0]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, out, part, first = None, [], 0, True
+    walk_schema, out_schema = arrow_schema(f"{_OUT}, {_ENDS}"), arrow_schema(_OUT)
+    no_out, no_end = (None,) * len(out_schema), (None,) * (len(walk_schema) - len(out_schema))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, part = None, 0
         for batch in batches:
-            for doc_id, text, part in zip(batch["doc_id"], batch["text"], batch["part"], strict=True):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+            out = []
+            for doc_id, text, part in rows_of(batch):
                 own = digest(text)
-                if first:
-                    out.append((None,) * len(_OUT_NAMES) + (part, 0, doc_id, text, own))
-                    first = False
-                else:
-                    out.append((*_compared(*last, text, own), None, None, None, None, None))
+                out.append((*_compared(*last, text, own), *no_end) if last else (*no_out, part, 0, doc_id, text, own))
                 last = (doc_id, text, own)
-            yield frame(out)
-            out = []
+            yield batch_of(out, walk_schema)
         if last:
-            yield frame([(None,) * len(_OUT_NAMES) + (part, 1, *last)])
+            yield batch_of([(*no_out, part, 1, *last)], walk_schema)
 
-    def frame(out: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(out, columns=[*_OUT_NAMES, "part", "end", "end_id", "end_text", "end_mark"])
-        return made.astype({c: "Int64" for c in ("doc_id", "n_chars", "part", "end", "end_id")} | {c: "Float64" for c in ("near_edited", "near_next")})
-
-    walked = written(ranges.mapInPandas(walk, f"{_OUT}, part int, end int, end_id long, end_text string, end_mark string"), "digest-ranges")
+    walked = written(ranges.mapInArrow(walk, f"{_OUT}, {_ENDS}"), "digest-ranges")
     ends = walked.where("end is not null").select("part", "end", "end_id", "end_text", "end_mark")
     # two rows for each range at most: ranks of the ranges that have rows link the last of one to the first of the next
     ranks = ends.where("end = 0").select("part", F.row_number().over(Window.orderBy("part")).alias("rank"))
@@ -126,13 +121,9 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     firsts = ranked.where("end = 0").select(F.col("rank").alias("link"), F.col("end_text").alias("next_text"), F.col("end_mark").alias("next_mark"))
     lasts = ranked.where("end = 1").withColumn("link", F.col("rank") % F.col("n") + 1)
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [
-                _compared(None if pd.isna(i) else int(i), text, own, following, its)
-                for i, text, own, following, its in zip(batch["end_id"], batch["end_text"], batch["end_mark"], batch["next_text"], batch["next_mark"], strict=True)
-            ]
-            yield pd.DataFrame(out, columns=_OUT_NAMES).astype({"doc_id": "Int64"})
-
-    seams = lasts.join(firsts, "link").select("end_id", "end_text", "end_mark", "next_text", "next_mark").mapInPandas(joined, _OUT)
-    return walked.where("end is null").select(*_OUT_NAMES).unionByName(seams)
+            yield batch_of([_compared(*row) for row in rows_of(batch)], out_schema)
+
+    seams = lasts.join(firsts, "link").select("end_id", "end_text", "end_mark", "next_text", "next_mark").mapInArrow(joined, _OUT)
+    return walked.where("end is null").select(*out_schema.names).unionByName(seams)

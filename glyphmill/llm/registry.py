@@ -8,5 +8,7 @@ QUERIES = queries.QUERIES
 ORACLES = {
     "op1_topk": oracles.OP1,
     "op2_line_dedup": oracles.OP2,
+    "op7_minhash": oracles.OP7,
+    "op8_warc": oracles.OP8,
     "op3_url_filter": oracles.op3(queries.URL_RULES, urls.STRICT, urls.SOFT, urls.MIN_SOFT),
 }
