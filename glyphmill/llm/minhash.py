@@ -9,16 +9,16 @@ blocks in a task of its own.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import written
+from glyphmill.llm.common import arrow_schema, batch_of, rows_of, written
 
 BANDS, ROWS = 24, 5
 N_HASHES = BANDS * ROWS
@@ -29,8 +29,6 @@ SIGMAS = 5.0
 #: Members of a group that one task compares.
 BLOCK = 2000
 
-_WORD = re.compile("[^\\x20\\x09-\\x0D]+")
-_UPPER = {c: c + 32 for c in range(65, 91)}
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**32, N_HASHES, dtype=np.uint32)[:, None] | np.uint32(1)
 _B = _rng.integers(0, 2**32, N_HASHES, dtype=np.uint32)[:, None]
@@ -39,10 +37,10 @@ _B = _rng.integers(0, 2**32, N_HASHES, dtype=np.uint32)[:, None]
 class _Words(dict):
     """Hashes of words; the memory of a worker stays bounded."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
@@ -51,7 +49,7 @@ _words = _Words()
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles; all its words as one if there are fewer than width."""
-    words = _WORD.findall((text or "").translate(_UPPER) if not (text or "").isascii() else text.lower())
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # on bytes, both know ASCII only
     if not words:
         return np.zeros(0, dtype=np.uint64)
     h = np.array([_words[w] for w in words], dtype=np.uint64)
@@ -113,10 +111,33 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
     return out
 
 
-def linked(members: DataFrame, edges_of: Callable[[pd.DataFrame], list[tuple[int, int]]]) -> DataFrame:
-    """Spanning-forest edges (a, b) of every group. members: group, node and what edges_of reads.
+def sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The groups of rows that come sorted by their first n_keys columns."""
+    left = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([left, rows]).combine_chunks() if left is not None else rows
+        if not rows.num_rows:
+            continue
+        new = np.zeros(rows.num_rows, dtype=bool)
+        for k in range(n_keys):
+            key = rows.column(k).to_numpy()
+            new[1:] |= key[1:] != key[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield rows.slice(a, b - a)
+        left = rows.slice(cuts[-1])
+    if left is not None:
+        yield left
 
-    A group of up to BLOCK members is one block; of a larger one, each two blocks meet in a task.
+
+_EDGES = "a long, b long"
+
+
+def linked(members: DataFrame, payload: str, edges_of: Callable[[list[bytes]], list[tuple[int, int]]]) -> DataFrame:
+    """Spanning-forest edges (a, b) of every group. members: group, node and the payload that edges_of compares.
+
+    A group of up to BLOCK members is one block; of a larger one, each two blocks meet in a task. A task streams its groups.
     """
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -124,13 +145,21 @@ def linked(members: DataFrame, edges_of: Callable[[pd.DataFrame], list[tuple[int
     pair = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
     )
-    spread = dealt.withColumn("pair", F.explode(pair)).drop("blocks", "own")
+    spread = dealt.withColumn("pair", F.explode(pair)).select("group", "pair.*", "node", payload)
+    keys, schema = ("group", "i", "j"), arrow_schema(_EDGES)
 
-    def edges(group: pd.DataFrame) -> pd.DataFrame:
-        nodes = group["node"].to_numpy()
-        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in edges_of(group)], columns=["a", "b"]).astype("int64")
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for group in sorted_groups(batches, len(keys)):
+            if group.num_rows > 1:
+                nodes = group.column("node").to_pylist()
+                out += [(nodes[i], nodes[j]) for i, j in edges_of(group.column(payload).to_pylist())]
+            if len(out) > 10_000:
+                yield batch_of(out, schema)
+                out = []
+        yield batch_of(out, schema)
 
-    return spread.groupBy("group", "pair").applyInPandas(edges, "a long, b long")
+    return spread.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(edges, _EDGES)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,17 +191,17 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
 
 
-def _by_signature(least: float) -> Callable[[pd.DataFrame], list[tuple[int, int]]]:
-    def edges_of(group: pd.DataFrame) -> list[tuple[int, int]]:
-        marks = np.frombuffer(b"".join(group["bits"]), dtype=np.uint8).reshape(len(group), -1)
+def _by_signature(least: float) -> Callable[[list[bytes]], list[tuple[int, int]]]:
+    def edges_of(group: list[bytes]) -> list[tuple[int, int]]:
+        marks = np.frombuffer(b"".join(group), dtype=np.uint8).reshape(len(group), -1)
         return forest(len(group), lambda i, rest: estimate(marks[i], marks[rest]) >= least)
 
     return edges_of
 
 
-def _by_sets(percent: int) -> Callable[[pd.DataFrame], list[tuple[int, int]]]:
-    def edges_of(group: pd.DataFrame) -> list[tuple[int, int]]:
-        sets = [np.frombuffer(b, dtype=np.uint64) for b in group["found"]]
+def _by_sets(percent: int) -> Callable[[list[bytes]], list[tuple[int, int]]]:
+    def edges_of(group: list[bytes]) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(b, dtype=np.uint64) for b in group]
         sizes = np.array([len(s) for s in sets])
         # an inverted index of the group: the members of each shingle, so that one search counts all intersections
         owner = np.repeat(np.arange(len(sets)), sizes)
@@ -211,13 +240,19 @@ def _signed(text: Column, width: int) -> Column:
     return F.pandas_udf(sign, "n_shingles long, same binary, bits binary, bands array<long>")(text)
 
 
-def _sets(text: Column, width: int) -> Column:
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            found = [shingles(t, width).tobytes() for t in texts]
-            yield pd.DataFrame({"same": [xxhash.xxh3_128_digest(b) for b in found], "found": found})
+_SETS = "node long, same binary, found binary"
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """The full sets of (doc_id, text) rows. A row map, so that no filter on its input is moved behind it."""
+    schema = arrow_schema(_SETS)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(node, shingles(text, width).tobytes()) for node, text in rows_of(batch)]
+            yield batch_of([(node, xxhash.xxh3_128_digest(b), b) for node, b in found], schema)
 
-    return F.pandas_udf(whole, "same binary, found binary")(text)
+    return texts.mapInArrow(whole, _SETS)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -241,15 +276,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bands = classes.select("node", F.explode("bands").alias("group"))
     crowded = bands.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
     in_bands = bands.join(crowded, "group").join(classes.select("node", "bits"), "node")
-    candidates = components(linked(in_bands, _by_signature(least_estimate(percent))))
+    candidates = components(linked(in_bands, "bits", _by_signature(least_estimate(percent))))
     clusters = written(candidates.select(F.col("label").alias("group"), "node"), "near-clusters")
 
     # the full sets of candidates only are made again; of rows that repeat an id, one with the class's own set is taken
     own = classes.join(clusters, "node").select("node", "group", "same")
     ids = with_set.join(own, (with_set["doc_id"] == own["node"]) & (with_set["same"] == own["same"]), "left_semi").select("doc_id").distinct()
-    found = texts.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), _sets(F.col("text"), width).alias("m")).select("node", "m.*")
+    found = _sets(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text"), width)
     members = found.join(own, ["node", "same"]).dropDuplicates(["node", "same"]).select("group", "node", "found")
-    links = components(linked(members, _by_sets(percent)))
+    links = components(linked(members, "found", _by_sets(percent)))
 
     named = classes.select("same", "node").join(links, "node", "left").select("same", F.coalesce("label", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "same").join(named, "same", "left")
