@@ -40,7 +40,7 @@ def light_stem(w: Column) -> Column:
     """Drops one of ings, ing, ers, ed, es and s from words of over six characters if four stay, then one l of a final ll."""
     cut = F.regexp_replace(w, "(ings|ing|ers|ed|es|s)$", "")
     stem = F.when((F.length(w) > 6) & (F.length(cut) >= 4), cut).otherwise(w)
-    return F.when((stem != w) & F.endswith(stem, F.lit("ll")), F.expr("substring")(stem, 1, F.length(stem) - 1) if False else F.substring(stem, F.lit(1), F.length(stem) - 1)).otherwise(stem)
+    return F.when((stem != w) & F.endswith(stem, F.lit("ll")), F.substring(stem, F.lit(1), F.length(stem) - 1)).otherwise(stem)
 
 
 def query_words(x: Column) -> Column:
