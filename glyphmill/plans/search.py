@@ -25,7 +25,9 @@ def postings(rows: DataFrame, key: str, columns: tuple[tuple[str, float], ...])
 
     weighted = F.concat(*[F.transform(w, weighing(x)) for w, (_, x) in zip(words, columns, strict=True)])
     size = sum((F.size(w) for w in words), F.lit(0))
-    return rows.select(key, size.alias("len"), F.explode(weighted).alias("p")).groupBy(key, "len", F.col("p.t").alias("term")).agg(F.sum("p.w").alias("tf"))
+    # beside a generator, the length would be made again for each term
+    per_row = rows.select(key, size.alias("len"), weighted.alias("all"))
+    return per_row.select(key, "len", F.explode("all").alias("p")).groupBy(key, "len", F.col("p.t").alias("term")).agg(F.sum("p.w").alias("tf"))
 
 
 def bm25(rows: DataFrame, key: str, columns: tuple[tuple[str, float], ...], query_text: str) -> DataFrame:
