@@ -6,28 +6,12 @@ reread. Frontiers are joined, never collected; Spark broadcasts one only where i
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def materialised(df: DataFrame, name: str = "step") -> DataFrame:
-    """Written to spark.checkpoint.dir, or in local mode to a temporary folder, and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-glyphmill-"))
-    path = f"{base}/graph-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from glyphmill.operators.storage import materialised
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, *, stop: Column | None = None, directed: bool = True) -> DataFrame:
     """(id, depth): nodes within `depth` edges of any seed (a column id), by shortest distance.
