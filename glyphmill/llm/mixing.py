@@ -117,16 +117,17 @@ def _buckets(u: Column) -> tuple[Column, Column]:
     return F.pmod(u, F.lit(BUCKETS)), F.pmod(F.shiftright(u, 20), F.lit(BUCKETS))
 
 
-def cuts(units: DataFrame, wanted: DataFrame) -> DataFrame:
+def cuts(units: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
     """Which units (key, id, hash, u, size) to take so that the sizes taken of each key come near its `want`.
 
     Units come in the order of u, a seeded hash. Bucket sums find where the running size passes `want`, and only the rows of one
     bucket of a bucket are summed one by one, so that a key with most of the rows is spread over all tasks. What is then
-    still missing is filled by the largest unit that fits, FITS times. Returns one row for each key: bounds c1, c2 and
+    still missing is filled by the largest unit that fits, FITS times among those not taken and FITS times among all below
+    `most` times, and at last by the smallest that overshoots by less. Returns one row for each key: bounds c1, c2 and
     last, and the units `fits` beyond them. Nothing here is larger than a few rows for each key.
     """
     b1, b2 = _buckets(F.col("u"))
-    rows = units.join(F.broadcast(wanted.where("want > 0")), "key").withColumns({"b1": b1, "b2": b2})
+    rows = units.join(F.broadcast(wanted.where("want > 0").select("key", "want")), "key").withColumns({"b1": b1, "b2": b2})
     order = Window.partitionBy("key")
 
     def passed(sums: DataFrame, by: str, base: Column) -> DataFrame:
@@ -143,24 +144,32 @@ def cuts(units: DataFrame, wanted: DataFrame) -> DataFrame:
     run = inner.withColumn("upto", F.col("w2") + F.sum("size").over(order.orderBy("u", "id", "hash"))).where(F.col("upto") <= F.col("want"))
     last = run.groupBy("key").agg(F.max(F.struct("u", "id", "hash")).alias("last"), F.max("upto").alias("upto"))
     found = c1.join(c2, "key").join(last, "key", "left").withColumn("fits", F.array().cast("array<struct<id:bigint,hash:bigint>>"))
-    found = found.join(wanted, "key").withColumn("gap", F.col("want") - F.coalesce("upto", "w2")).select("key", "c1", "c2", "last", "fits", "gap")
-    for _ in range(FITS):
-        found = written(found, "mix-found")
-        free = units.join(F.broadcast(found), "key").where((F.col("size") > 0) & (F.col("size") <= F.col("gap"))).where(~inside(F.col("u"), F.struct("id", "hash")))
-        best = free.groupBy("key").agg(F.max(F.struct("size", "u", "id", "hash")).alias("best"))
-        found = found.join(best, "key", "left").select(
-            "key", "c1", "c2", "last", F.when(F.col("best").isNull(), F.col("fits")).otherwise(F.concat("fits", F.array(F.struct("best.id", "best.hash")))).alias("fits"),
+    found = found.join(wanted.select("key", "want"), "key").withColumn("gap", F.col("want") - F.coalesce("upto", "w2")).select("key", "c1", "c2", "last", "fits", "gap")
+    room = found.join(wanted.select("key", "whole"), "key")
+    for i in range(2 * FITS + 1):
+        found = written(room, "mix-found")
+        fits = (F.col("size") <= F.col("gap")) if i < 2 * FITS else (F.col("size") > F.col("gap")) & (F.col("size") < 2 * F.col("gap"))
+        unit = F.struct("id", "hash")
+        times = F.col("whole") + within(F.col("u"), unit).cast("int")  # the second FITS rounds may repeat what is in already
+        open_ = (times < most) if i >= FITS else (times == F.col("whole"))
+        free = units.join(F.broadcast(found), "key").where(fits & (F.col("size") > 0) & open_ & ~fitted(unit))
+        best = free.groupBy("key").agg((F.max if i < 2 * FITS else F.min)(F.struct("size", "u", "id", "hash")).alias("best"))
+        room = found.join(best, "key", "left").select(
+            "key", "c1", "c2", "last", "whole", F.when(F.col("best").isNull(), F.col("fits")).otherwise(F.concat("fits", F.array(F.struct("best.id", "best.hash")))).alias("fits"),
             (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
         )
-    return written(found, "mix-found").drop("gap")
+    return written(room, "mix-found").drop("gap", "whole")
 
 
-def inside(u: Column, unit: Column) -> Column:
+def fitted(unit: Column) -> Column:
+    return F.exists("fits", lambda f: f.eqNullSafe(unit))
+
+
+def within(u: Column, unit: Column) -> Column:
     """Whether a unit is within the cuts of its key."""
     b1, b2 = _buckets(u)
     upto = F.coalesce(F.struct(u.alias("u"), unit["id"].alias("id"), unit["hash"].alias("hash")) <= F.col("last"), F.lit(False))
-    bucket = (b1 < F.col("c1")) | ((b1 == F.col("c1")) & ((b2 < F.col("c2")) | ((b2 == F.col("c2")) & upto)))
-    return bucket | F.exists("fits", lambda f: f.eqNullSafe(unit))
+    return (b1 < F.col("c1")) | ((b1 == F.col("c1")) & ((b2 < F.col("c2")) | ((b2 == F.col("c2")) & upto)))
 
 
 def mix(
@@ -197,9 +206,11 @@ def mix(
     share = docs.sparkSession.createDataFrame(told, "key long, srcs array<string>, source_size long, target double, whole long, want long")
     keyed = sized.join(F.broadcast(share), sized["srcs"].eqNullSafe(share["srcs"])).select("key", "id", "hash", "size")
     units = written(keyed.groupBy("key", "id", "hash").agg(F.sum("size").alias("size")).withColumn("u", _hashed(seed)), "mix-units")
-    marks = share.join(cuts(units, share.select("key", "want")), "key", "left").withColumnsRenamed({c: f"__{c}" for c in ("srcs", "source_size", "target", "whole")})
+    marks = share.join(cuts(units, share.select("key", "want", "whole"), most), "key", "left").withColumnsRenamed({c: f"__{c}" for c in ("srcs", "source_size", "target", "whole")})
     names = {"id": F.col(id_col).cast("long"), "hash": text_hash, "srcs": srcs, "size": n_words(F.col(text_col))}
     own = base.select(F.struct(*base.columns).alias("doc"), *[c.alias(k) for k, c in names.items()])
     taken = own.join(F.broadcast(marks), F.col("srcs").eqNullSafe(F.col("__srcs")))
-    extra = F.coalesce(inside(_hashed(seed), F.struct("id", "hash")), F.lit(False)).cast("long")
-    return taken.select("doc.*", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * (F.col("__whole") + extra)).alias("taken"))
+    unit = F.struct("id", "hash")
+    extra = F.coalesce(within(_hashed(seed), unit).cast("long"), F.lit(0)) + F.coalesce(fitted(unit).cast("long"), F.lit(0))
+    taken = taken.withColumn("__taken", F.col("size") * (F.col("__whole") + extra))  # before the columns of docs, which may have such names
+    return taken.select("doc.*", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))

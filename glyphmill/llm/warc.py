@@ -18,7 +18,7 @@ END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Records of an archive file at most; a reader holds one file at a time.
 FILE_RECORDS = 2000
-FIRST_CAPTURE = 1704067200  # 2024-01-01; a page's capture date is so many seconds, plus its id, after the epoch
+FIRST_CAPTURE = 1704067200  # 2024-01-01; a page's capture date is so many seconds, plus its id (mod 10^9), after the epoch
 
 
 def base32(sha1_hex: Column) -> Column:
@@ -46,7 +46,7 @@ def records(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, min_r
     rows = rows.join(last, "sha1", "left")
     revisit = (F.octet_length("payload") >= min_revisit_bytes) & F.coalesce((F.col("page_id") < F.col("last")) | (F.col("page_id").isNull() & F.col("last").isNotNull()), F.lit(False))
     body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    date = F.date_format(F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     target = F.translate("url", "\r\n", "")
     return rows.select(
