@@ -69,7 +69,8 @@ def test_front(engine):
     out = engine.dev_context("why does parse header crash", [1.0, 0.0], seeds=1)
     best = out["symbols"].orderBy(F.desc("score"), "id").first()["id"]
     assert out["intent"] == "debug" and [r["id"] for r in out["graph"].where("role = 'seed'").collect()] == [best] and out["memories"].count() == 2
-    assert engine.explore("parse header").first()["file_path"] == "src/http/parse.go"
+    files = {r["file_path"]: r["symbols"] for r in engine.explore("parse header").collect()}
+    assert files == {"src/http/c.java": 1, "src/http/parse.go": 1, "src/http/head.go": 1, "src/http/parse_test.go": 1}
 
 
 def test_prefixed_routes(spark):
