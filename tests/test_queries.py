@@ -15,6 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHOSEN = [
     "search_idf_name", "search_bm25_nodes", "search_by_path_tiers", "join_feedback_asof", "join_repeat_detection", "join_set_containment", "join_dead_code", "join_path_overlap",
     "agg_node_metrics", "agg_pattern_stats", "agg_auto_anchor", "window_top_per_name", "reward_stats", "reward_three_strikes", "reward_history_hourly", "vector_knn_per_type",
+    "resolve_import_mappings", "resolve_import_paths", "resolve_chain_calls", "context_field_query", "scan_strip_comments", "scan_prefixed_routes", "scan_embedded_blocks",
     "graph_bfs", "graph_shortest_path", "graph_cycles", "resolve_best_match", "fn_path_proximity", "eval_recall_mrr",
 ]
 
