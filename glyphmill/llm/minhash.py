@@ -255,8 +255,12 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(whole, _SETS)
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """For each row: doc_id, n_shingles long, component_id long, kept boolean.
+    """For each row: doc_id, n_shingles long, component_id long, kept boolean, text_hash long (xxhash64, which with the id tells rows apart).
 
     Documents are linked where 100 * intersection >= percent * union of their sets of distinct word shingles, A-Z
     lower-cased; with fewer than width words, the whole sequence is the one shingle. component_id is the smallest id
@@ -269,7 +273,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     under one in ten thousand for s = 0.8. Confirmed links are exact.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(texts.select("doc_id", _signed(F.col("text"), width).alias("m")).select("doc_id", "m.*"), "near-signed")
+    signed = written(texts.select("doc_id", text_hash(F.col("text")).alias("text_hash"), _signed(F.col("text"), width).alias("m")).select("doc_id", "text_hash", "m.*"), "near-signed")
     with_set = signed.where("doc_id is not null AND n_shingles > 0")
     classes = written(with_set.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "near-classes")
 
@@ -287,7 +291,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = components(linked(members, "found", _by_sets(percent)))
 
     named = classes.select("same", "node").join(links, "node", "left").select("same", F.coalesce("label", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "same").join(named, "same", "left")
+    out = signed.select("doc_id", "n_shingles", "text_hash", "same").join(named, "same", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "same")
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
