@@ -77,7 +77,7 @@ FROM v_traces WHERE ts > (SELECT max(ts) FROM v_traces) - INTERVAL 24 HOUR""")
 def dashboard_summary(s, d):
     """Of the last 24 hours."""
     t = b.traces(s, d).select("ts", "repo", "additional_files")
-    newest = t.where(F.col("ts") > F.expr(f"timestamp_ntz '{t.agg(F.max('ts')).first()[0]}' - interval 24 hours"))
+    newest = t.crossJoin(F.broadcast(t.agg(F.max("ts").alias("newest")))).where("ts > newest - interval 24 hours")  # one row
     counts = newest.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("additional_files") > 0).alias("with_feedback"), F.count_distinct("repo").alias("repos"))
     return counts.crossJoin(b.nodes(s, d).agg(F.count(F.lit(1)).alias("symbols")))  # one row each
 
@@ -137,7 +137,7 @@ def fp_expiry(s, d):
     """False positives of a memory are forgotten after days without a new one."""
     t = b.traces(s, d).select("k", "ts", "event_type")
     seen = t.where("event_type = 'error'").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
-    return seen.where(F.col("last") >= F.expr(f"timestamp_ntz '{t.agg(F.max('ts')).first()[0]}' - interval {FP_DAYS} days")).select("k", "n")
+    return seen.crossJoin(F.broadcast(t.agg(F.max("ts").alias("newest")))).where(f"last >= newest - interval {FP_DAYS} days").select("k", "n")  # one row
 
 
 @query("fn_widen_breadth", f"SELECT p_partkey, least({MAX_BREADTH}, greatest(base + base // 2, base + 1))::INTEGER AS breadth FROM (SELECT p_partkey, CASE WHEN p_size % 20 > 0 THEN p_size % 20 ELSE {BREADTH} END AS base FROM part)")
