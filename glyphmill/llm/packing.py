@@ -218,7 +218,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
 
     def joined(tail: pa.Table) -> pa.Table:
         out, room, n = [], 0, -1
-        found = sorted(rows_of(tail), key=lambda r: (r[1:], r[0] is None, r[0] or 0))
+        found = sorted(rows_of(tail), key=lambda r: (r[1] is None, r[1] or 0, r[2:]))  # r[0] is the bin
         for number, doc, start, length, crc, total in found:
             base = (1 << 62) + (number << 32)
             if length > room:
