@@ -11,6 +11,9 @@ from glyphmill.llm.common import table, written
 #: The rows depend on hashes, on a trained model and on a tokenizer; tests hold them against brute force instead.
 ORACLE_SQL = None
 
+#: A repeated line of so many words is a passage.
+PASSAGE_WORDS = 50
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels beside them, rejects go."""
@@ -24,11 +27,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+def passages(docs: DataFrame) -> DataFrame:
+    """Lines of 50 or more words stay at their first place only, from the second document on."""
+    out = linededup.dedup_lines(docs, min_docs=2, min_words=PASSAGE_WORDS, keep_first=True)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more.
+
+    Passages that the documents left still share go after that: taken out before, copies would leave fragments that no longer match.
+    """
     gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     same = (F.col("doc_id") == F.col("__id")) & (minhash.text_hash(F.col("text")) == F.col("__hash"))  # rows that share an id are judged each
-    return docs.join(gone, same, "left_anti").select(docs.columns)
+    return passages(written(docs.join(gone, same, "left_anti").select(docs.columns), "near-kept"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

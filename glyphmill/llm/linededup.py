@@ -18,10 +18,13 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _key(line: Column, min_chars: int) -> Column:
+def _key(line: Column, min_chars: int, min_words: int) -> Column:
     """Two 64-bit hashes with different seeds; null if the key is too short to count."""
     key = F.translate(F.trim(line, F.lit(BLANKS)), UPPER, LOWER)
-    return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
+    counts = F.length(key) >= max(min_chars, 2 * min_words - 1)
+    if min_words > 1:  # lines of fewer characters aren't split
+        counts &= F.size(F.split(key, f"[{BLANKS}]+")) >= min_words
+    return F.when(counts, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
 
 
 def _row_key(text: Column) -> Column:
@@ -29,11 +32,11 @@ def _row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, min_words: int = 0, keep_first: bool = False) -> DataFrame:
     """For each document with a dropped line: doc_id, text_hash, n_lines, n_dropped, keep_runs.
 
     A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Keys of at least
-    min_chars code points that are found in at least min_docs documents lose all their lines, or with keep_first
+    min_chars code points and min_words words (parted by ASCII white space) that are found in at least min_docs documents lose all their lines, or with keep_first
     all but the first by document and position. keep_runs: array of (start, length) runs of kept lines.
     Exact repeats of a row count as one document. No group is gathered: a key with more than 1/1024 of all pairs is
     decided by a partial count and a broadcast of at most 1024 keys, other keys in the sorted stream.
@@ -41,7 +44,7 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     keyed = written(
         docs.select(
             F.col(id_col).alias("doc_id"), _row_key(F.col(text_col)).alias("text_hash"),
-            F.transform(_lines(F.col(text_col)), lambda x: _key(x, min_chars)).alias("keys"),
+            F.transform(_lines(F.col(text_col)), lambda x: _key(x, min_chars, min_words)).alias("keys"),
         ),
         "lines-keyed",
     )
@@ -87,7 +90,7 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return both.select("doc_id", "text_hash", "n_lines", F.size("drops").alias("n_dropped"), runs.alias("keep_runs"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, min_words: int = 0, keep_first: bool = False) -> DataFrame:
     """docs with the kept lines, joined by a line feed, in text_col, and the columns n_lines long and n_dropped long.
 
     A null or empty text is one empty line and comes back as an empty text. Rows with a null id and repeated rows are
@@ -95,7 +98,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text hash, then position. Other columns stay as they are unless they are named n_lines or n_dropped, which are replaced.
     An empty table gives no rows.
     """
-    bitmaps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, min_chars=min_chars, keep_first=keep_first)
+    bitmaps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, min_chars=min_chars, min_words=min_words, keep_first=keep_first)
     marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("n_dropped").alias("__dropped"), F.col("keep_runs").alias("__runs"))
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (_row_key(F.col(text_col)) == F.col("__hash"))
     lines = _lines(F.col(text_col))
