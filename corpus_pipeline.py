@@ -29,18 +29,29 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(docs: DataFrame) -> DataFrame:
     """Lines of 50 or more words stay at their first place only, from the second document on."""
-    out = linededup.dedup_lines(docs, min_docs=2, min_words=PASSAGE_WORDS, keep_first=True)
+    bitmaps = written(linededup.keep_bitmaps(docs, min_docs=2, min_words=PASSAGE_WORDS, keep_first=True), "passages")
+    out = linededup.with_kept_lines(docs, bitmaps)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more.
+    """One document of each group of near copies stays, the one with the smallest id: five-word shingles, similarity of 0.8 or more.
 
+    Rows with a null id and rows that share an id are judged like others, and of exact repeats of a row one stays.
     Passages that the documents left still share go after that: taken out before, copies would leave fragments that no longer match.
     """
-    gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    same = (F.col("doc_id") == F.col("__id")) & (minhash.text_hash(F.col("text")) == F.col("__hash"))  # rows that share an id are judged each
-    return passages(written(docs.join(gone, same, "left_anti").select(docs.columns), "near-kept"))
+    own = docs.withColumn("__hash", minhash.text_hash(F.col("text"))).withColumn("__row", F.xxhash64("doc_id", "__hash"))
+    near = minhash.near_duplicates(own, id_col="__row").groupBy(F.col("doc_id").alias("__row"), "component_id")
+    rows = written(near.agg(F.count(F.lit(1)).alias("times")), "near-rows")
+    members = rows.join(rows.where("component_id <> __row").select("component_id").distinct(), "component_id", "left_semi").select("__row", "component_id")
+    named = own.select("__row", "doc_id", "__hash").join(members, "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "__row")).alias("first"))
+    gone = written(members.join(first.select("first.__row"), "__row", "left_anti").select("__row"), "near-gone")
+    left = own.join(gone, "__row", "left_anti")
+    repeated = written(rows.where("times > 1").select("__row"), "near-repeated")
+    once = left.join(repeated, "__row", "left_semi").dropDuplicates(["__row"])
+    kept = left.join(repeated, "__row", "left_anti").unionByName(once).select(docs.columns)
+    return passages(written(kept, "near-kept"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives no rows.
     """
     bitmaps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, min_chars=min_chars, min_words=min_words, keep_first=keep_first)
+    return with_kept_lines(docs, bitmaps, id_col=id_col, text_col=text_col)
+
+
+def with_kept_lines(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What dedup_lines gives for the rows of keep_bitmaps."""
     marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("n_dropped").alias("__dropped"), F.col("keep_runs").alias("__runs"))
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (_row_key(F.col(text_col)) == F.col("__hash"))
     lines = _lines(F.col(text_col))
