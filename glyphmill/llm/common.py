@@ -40,6 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(taken: Iterable[str], names: Iterable[str]) -> list[str]:
+    """The names, with underscores before them where a column is called so already."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in low:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

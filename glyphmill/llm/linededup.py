@@ -6,12 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import BLANKS, written
+from glyphmill.llm.common import BLANKS, unused, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A key that holds more than this part of all (document, key) pairs is counted by partial aggregation and broadcast:
+#: A key that holds more than this part of all lines is counted by partial aggregation and broadcast:
 #: there can be at most HEAVY_PARTS such keys, whatever the input.
-HEAVY_PARTS = 1024
+HEAVY_PARTS = 8192
 
 
 def _lines(text: Column) -> Column:
@@ -38,8 +38,9 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Keys of at least
     min_chars code points and min_words words (parted by ASCII white space) that are found in at least min_docs documents lose all their lines, or with keep_first
     all but the first by document and position. keep_runs: array of (start, length) runs of kept lines.
-    Exact repeats of a row count as one document. No group is gathered: a key with more than 1/1024 of all pairs is
-    decided by a partial count and a broadcast of at most 1024 keys, other keys in the sorted stream.
+    Exact repeats of a row count as one document. No group is gathered: a key with more than 1/8192 of all lines, in however
+    few documents, is decided by a partial count and a broadcast of at most 8192 keys, other keys in the sorted stream, where the
+    window over a key spills to disk. A very long text is one row of hashes, 16 bytes a line.
     """
     keyed = written(
         docs.select(
@@ -50,12 +51,12 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
     lines = keyed.select("doc_id", "text_hash", F.posexplode("keys").alias("pos", "key")).where(F.col("key").isNotNull()).select("doc_id", "text_hash", "pos", "key.*")
 
-    per_doc = keyed.select("doc_id", "text_hash", F.explode(F.array_distinct("keys")).alias("key")).where(F.col("key").isNotNull()).select("doc_id", "text_hash", "key.*")
-    total = per_doc.count()
-    heavy = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > total / HEAVY_PARTS)
+    counts = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_rows"))
+    total = keyed.agg(F.sum(F.size(F.filter("keys", lambda k: k.isNotNull())))).first()[0] or 0
+    heavy = written(counts.where(F.col("n_rows") > total / HEAVY_PARTS).select("h1", "h2"), "lines-heavy")
     # exact repeats of a row must not count twice, so that heavy keys are counted over distinct documents
-    heavy_keys = F.broadcast(heavy.select("h1", "h2"))
-    documents_of = per_doc.join(heavy_keys, ["h1", "h2"]).distinct().groupBy("h1", "h2").agg(
+    heavy_keys = F.broadcast(heavy)
+    documents_of = lines.join(heavy_keys, ["h1", "h2"]).select("h1", "h2", "doc_id", "text_hash").distinct().groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "text_hash")).alias("first")
     )
     heavy_lines = lines.join(F.broadcast(documents_of), ["h1", "h2"]).where(F.col("n_docs") >= min_docs)
@@ -95,8 +96,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A null or empty text is one empty line and comes back as an empty text. Rows with a null id and repeated rows are
     each returned; see keep_bitmaps for how they count. Ties for the first occurrence go to the smaller id, then
-    text hash, then position. Other columns stay as they are unless they are named n_lines or n_dropped, which are replaced.
-    An empty table gives no rows.
+    text hash, then position. Other columns stay as they are, whatever their names, unless they are named n_lines or n_dropped,
+    which are replaced. Very long texts are cut into lines like others. An empty table gives no rows.
     """
     bitmaps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, min_chars=min_chars, min_words=min_words, keep_first=keep_first)
     return with_kept_lines(docs, bitmaps, id_col=id_col, text_col=text_col)
@@ -104,15 +105,16 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def with_kept_lines(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What dedup_lines gives for the rows of keep_bitmaps."""
-    marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("n_dropped").alias("__dropped"), F.col("keep_runs").alias("__runs"))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (_row_key(F.col(text_col)) == F.col("__hash"))
-    lines = _lines(F.col(text_col))
-    kept = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
+    own = dict(zip(bitmaps.columns, unused(docs.columns, bitmaps.columns), strict=True))
+    marks = bitmaps.select(*[F.col(c).alias(n) for c, n in own.items()])
+    on = F.col(id_col).eqNullSafe(F.col(own["doc_id"])) & (_row_key(F.col(text_col)) == F.col(own["text_hash"]))
+    lines, runs = _lines(F.col(text_col)), F.col(own["keep_runs"])
+    kept = F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(lines, r["start"] + 1, r["length"]))), "\n")
     out = docs.drop("n_lines", "n_dropped").join(marks, on, "left")
     return out.withColumns(
         {
             "n_lines": F.size(lines).cast("long"),
-            "n_dropped": F.coalesce("__dropped", F.lit(0)).cast("long"),
-            text_col: F.when(F.col("__runs").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept),
+            "n_dropped": F.coalesce(own["n_dropped"], F.lit(0)).cast("long"),
+            text_col: F.when(runs.isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept),
         }
-    ).drop("__id", "__hash", "__dropped", "__runs")
+    ).drop(*own.values())

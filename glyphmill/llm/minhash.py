@@ -3,8 +3,8 @@ correction for collisions, and exact confirmation on full shingle sets.
 
 Nothing here emits the pairs of a group. Members of a band's bucket, and later of a candidate cluster, are linked by a
 spanning forest: a search from one member finds its neighbours among those not yet reached, so that each member costs one
-comparison with what is left. Groups of more than BLOCK members are compared block against block, each pair of
-blocks in a task of its own.
+comparison with what is left. Groups of more than BLOCK members are dealt into blocks; each block meets a few
+representatives of its group, and only members that these leave outside the group's main part meet all blocks.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ N_HASHES = BANDS * ROWS
 BITS = 8
 #: Estimates lie this many standard deviations below the threshold once in ten million times.
 SIGMAS = 5.0
-#: Members of a group that one task compares.
-BLOCK = 2000
+#: Members of a group that are compared at once, and representatives that every block of a larger group meets.
+BLOCK, REPRESENTATIVES = 256, 16
+#: Groups, or nodes of a graph, with over 1/HEAVY_PARTS of all rows are told by a broadcast of at most so many rows.
+HEAVY_PARTS = 1024
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**32, N_HASHES, dtype=np.uint32)[:, None] | np.uint32(1)
@@ -38,7 +40,7 @@ class _Words(dict):
     """Hashes of words; the memory of a worker stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -97,9 +99,9 @@ def least_estimate(percent: int) -> float:
     return s - SIGMAS * float(np.sqrt(s * (1 - s) / N_HASHES))
 
 
-def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest. near(i, rest): which of the rest are neighbours of i."""
-    left, out = np.arange(n), []
+def forest(left: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges (from, to) of a spanning forest, each tree from its root on. near(i, rest): which of the rest are neighbours of i."""
+    out = []
     while len(left):
         todo, left = [int(left[0])], left[1:]
         while todo and len(left):
@@ -131,47 +133,118 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa
         yield left
 
 
-_EDGES = "a long, b long"
+_FOUND = "group long, a long, b long"
+Near = Callable[[int, np.ndarray], np.ndarray]
 
 
-def linked(members: DataFrame, payload: str, edges_of: Callable[[list[bytes]], list[tuple[int, int]]]) -> DataFrame:
-    """Spanning-forest edges (a, b) of every group. members: group, node and the payload that edges_of compares.
+def _with_sizes(rows: DataFrame, sizes: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with columns of sizes (group, size, ...), without gathering a group that holds a large share of all rows."""
+    n = sizes.agg(F.sum("size")).first()[0] or 0
+    heavy = F.broadcast(sizes.where(F.col("size") > n / HEAVY_PARTS).select("group", *columns))  # fewer than HEAVY_PARTS rows
+    rest = rows.join(heavy, "group", "left_anti").join(sizes.where(F.col("size") <= n / HEAVY_PARTS).select("group", *columns), "group")
+    return rows.join(heavy, "group").unionByName(rest)
 
-    A group of up to BLOCK members is one block; of a larger one, each two blocks meet in a task. A task streams its groups.
-    """
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.join(sizes.withColumn("blocks", blocks).drop("size"), "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pair = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    )
-    spread = dealt.withColumn("pair", F.explode(pair)).select("group", "pair.*", "node", payload)
-    keys, schema = ("group", "i", "j"), arrow_schema(_EDGES)
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _streamed(rows: DataFrame, keys: list[str], found: Callable[[pa.Table], list[tuple]]) -> DataFrame:
+    """What found gives for each group of rows with equal keys; a task streams its groups."""
+    schema = arrow_schema(_FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for group in sorted_groups(batches, len(keys)):
-            if group.num_rows > 1:
-                nodes = group.column("node").to_pylist()
-                out += [(nodes[i], nodes[j]) for i, j in edges_of(group.column(payload).to_pylist())]
+            out += found(group)
             if len(out) > 10_000:
                 yield batch_of(out, schema)
                 out = []
         yield batch_of(out, schema)
 
-    return spread.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(edges, _EDGES)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _FOUND)
+
+
+def linked(members: DataFrame, sizes: DataFrame, payload: str, near_of: Callable[[list[bytes]], Near]) -> DataFrame:
+    """Edges (a, b) that connect what is linked in every group. members: group, node and the payload that near_of compares;
+    sizes: group and size, for groups of two or more.
+
+    A group of up to BLOCK members is compared in one place. A larger one is dealt into blocks, and every block meets the
+    same REPRESENTATIVES members. The part of the group that holds most members after that is connected already; what is
+    outside it meets every block, so that no link is lost.
+    """
+    dealt = _with_sizes(members, sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), ["blocks"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = dealt.where("blocks > 1")
+    h = F.xxhash64(F.lit(7), "node")
+    chosen = large.groupBy("group", "blocks", F.pmod(h, F.lit(REPRESENTATIVES)).alias("place")).agg(F.min(F.struct(h.alias("h"), "node")).alias("least"))
+    chosen = chosen.select("group", "blocks", F.col("least.node").alias("node")).join(members.select("group", "node", payload), ["group", "node"])
+    copies = chosen.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", payload, F.lit(1).alias("part"))
+    rows = dealt.select("group", "block", "node", payload, F.when(F.col("blocks") > 1, 2).otherwise(0).alias("part")).unionByName(copies)
+
+    def first(table: pa.Table) -> list[tuple]:
+        nodes, part = table.column("node").to_pylist(), table.column("part").to_numpy()
+        near, whole = near_of(table.column(payload).to_pylist()), part == 0
+        if whole.all():
+            return [(None, nodes[i], nodes[j]) for i, j in forest(np.arange(len(nodes)), near)]
+        group, out = table.column("group")[0].as_py(), []
+        chosen, others = np.array(sorted(np.flatnonzero(part == 1), key=nodes.__getitem__)), np.flatnonzero(part == 2)
+        root = {int(i): int(i) for i in chosen}  # of each representative, that of the tree which it is in
+        for i, j in forest(chosen, near):
+            root[j] = root[i]
+            out.append((None, nodes[i], nodes[j]))
+        reached = np.zeros(len(others), dtype=bool)
+        for own in set(root.values()):
+            hits = np.zeros(len(others), dtype=bool)
+            for i in (i for i, r in root.items() if r == own):
+                left = np.flatnonzero(~hits)
+                hits[left[near(i, others[left])]] = True
+            out += [(group, nodes[j], nodes[own]) for j in others[hits]]
+            reached |= hits
+        return out + [(group, nodes[j], None) for j in others[~reached]]
+
+    found = written(_streamed(rows, ["group", "block"], first), "near-found")
+    edges = found.where("b is not null").select("a", "b")
+    of_large = found.where("group is not null")
+    parts = of_large.where("b is not null").groupBy("group", "b").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("group").agg(F.max(F.struct("n", "b")).alias("m")).select("group", F.col("m.b").alias("b"))
+    held = of_large.join(main, ["group", "b"], "left_semi").select("group", "a").distinct()
+    outside = written(of_large.select("group", "a").distinct().join(held, ["group", "a"], "left_anti").select("group", F.col("a").alias("node")), "near-outside")
+    if outside.isEmpty():
+        return edges
+
+    mine = outside.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("own_blocks"))
+    again = _with_sizes(large, sizes.join(mine, "group"), ["own_blocks"]).join(outside.withColumn("apart", F.lit(True)), ["group", "node"], "left")
+    all_rows = again.select("group", F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("own"), "block", "node", payload, F.when(F.col("apart"), 1).otherwise(2).alias("part"))
+    asked = again.where("apart").withColumn("own", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("own_blocks")).cast("int"))
+    asked = asked.select("group", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", payload, F.lit(0).alias("part"))
+
+    def second(table: pa.Table) -> list[tuple]:
+        nodes, part = table.column("node").to_pylist(), table.column("part").to_numpy()
+        asks, inside = np.flatnonzero(part == 0), np.flatnonzero(part == 2)
+        if not len(asks):
+            return []
+        near = near_of(table.column(payload).to_pylist())
+        out = [(None, nodes[i], nodes[j]) for i, j in forest(np.flatnonzero(part < 2), near)]
+        for i in asks:  # the main part is connected: one link to it is enough
+            hits = inside[near(int(i), inside)] if len(inside) else inside
+            out += [(None, nodes[i], nodes[j]) for j in hits[:1]]
+        return out
+
+    more = _streamed(all_rows.unionByName(asked), ["group", "own", "block"], second)
+    return edges.unionByName(more.select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of an edge reaches, by alternating large-star and small-star steps."""
+    """(node, label): the smallest node that each node of an edge reaches, by alternating large-star and small-star steps.
+
+    Nodes with over 1/HEAVY_PARTS of all edges are joined by a broadcast, so that none gathers in a task.
+    """
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, most: float) -> DataFrame:
         if large:
             both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        to_least = both.join(least, "a")
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        hubs = F.broadcast(least.where(F.col("n") > most).select("a", "m"))
+        to_least = both.join(hubs, "a").unionByName(both.join(hubs, "a", "left_anti").join(least.where(F.col("n") <= most).select("a", "m"), "a"))
         if large:
             to_least = to_least.where("b > a")
         out = to_least.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -180,27 +253,26 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("a <> b").distinct()
 
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    state = None
-    while True:
-        edges = written(star(star(edges, True), False), "cc")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if state == tuple(now):
-            break
-        state = tuple(now)
+    told = F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))
+    state, now = None, tuple(edges.agg(*told).first())
+    while now != state and now[0]:
+        state, most = now, 2 * now[0] / HEAVY_PARTS
+        edges = written(star(written(star(edges, True, most), "cc"), False, most), "cc")
+        now = tuple(edges.agg(*told).first())
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
 
 
-def _by_signature(least: float) -> Callable[[list[bytes]], list[tuple[int, int]]]:
-    def edges_of(group: list[bytes]) -> list[tuple[int, int]]:
+def _by_signature(least: float) -> Callable[[list[bytes]], Near]:
+    def near_of(group: list[bytes]) -> Near:
         marks = np.frombuffer(b"".join(group), dtype=np.uint8).reshape(len(group), -1)
-        return forest(len(group), lambda i, rest: estimate(marks[i], marks[rest]) >= least)
+        return lambda i, rest: estimate(marks[i], marks[rest]) >= least
 
-    return edges_of
+    return near_of
 
 
-def _by_sets(percent: int) -> Callable[[list[bytes]], list[tuple[int, int]]]:
-    def edges_of(group: list[bytes]) -> list[tuple[int, int]]:
+def _by_sets(percent: int) -> Callable[[list[bytes]], Near]:
+    def near_of(group: list[bytes]) -> Near:
         sets = [np.frombuffer(b, dtype=np.uint64) for b in group]
         sizes = np.array([len(s) for s in sets])
         # an inverted index of the group: the members of each shingle, so that one search counts all intersections
@@ -218,9 +290,9 @@ def _by_sets(percent: int) -> Callable[[list[bytes]], list[tuple[int, int]]]:
                 shared = np.bincount(np.concatenate(lists), minlength=len(sets))[rest]
             return 100 * shared >= percent * (sizes[i] + sizes[rest] - shared)
 
-        return forest(len(sets), near)
+        return near
 
-    return edges_of
+    return near_of
 
 
 def _signed(text: Column, width: int) -> Column:
@@ -278,17 +350,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = written(with_set.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "near-classes")
 
     bands = classes.select("node", F.explode("bands").alias("group"))
-    crowded = bands.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
-    in_bands = bands.join(crowded, "group").join(classes.select("node", "bits"), "node")
-    candidates = components(linked(in_bands, "bits", _by_signature(least_estimate(percent))))
+    crowded = written(bands.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-crowded")
+    in_bands = _with_sizes(bands, crowded, []).join(classes.select("node", "bits"), "node")
+    candidates = components(linked(in_bands, crowded, "bits", _by_signature(least_estimate(percent))))
     clusters = written(candidates.select(F.col("label").alias("group"), "node"), "near-clusters")
+    sizes = written(clusters.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
 
     # the full sets of candidates only are made again; of rows that repeat an id, one with the class's own set is taken
     own = classes.join(clusters, "node").select("node", "group", "same")
     ids = with_set.join(own, (with_set["doc_id"] == own["node"]) & (with_set["same"] == own["same"]), "left_semi").select("doc_id").distinct()
     found = _sets(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text"), width)
     members = found.join(own, ["node", "same"]).dropDuplicates(["node", "same"]).select("group", "node", "found")
-    links = components(linked(members, "found", _by_sets(percent)))
+    links = components(linked(members, sizes, "found", _by_sets(percent)))
 
     named = classes.select("same", "node").join(links, "node", "left").select("same", F.coalesce("label", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "text_hash", "same").join(named, "same", "left")
