@@ -40,6 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of whole texts.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands texts to Python TEXT_ROWS at a time, where it isn't set to fewer: a batch of long texts stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def unused(taken: Iterable[str], names: Iterable[str]) -> list[str]:
     """The names, with underscores before them where a column is called so already."""
     low, out = {c.lower() for c in taken}, []

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import arrow_schema, batch_of, rows_of, written
+from glyphmill.llm.common import arrow_schema, batch_of, rows_of, small_batches, written
 
 BUCKETS = 256
 #: Offsets of the three bytes of a triplet in a window: wide, so that buckets follow the document more than its
-#: language, and close together in texts of under SHORT bytes.
-WIDE, CLOSE, SHORT = (0, 5, 11), (0, 1, 2), 64
+#: language. Windows run on from the end of a text to its start, so that each byte begins one, whatever the length.
+OFFSETS = (0, 5, 11)
 #: Length classes grow by this factor; a difference of LENGTH_SPAN classes is as far as lengths can be apart.
 LENGTH_STEP, LENGTH_SPAN, LENGTH_SHARE = 1.25, 24, 0.1
 
@@ -25,10 +25,11 @@ def digest(text: str | None) -> str:
     """Hex: two digits for the length class, two for each four bucket codes. Equal texts have equal digests."""
     raw = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    a, b, c = WIDE if len(raw) >= SHORT else CLOSE
-    n = len(raw) - c
-    if n > 0:
-        h = (raw[a : a + n] * np.uint32(0x9E3779B1)) ^ (raw[b : b + n] * np.uint32(0x85EBCA77)) ^ (raw[c : c + n] * np.uint32(0xC2B2AE3D))
+    n = len(raw)
+    if n:
+        a, b, c = OFFSETS
+        ring = np.resize(raw, n + c)
+        h = (ring[a : a + n] * np.uint32(0x9E3779B1)) ^ (ring[b : b + n] * np.uint32(0x85EBCA77)) ^ (ring[c : c + n] * np.uint32(0xC2B2AE3D))
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x27D4EB2F)
         counts += np.bincount(h >> np.uint32(24), minlength=BUCKETS)
     q1, q2, q3 = np.partition(counts, (BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1))[[BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
@@ -88,14 +89,17 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint against that of its edited text and of the next document, by descending id.
 
-    The last document's next is the first; a single document is its own next. A null text is empty. Repeated ids are
-    ordered by text, null ids come last; exact repeats are rows of their own. Other columns are ignored, and an empty
-    table gives no rows. Texts are shuffled once, into ranges of ids; each range streams its rows, and only its first and
+    The last document's next is the first; a single document is its own next. A null text is empty; very long texts are read
+    whole. Rows of one id are ordered by a hash of the text, null ids come last; exact repeats are rows of their own, in the order
+    of the input. Other columns are ignored, whatever their names, and an empty table gives no rows. Texts are shuffled once, into ranges of (id,
+    hash, place in the input), so that one id can fill several; each range streams its rows, and only its first and
     last document, at most two for each partition, meet those of the neighbouring ranges.
     """
-    order = [F.desc_nulls_last("doc_id"), F.desc("text")]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = rows.repartitionByRange(order[0]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    small_batches(docs.sparkSession)
+    order = [F.desc_nulls_last("doc_id"), F.desc("mark"), F.desc("place")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("place"))
+    ranged = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = ranged.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     walk_schema, out_schema = arrow_schema(f"{_OUT}, {_ENDS}"), arrow_schema(_OUT)
     no_out, no_end = (None,) * len(out_schema), (None,) * (len(walk_schema) - len(out_schema))

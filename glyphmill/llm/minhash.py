@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import arrow_schema, batch_of, rows_of, written
+from glyphmill.llm.common import arrow_schema, batch_of, rows_of, small_batches, written
 
 BANDS, ROWS = 24, 5
 N_HASHES = BANDS * ROWS
@@ -28,8 +28,8 @@ BITS = 8
 SIGMAS = 5.0
 #: Members of a group that are compared at once, and representatives that every block of a larger group meets.
 BLOCK, REPRESENTATIVES = 256, 16
-#: Groups, or nodes of a graph, with over 1/HEAVY_PARTS of all rows are told by a broadcast of at most so many rows.
-HEAVY_PARTS = 1024
+#: A node of a graph is a hub from HUB edges and 1/HEAVY_PARTS of all on, so that there are fewer than HEAVY_PARTS.
+HUB, HEAVY_PARTS = 1000, 1024
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**32, N_HASHES, dtype=np.uint32)[:, None] | np.uint32(1)
@@ -40,7 +40,7 @@ class _Words(dict):
     """Hashes of words; the memory of a worker stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -137,14 +137,6 @@ _FOUND = "group long, a long, b long"
 Near = Callable[[int, np.ndarray], np.ndarray]
 
 
-def _with_sizes(rows: DataFrame, sizes: DataFrame, columns: list[str]) -> DataFrame:
-    """rows with columns of sizes (group, size, ...), without gathering a group that holds a large share of all rows."""
-    n = sizes.agg(F.sum("size")).first()[0] or 0
-    heavy = F.broadcast(sizes.where(F.col("size") > n / HEAVY_PARTS).select("group", *columns))  # fewer than HEAVY_PARTS rows
-    rest = rows.join(heavy, "group", "left_anti").join(sizes.where(F.col("size") <= n / HEAVY_PARTS).select("group", *columns), "group")
-    return rows.join(heavy, "group").unionByName(rest)
-
-
 def _streamed(rows: DataFrame, keys: list[str], found: Callable[[pa.Table], list[tuple]]) -> DataFrame:
     """What found gives for each group of rows with equal keys; a task streams its groups."""
     schema = arrow_schema(_FOUND)
@@ -161,57 +153,52 @@ def _streamed(rows: DataFrame, keys: list[str], found: Callable[[pa.Table], list
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _FOUND)
 
 
-def linked(members: DataFrame, sizes: DataFrame, payload: str, near_of: Callable[[list[bytes]], Near]) -> DataFrame:
-    """Edges (a, b) that connect what is linked in every group. members: group, node and the payload that near_of compares;
-    sizes: group and size, for groups of two or more.
+def linked(members: DataFrame, payload: str, near_of: Callable[[list[bytes]], Near]) -> DataFrame:
+    """Edges (a, b) that connect what is linked in every group. members: group, its size, node and the payload that near_of compares.
 
     A group of up to BLOCK members is compared in one place. A larger one is dealt into blocks, and every block meets the
-    same REPRESENTATIVES members. The part of the group that holds most members after that is connected already; what is
-    outside it meets every block, so that no link is lost.
+    same REPRESENTATIVES members. What is linked to the largest tree of these is connected already; the others
+    meet every block, so that no link is lost.
     """
-    dealt = _with_sizes(members, sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), ["blocks"])
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     large = dealt.where("blocks > 1")
     h = F.xxhash64(F.lit(7), "node")
-    chosen = large.groupBy("group", "blocks", F.pmod(h, F.lit(REPRESENTATIVES)).alias("place")).agg(F.min(F.struct(h.alias("h"), "node")).alias("least"))
-    chosen = chosen.select("group", "blocks", F.col("least.node").alias("node")).join(members.select("group", "node", payload), ["group", "node"])
-    copies = chosen.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", payload, F.lit(1).alias("part"))
+    chosen = large.groupBy("group", "blocks", F.pmod(h, F.lit(REPRESENTATIVES)).alias("place")).agg(F.min(F.struct(h.alias("h"), "node", payload)).alias("least"))
+    copies = chosen.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "least.node", f"least.{payload}", F.lit(1).alias("part"))
     rows = dealt.select("group", "block", "node", payload, F.when(F.col("blocks") > 1, 2).otherwise(0).alias("part")).unionByName(copies)
 
     def first(table: pa.Table) -> list[tuple]:
         nodes, part = table.column("node").to_pylist(), table.column("part").to_numpy()
-        near, whole = near_of(table.column(payload).to_pylist()), part == 0
-        if whole.all():
+        near = near_of(table.column(payload).to_pylist())
+        if not part.any():
             return [(None, nodes[i], nodes[j]) for i, j in forest(np.arange(len(nodes)), near)]
         group, out = table.column("group")[0].as_py(), []
-        chosen, others = np.array(sorted(np.flatnonzero(part == 1), key=nodes.__getitem__)), np.flatnonzero(part == 2)
-        root = {int(i): int(i) for i in chosen}  # of each representative, that of the tree which it is in
-        for i, j in forest(chosen, near):
+        reps, others = np.array(sorted(np.flatnonzero(part == 1), key=nodes.__getitem__)), np.flatnonzero(part == 2)
+        trees = {int(i): [int(i)] for i in reps}  # by root; the same in each block, since representatives come in the same order
+        root = {i: i for i in trees}
+        for i, j in forest(reps, near):
             root[j] = root[i]
+            trees[root[i]] += trees.pop(j)
             out.append((None, nodes[i], nodes[j]))
-        reached = np.zeros(len(others), dtype=bool)
-        for own in set(root.values()):
+        main = max(trees, key=lambda r: len(trees[r]))
+        for own, tree in trees.items():
             hits = np.zeros(len(others), dtype=bool)
-            for i in (i for i, r in root.items() if r == own):
+            for i in tree:
                 left = np.flatnonzero(~hits)
                 hits[left[near(i, others[left])]] = True
-            out += [(group, nodes[j], nodes[own]) for j in others[hits]]
-            reached |= hits
-        return out + [(group, nodes[j], None) for j in others[~reached]]
+            out += [(None, nodes[j], nodes[own]) for j in others[hits]]
+            if own == main:
+                out += [(group, nodes[j], None) for j in others[~hits]]
+        return out
 
     found = written(_streamed(rows, ["group", "block"], first), "near-found")
-    edges = found.where("b is not null").select("a", "b")
-    of_large = found.where("group is not null")
-    parts = of_large.where("b is not null").groupBy("group", "b").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("group").agg(F.max(F.struct("n", "b")).alias("m")).select("group", F.col("m.b").alias("b"))
-    held = of_large.join(main, ["group", "b"], "left_semi").select("group", "a").distinct()
-    outside = written(of_large.select("group", "a").distinct().join(held, ["group", "a"], "left_anti").select("group", F.col("a").alias("node")), "near-outside")
+    edges, outside = found.where("b is not null").select("a", "b"), found.where("b is null").select("group", F.col("a").alias("node"))
     if outside.isEmpty():
         return edges
 
     mine = outside.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("own_blocks"))
-    again = _with_sizes(large, sizes.join(mine, "group"), ["own_blocks"]).join(outside.withColumn("apart", F.lit(True)), ["group", "node"], "left")
-    all_rows = again.select("group", F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("own"), "block", "node", payload, F.when(F.col("apart"), 1).otherwise(2).alias("part"))
+    again = large.join(mine, "group").join(outside.withColumn("apart", F.lit(True)), ["group", "node"], "left")
+    every = again.select("group", F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("own"), "block", "node", payload, F.when(F.col("apart"), 1).otherwise(2).alias("part"))
     asked = again.where("apart").withColumn("own", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("own_blocks")).cast("int"))
     asked = asked.select("group", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", payload, F.lit(0).alias("part"))
 
@@ -227,24 +214,27 @@ def linked(members: DataFrame, sizes: DataFrame, payload: str, near_of: Callable
             out += [(None, nodes[i], nodes[j]) for j in hits[:1]]
         return out
 
-    more = _streamed(all_rows.unionByName(asked), ["group", "own", "block"], second)
+    more = _streamed(every.unionByName(asked), ["group", "own", "block"], second)
     return edges.unionByName(more.select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of an edge reaches, by alternating large-star and small-star steps.
 
-    Nodes with over 1/HEAVY_PARTS of all edges are joined by a broadcast, so that none gathers in a task.
+    Where a node has a large share of the edges, such nodes, fewer than HEAVY_PARTS, are joined by a broadcast, so that none gathers in a task.
     """
 
-    def star(pairs: DataFrame, large: bool, most: float) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, most: float | None) -> DataFrame:
         if large:
             both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
-        hubs = F.broadcast(least.where(F.col("n") > most).select("a", "m"))
-        to_least = both.join(hubs, "a").unionByName(both.join(hubs, "a", "left_anti").join(least.where(F.col("n") <= most).select("a", "m"), "a"))
+        if most is None:
+            to_least = both.join(least.drop("n"), "a")
+        else:
+            hubs = F.broadcast(least.where(F.col("n") > most).select("a", "m"))
+            to_least = both.join(hubs, "a").unionByName(both.join(hubs, "a", "left_anti").join(least.where(F.col("n") <= most).select("a", "m"), "a"))
         if large:
             to_least = to_least.where("b > a")
         out = to_least.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -252,13 +242,18 @@ def components(edges: DataFrame) -> DataFrame:
             out = out.unionByName(least.select("a", F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
+    def told(pairs: DataFrame) -> tuple[tuple, float | None]:
+        """What tells a state from another, and from how many edges on a node is a hub, if any is."""
+        n, sum_, most = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("s")).agg(F.sum("n"), F.sum("s"), F.max("n")).first()
+        limit = max(HUB, 2 * (n or 0) / HEAVY_PARTS)
+        return (n, sum_), limit if (most or 0) > limit else None
+
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    told = F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))
-    state, now = None, tuple(edges.agg(*told).first())
+    state, (now, most) = None, told(edges)
     while now != state and now[0]:
-        state, most = now, 2 * now[0] / HEAVY_PARTS
-        edges = written(star(written(star(edges, True, most), "cc"), False, most), "cc")
-        now = tuple(edges.agg(*told).first())
+        state = now
+        edges = written(star(star(edges, True, most), False, None), "cc")
+        now, most = told(edges)
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
 
@@ -339,11 +334,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     that a document reaches over links. A null or empty text, or one of white space only, has no set and is linked with
     nothing. Exact copies, and texts with equal sets, are one class from the start. A null id is linked with nothing either: its
     component_id is null and it is kept. Rows that repeat an id are rows of their own with that id; of rows that repeat the id and the
-    class, all are kept if one is. Other columns are ignored; an empty table gives no rows.
+    class, all are kept if one is. Very long texts are compared whole. Other columns are ignored, whatever their names; an empty table gives no rows.
 
     A link at the threshold is missed by all bands with chance (1 - s^5)^24, under one in a million for s = 0.85 and
     under one in ten thousand for s = 0.8. Confirmed links are exact.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(texts.select("doc_id", text_hash(F.col("text")).alias("text_hash"), _signed(F.col("text"), width).alias("m")).select("doc_id", "text_hash", "m.*"), "near-signed")
     with_set = signed.where("doc_id is not null AND n_shingles > 0")
@@ -351,17 +347,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     bands = classes.select("node", F.explode("bands").alias("group"))
     crowded = written(bands.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-crowded")
-    in_bands = _with_sizes(bands, crowded, []).join(classes.select("node", "bits"), "node")
-    candidates = components(linked(in_bands, crowded, "bits", _by_signature(least_estimate(percent))))
+    in_bands = bands.join(crowded, "group").join(classes.select("node", "bits"), "node")
+    candidates = components(linked(in_bands, "bits", _by_signature(least_estimate(percent))))
     clusters = written(candidates.select(F.col("label").alias("group"), "node"), "near-clusters")
-    sizes = written(clusters.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
 
     # the full sets of candidates only are made again; of rows that repeat an id, one with the class's own set is taken
-    own = classes.join(clusters, "node").select("node", "group", "same")
+    sizes = clusters.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    own = written(classes.join(clusters.join(sizes, "group"), "node").select("node", "group", "size", "same"), "near-own")
     ids = with_set.join(own, (with_set["doc_id"] == own["node"]) & (with_set["same"] == own["same"]), "left_semi").select("doc_id").distinct()
     found = _sets(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text"), width)
-    members = found.join(own, ["node", "same"]).dropDuplicates(["node", "same"]).select("group", "node", "found")
-    links = components(linked(members, sizes, "found", _by_sets(percent)))
+    members = found.join(own, ["node", "same"]).dropDuplicates(["node", "same"]).select("group", "size", "node", "found")
+    links = components(linked(members, "found", _by_sets(percent)))
 
     named = classes.select("same", "node").join(links, "node", "left").select("same", F.coalesce("label", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "text_hash", "same").join(named, "same", "left")

@@ -6,18 +6,23 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import BLANKS, written
+from glyphmill.llm.common import BLANKS, arrow_schema, batch_of, rows_of, written
 
-#: Cost of the first, second and third time that a token is taken.
-REPEAT_COSTS = (0, 2, 6)
 #: The flow is solved on the driver over one row for each pattern of memberships; more are an error, never a cut.
 MAX_PATTERNS = 20_000
 #: A share of each pattern is cut at two levels of this many hash buckets, then row by row in one bucket.
 BUCKETS = 1024
-FITS = 4
+#: Units of each size class (a power of two) that may fill what a cut leaves open.
+FITS = 8
+
+
+def repeat_costs(most: int) -> list[int]:
+    """Cost of each time that a token is taken: convex, so that repeats are spread."""
+    return [i * (i + 1) for i in range(most)]
 
 
 def n_words(text: Column) -> Column:
@@ -46,7 +51,7 @@ def capped_targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[in
     return {order[i][0]: t for i, t in out.items()}
 
 
-def route(patterns: dict[tuple, int], targets: dict, costs: Sequence[int] = REPEAT_COSTS) -> dict[tuple, float]:
+def route(patterns: dict[tuple, int], targets: dict, costs: Sequence[int] = (0, 2, 6)) -> dict[tuple, float]:
     """Min-cost flow. patterns: tokens by the tuple of sources that their documents belong to; targets: tokens by source.
 
     Each pattern can send its tokens len(costs) times, each time at a higher cost, to any of its sources. Successive
@@ -122,9 +127,10 @@ def cuts(units: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
 
     Units come in the order of u, a seeded hash. Bucket sums find where the running size passes `want`, and only the rows of one
     bucket of a bucket are summed one by one, so that a key with most of the rows is spread over all tasks. What is then
-    still missing is filled by the largest unit that fits, FITS times among those not taken and FITS times among all below
-    `most` times, and at last by the smallest that overshoots by less. Returns one row for each key: bounds c1, c2 and
-    last, and the units `fits` beyond them. Nothing here is larger than a few rows for each key.
+    still missing, less than the next unit, is filled from the FITS largest units of each size class that fit: the largest first, among
+    those not in the cut, then among those in it that are below `most` times (the one place where a few words are repeated without need
+    of the flow), and at last by the smallest that overshoots by less. Returns one row for each key: bounds c1, c2 and
+    last, and the units `fits` beyond them. Nothing here is larger than a few hundred rows for each key.
     """
     b1, b2 = _buckets(F.col("u"))
     rows = units.join(F.broadcast(wanted.where("want > 0").select("key", "want")), "key").withColumns({"b1": b1, "b2": b2})
@@ -143,22 +149,37 @@ def cuts(units: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
     inner = near.join(F.broadcast(c2), "key").where(F.col("b2") == F.col("c2"))
     run = inner.withColumn("upto", F.col("w2") + F.sum("size").over(order.orderBy("u", "id", "hash"))).where(F.col("upto") <= F.col("want"))
     last = run.groupBy("key").agg(F.max(F.struct("u", "id", "hash")).alias("last"), F.max("upto").alias("upto"))
-    found = c1.join(c2, "key").join(last, "key", "left").withColumn("fits", F.array().cast("array<struct<id:bigint,hash:bigint>>"))
-    found = found.join(wanted.select("key", "want"), "key").withColumn("gap", F.col("want") - F.coalesce("upto", "w2")).select("key", "c1", "c2", "last", "fits", "gap")
-    room = found.join(wanted.select("key", "whole"), "key")
-    for i in range(2 * FITS + 1):
-        found = written(room, "mix-found")
-        fits = (F.col("size") <= F.col("gap")) if i < 2 * FITS else (F.col("size") > F.col("gap")) & (F.col("size") < 2 * F.col("gap"))
-        unit = F.struct("id", "hash")
-        times = F.col("whole") + within(F.col("u"), unit).cast("int")  # the second FITS rounds may repeat what is in already
-        open_ = (times < most) if i >= FITS else (times == F.col("whole"))
-        free = units.join(F.broadcast(found), "key").where(fits & (F.col("size") > 0) & open_ & ~fitted(unit))
-        best = free.groupBy("key").agg((F.max if i < 2 * FITS else F.min)(F.struct("size", "u", "id", "hash")).alias("best"))
-        room = found.join(best, "key", "left").select(
-            "key", "c1", "c2", "last", "whole", F.when(F.col("best").isNull(), F.col("fits")).otherwise(F.concat("fits", F.array(F.struct("best.id", "best.hash")))).alias("fits"),
-            (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
-        )
-    return written(room, "mix-found").drop("gap", "whole")
+    found = c1.join(c2, "key").join(last, "key", "left")
+    found = found.join(wanted.select("key", "want"), "key").withColumn("gap", F.col("want") - F.coalesce("upto", "w2")).select("key", "c1", "c2", "last", "gap")
+    room = written(found.join(wanted.select("key", "whole"), "key"), "mix-room")
+    again = within(F.col("u"), F.struct("id", "hash")).cast("int")
+    open_ = units.join(F.broadcast(room), "key").withColumn("again", again).where((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")) & (F.col("whole") + F.col("again") < most))
+    # of units that overshoot, the smallest; of those that fit, the largest of each class
+    over = F.col("size") > F.col("gap")
+    classed = open_.withColumn("class", F.when(over, -1).otherwise(F.floor(F.log2("size")).cast("int"))).withColumn("rank_by", F.when(over, -F.col("size")).otherwise(F.col("size")))
+    nth = F.row_number().over(Window.partitionBy("key", "again", "class").orderBy(F.desc("rank_by"), "u", "id", "hash"))
+    few = classed.withColumn("nth", nth).where(F.col("nth") <= FITS).select("key", "gap", "again", "size", "u", "id", "hash")
+
+    def fill(rows: pa.Table) -> pa.Table:
+        found, key, gap = sorted(rows_of(rows), key=lambda r: (r[2], -r[3], r[4], r[5] is None, r[5] or 0, r[6])), None, None
+        fits, left = [], []
+        for key, own_gap, _, size, _, id_, hash_ in found:
+            gap = own_gap if gap is None else gap
+            if size <= gap:
+                fits.append((id_, hash_))
+                gap -= size
+            else:
+                left.append((size, id_, hash_))
+        nearest = min((x for x in left if gap < x[0] < 2 * gap), key=lambda x: x[0], default=None)
+        fits += [nearest[1:]] if nearest else []
+        return pa.Table.from_batches([batch_of([(key, *f) for f in fits], arrow_schema(_FITS))])
+
+    filled = few.groupBy("key").applyInArrow(fill, _FITS).groupBy("key").agg(F.collect_list(F.struct("id", "hash")).alias("fits"))
+    out = room.select("key", "c1", "c2", "last").join(filled, "key", "left")
+    return written(out.withColumn("fits", F.coalesce("fits", F.array().cast(_UNITS))), "mix-found")
+
+
+_FITS, _UNITS = "key long, id long, hash long", "array<struct<id:bigint,hash:bigint>>"
 
 
 def fitted(unit: Column) -> Column:
@@ -182,7 +203,8 @@ def mix(
     null last and take weights in turn; targets share the sum of all sizes and stop at `most` times their source's size.
     source_size and target are those of the document's first source. A document is taken whole, 0 to `most` times;
     a null or empty text has size 0 and isn't taken. Rows with a null id take part each by its text, and exact repeats of a row are
-    taken alike. Columns of docs with the four names are replaced. An empty table gives no rows. The same rows give the same mix.
+    taken alike. Very long texts are taken whole or not at all. Columns of docs with the four names are replaced, others stay as they are,
+    whatever their names. An empty table gives no rows. The same rows give the same mix.
     """
     base = docs.drop("size", "source_size", "target", "taken")
     srcs = F.array_distinct(F.array(*[F.col(c).cast("string") for c in source_cols]))
@@ -200,17 +222,19 @@ def mix(
     over = sum(totals.values()) / sum(patterns.values()) if sum(patterns.values()) else 1.0
     targets = {s: t / over for s, t in targets.items()}  # where memberships overlap, quotas still share the sum of sizes once
     flow: dict[tuple, float] = {}
-    for (p, _), n in route(patterns, targets, REPEAT_COSTS[:most]).items():
+    for (p, _), n in route(patterns, targets, repeat_costs(most)).items():
         flow[p] = flow.get(p, 0.0) + n
     told = [(i, [*p], totals[p[0]], float(targets[p[0]]), *(divmod(round(flow.get(p, 0.0)), n) if n else (0, 0))) for i, (p, n) in enumerate(patterns.items())]
     share = docs.sparkSession.createDataFrame(told, "key long, srcs array<string>, source_size long, target double, whole long, want long")
     keyed = sized.join(F.broadcast(share), sized["srcs"].eqNullSafe(share["srcs"])).select("key", "id", "hash", "size")
     units = written(keyed.groupBy("key", "id", "hash").agg(F.sum("size").alias("size")).withColumn("u", _hashed(seed)), "mix-units")
-    marks = share.join(cuts(units, share.select("key", "want", "whole"), most), "key", "left").withColumnsRenamed({c: f"__{c}" for c in ("srcs", "source_size", "target", "whole")})
+    marks = share.join(cuts(units, share.select("key", "want", "whole"), most), "key", "left")
+    told = ("srcs", "source_size", "target", "whole")
+    marks = marks.withColumnsRenamed(dict(zip(told, (f"of_{c}" for c in told), strict=True)))
     names = {"id": F.col(id_col).cast("long"), "hash": text_hash, "srcs": srcs, "size": n_words(F.col(text_col))}
-    own = base.select(F.struct(*base.columns).alias("doc"), *[c.alias(k) for k, c in names.items()])
-    taken = own.join(F.broadcast(marks), F.col("srcs").eqNullSafe(F.col("__srcs")))
+    own = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("doc"), *[c.alias(k) for k, c in names.items()])
+    marked = own.join(F.broadcast(marks), F.col("srcs").eqNullSafe(F.col("of_srcs")))
     unit = F.struct("id", "hash")
     extra = F.coalesce(within(_hashed(seed), unit).cast("long"), F.lit(0)) + F.coalesce(fitted(unit).cast("long"), F.lit(0))
-    taken = taken.withColumn("__taken", F.col("size") * (F.col("__whole") + extra))  # before the columns of docs, which may have such names
-    return taken.select("doc.*", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+    out = marked.withColumn("taken", F.col("size") * (F.col("of_whole") + extra))
+    return out.select("doc.*", "size", F.col("of_source_size").alias("source_size"), F.col("of_target").alias("target"), "taken")

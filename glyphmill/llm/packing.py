@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphmill.llm.common import arrow_schema, batch_of, rows_of, written
+from glyphmill.llm.common import arrow_schema, batch_of, rows_of, small_batches, written
 
 #: Context sizes, all powers of two.
 TIERS = (2048, 1024, 512, 256)
@@ -190,10 +190,11 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
 
     A document is its ids and then id 1; a null or empty text is id 1 alone. Every id is in one piece. Sequences are
     full windows of a tier; tails of tasks, under the smallest tier each, are put together in padded windows
-    of the longest tier at the end. Rows with a null id and repeated rows are packed like others; other columns are
-    ignored; an empty table gives no rows. Tasks pack what they read without a shuffle, so that a lost task gives the
+    of the longest tier at the end. Rows with a null id and repeated rows are packed like others, and among tails null ids come
+    last; a very long text spans several sequences; other columns are ignored, whatever their names; an empty table gives no rows. Tasks pack what they read without a shuffle, so that a lost task gives the
     same pieces again.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.spark_partition_id().alias("task"))
 
@@ -210,6 +211,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
                 if tokens >= WINDOW_TOKENS:
                     yield batch_of(packer.flush(False), schema)
                     tokens = 0
+        own.clear()  # the worker lives on for other tasks
         if packer:
             yield batch_of(packer.flush(True), schema)
 

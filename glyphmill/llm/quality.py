@@ -1,5 +1,5 @@
 """Quality classifier by positive-unlabelled learning: the non-negative unbiased risk of a linear model is minimised
-over trusted positives and unlabelled web text, with a class prior estimated from the training labels."""
+over trusted positives and unlabelled web text, with a class prior estimated from both."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.common import small_batches
+
 #: Bounds of the samples that the model is fitted on; scoring covers every row.
 MAX_POSITIVES, MAX_UNLABELLED = 3000, 6000
 HELD_OUT = 2
@@ -92,33 +94,53 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def _features(rows: DataFrame, text_col: str) -> list[np.ndarray]:
+def _sample(texts: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
+    """Features of up to `most` ids, chosen by a hash of the id; of rows that repeat an id, the one with the least hash of the text counts."""
+
     @F.pandas_udf("array<double>")
-    def featured(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: text_features(t).tolist())
+    def featured(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: text_features(t).tolist())
+
+    chosen = ids.orderBy(F.xxhash64("id"), "id").limit(most)
+    rows = texts.join(F.broadcast(chosen), "id").select("id", F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), featured("text").alias("f")).alias("r"))
+    found = [r[0] for r in rows.groupBy("id").agg(F.min("r").alias("r")).select("r.f").collect()]
+    return np.array(sorted(found)).reshape(len(found), N_FEATURES)  # the order of a collected sample must not change a sum
 
-    # the order of a collected sample must not change a sum
-    return sorted(r[0] for r in rows.select(featured(F.col(text_col))).collect())
+
+def class_prior(scores: np.ndarray, assumed: float, *, rounds: int = 50) -> float:
+    """The share of positives in unlabelled text that its scores tell, where the model was fitted for an assumed one.
+
+    Expectation maximisation: the odds of each score are moved from the assumed share to the current one, and their mean is the
+    next. Kept within 0.02 to 0.98.
+    """
+    odds = scores / (1 - scores) * (1 - assumed) / assumed
+    prior = assumed
+    for _ in range(rounds):
+        now = odds * prior / (1 - prior)
+        prior = float(np.clip((now / (1 + now)).mean(), 0.02, 0.98))
+    return prior
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LinearModel:
-    """Fit on the rows that held_out leaves: trusted positives, unlabelled text and the share of label 1 as the prior.
+    """Fit on the rows that held_out leaves: trusted positives (label 1) and unlabelled text.
 
-    Both samples are bounded by MAX_POSITIVES and MAX_UNLABELLED rows, chosen by a hash of the id; only their few
-    features reach the driver. Without any positive, every score is the prior, which without labels is 0.5.
+    Both samples are bounded by MAX_POSITIVES and MAX_UNLABELLED ids, chosen by a hash of the id; only their few
+    features reach the driver. A first fit takes the share of label 1 among the labels for the class prior; the prior is then estimated
+    from its scores of the unlabelled text, and the model is fitted again with that. Both are kept within 0.02 to 0.98.
+    Without any positive every score is 0.5.
     """
-    learn = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
-    count, ones = learn.agg(F.count(F.lit(1)), F.sum("__label")).first()
-    prior = min(0.98, max(0.02, (ones or 0) / count)) if count else 0.5
-    chosen = learn.where("__label = 1").orderBy(F.xxhash64("__id"), "__id").limit(MAX_POSITIVES).select("__id")
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    positive = _features(texts.join(F.broadcast(chosen), "__id", "left_semi"), "__text")[: 2 * MAX_POSITIVES]
-    ids = texts.select("__id").where(F.col("__id").isNotNull() & ~held_out(F.col("__id")))
-    sampled = ids.orderBy(F.xxhash64("__id"), "__id").limit(MAX_UNLABELLED)
-    unlabelled = _features(texts.join(F.broadcast(sampled), "__id", "left_semi"), "__text")[: 2 * MAX_UNLABELLED]
-    if not positive or not unlabelled:
-        return LinearModel(np.zeros(2 * N_FEATURES), np.ones(2 * N_FEATURES), np.zeros(2 * N_FEATURES), float(np.log(prior / (1 - prior))))
-    return fit_nnpu(np.array(positive), np.array(unlabelled), prior)
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    learn = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(~held_out(F.col("id")) & F.col("label").isin(0, 1))
+    per_id = learn.groupBy("id").agg(F.min("label").alias("label")).where("id is not null")
+    count, ones = per_id.agg(F.count(F.lit(1)), F.sum("label")).first()
+    positive = _sample(texts, per_id.where("label = 1").select("id"), MAX_POSITIVES)
+    unlabelled = _sample(texts, texts.select("id").distinct(), MAX_UNLABELLED)
+    if not len(positive) or not len(unlabelled):
+        return LinearModel(np.zeros(2 * N_FEATURES), np.ones(2 * N_FEATURES), np.zeros(2 * N_FEATURES), 0.0)
+    told = float(np.clip(ones / count, 0.02, 0.98))
+    first = fit_nnpu(positive, unlabelled, told)
+    return fit_nnpu(positive, unlabelled, class_prior(first.score(unlabelled), told))
 
 
 def with_score(docs: DataFrame, model: LinearModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -133,8 +155,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """Every row of docs with held_out boolean, score double in 0..1 and predicted int (1 if score >= threshold).
 
     Labels of held-out ids are never read; other labels than 0 and 1 don't count, and of several for an id the
-    smallest does. A null or empty text has a score like any other; a null id is not held out. Repeated rows are each
-    scored. Columns of docs named held_out, score or predicted are replaced. An empty table gives no rows.
+    smallest does. A null or empty text has a score like any other, a very long one is read whole; a null id is not held out. Repeated rows are each
+    scored. Columns of docs named held_out, score or predicted are replaced, others stay as they are. An empty table gives no rows.
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
     out = with_score(docs.drop("held_out", "score", "predicted"), model, text_col=text_col)

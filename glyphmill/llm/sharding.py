@@ -7,7 +7,8 @@ import heapq
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import new_path, written
@@ -69,64 +70,72 @@ class SlotMap:
         return SlotMap(shard_of, n, self.version + 1, [s for s, (a, b) in enumerate(zip(self.shard_of, shard_of, strict=True)) if a != b])
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Versions lie beside each other; none is overwritten."""
-        row = [(self.version, json.dumps({"shard_of": self.shard_of, "n_shards": self.n_shards, "moved": self.moved}))]
-        spark.createDataFrame(row, "version int, map string").coalesce(1).write.mode("append").parquet(path)
+        """Versions lie beside each other; none is overwritten, and to save one again is an error."""
+        row = [(json.dumps({"shard_of": self.shard_of, "n_shards": self.n_shards, "moved": self.moved}),)]
+        spark.createDataFrame(row, "map string").coalesce(1).write.parquet(f"{path}/version={self.version}")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        rows = spark.read.parquet(path)
+    def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+        """A version, by default the last; None where nothing has been saved."""
+        try:
+            rows = spark.read.schema("map string, version int").parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
         chosen = rows.where(F.col("version") == version) if version is not None else rows.orderBy(F.desc("version"))
-        version, text = chosen.first()
-        return SlotMap(version=version, **json.loads(text))
+        row = chosen.first()
+        return row and SlotMap(version=row["version"], **json.loads(row["map"]))
 
 
-def _slot(group: Column, own: Column, parts: Column) -> Column:
-    """Rows of a group share a slot, unless the group is dealt over several by the rows' own keys."""
-    return F.pmod(F.xxhash64(group, F.pmod(own, parts)), F.lit(SLOTS)).cast("int")
+#: Rows of a slot that one task numbers.
+NUMBERED_ROWS = 250_000
 
 
 def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 24, map_path: str | None = None) -> DataFrame:
     """For each row: doc_id, size, text_crc32, law `bytes`, shard 0..n_shards-1, slot (the row's place in its shard, from 0 without
     gaps), grown_shard (null under this law) and virtual_slot.
 
-    Rows with equal texts share a virtual slot, and so a shard, except for groups with more than an eighth of a shard's even
-    share of bytes: these, at most 8 * n_shards of them whatever the input, are dealt over several slots by id. The map is made for slots in turn,
-    rebalanced by the bytes of each slot, and kept in both versions at map_path (a folder in the shared one by default).
-    A null text has no bytes and the crc32 of an empty one. Null ids and repeated rows are rows like others; exact repeats
-    take neighbouring places. Other columns are ignored; an empty table gives no rows.
+    Rows with equal texts share a virtual slot, and so a shard. Only a group that alone exceeds a shard's even share of the bytes, of which
+    there are fewer than n_shards, is dealt over more slots, row by row. The last version of the map at map_path (by default a new folder in
+    the shared one) is rebalanced by the bytes of each slot and saved as the next; where there is none, version 0 deals slots in turn.
+    A null text has no bytes and the crc32 of an empty one; very long texts are rows like others, and where one text is larger than an even share its
+    shard is too. Null ids and repeated rows are rows of their own. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"),
+        F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"), F.monotonically_increasing_id().alias("row"),
     )
     sized = written(sized, "shard-sizes")
     total = sized.agg(F.sum("size")).first()[0] or 0
-    share = max(1, total // (8 * n_shards))
+    share = max(1, total // n_shards)
     groups = sized.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    large = groups.where((F.col("bytes") > share) & (F.col("n") > 1)).select("group", F.ceil(F.col("bytes") * SLOTS / (8 * n_shards * share)).alias("parts"))
-    placed = sized.join(F.broadcast(large), "group", "left")
-    placed = placed.withColumn("virtual_slot", _slot(F.col("group"), F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    placed = written(placed, "shard-slots")
+    large = groups.where((F.col("bytes") > share) & (F.col("n") > 1)).select("group", F.ceil(F.col("bytes") * SLOTS / total).alias("parts"))
+    slot = F.pmod(F.xxhash64("group", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))), F.lit(SLOTS)).cast("int")
+    placed = written(sized.join(F.broadcast(large), "group", "left").withColumn("virtual_slot", slot).drop("parts", "group"), "shard-slots")
 
     per_slot = placed.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # SLOTS rows at most
-    first = SlotMap.initial(SLOTS, n_shards)
-    current = first.rebalanced({r["virtual_slot"]: r["bytes"] for r in per_slot})
     path = map_path or new_path(spark, "slot-map")
-    first.save(spark, path)
+    before = SlotMap.load(spark, path)
+    if before is None:
+        before = SlotMap.initial(SLOTS, n_shards)
+        before.save(spark, path)
+    current = before.rebalanced({r["virtual_slot"]: r["bytes"] for r in per_slot}, n_shards)
     current.save(spark, path)
 
     rows = {r["virtual_slot"]: r["n"] for r in per_slot}
     starts, at = [], [0] * n_shards
     for s in range(SLOTS):
-        starts.append((s, current.shard_of[s], at[current.shard_of[s]]))
-        at[current.shard_of[s]] += rows.get(s, 0)
-    where = F.broadcast(spark.createDataFrame(starts, "virtual_slot int, shard int, start long"))
-    nth = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "group", "size"))
-    return (
-        placed.join(where, "virtual_slot")
-        .withColumn("slot", F.col("start") + nth - 1)
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
-    )
+        shard_of = current.shard_of[s]
+        starts.append((s, shard_of, at[shard_of], -(-rows.get(s, 0) // NUMBERED_ROWS)))
+        at[shard_of] += rows.get(s, 0)
+    where = F.broadcast(spark.createDataFrame(starts, "virtual_slot int, shard int, start long, parts int"))
+    # a slot with very many rows is numbered in parts, of which there are a few for each slot
+    own = placed.join(where, "virtual_slot").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    parts = own.where("parts > 1").groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("n"))
+    begins = parts.select("virtual_slot", "part", (F.sum("n").over(Window.partitionBy("virtual_slot").orderBy("part")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "row"))
+    numbered = own.join(begins, ["virtual_slot", "part"], "left").withColumn("slot", F.col("start") + F.coalesce("before", F.lit(0)) + nth - 1)
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

@@ -9,6 +9,7 @@ can still be among the k best; those rows are rescored exactly. The k best of ea
 from __future__ import annotations
 
 import math
+import operator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import written
 
 LEVELS = 8
-CHECK_EVERY = 32
+#: A proof is looked for after so many segments, and then each time that a quarter more have been read.
+FIRST_CHECK = 32
+#: Rows whose squared length, scaled, is below this have scores that fit a long; others are scored in Python integers.
+SHORT = float(2**62)
 
 
 class ImpactIndex:
@@ -51,11 +55,12 @@ class ImpactIndex:
         total = np.full(n, floor.sum(), dtype=np.int64)
         left = gain.reshape(width, -1).copy()
         flat = left.reshape(-1)
-        enough = max(4 * k, n // 32)
+        enough, due = max(4 * k, n // 32), FIRST_CHECK
         for i, s in enumerate(order, 1):
             total[self.rows[s]] += gain[s]
             flat[s] = 0
-            if i % CHECK_EVERY == 0 and i * 2 >= len(order):
+            if i == due:
+                due += max(FIRST_CHECK, i // 4)
                 best = np.argpartition(-total, k)[: 4 * k]
                 least = np.partition(self.vectors[best] @ query, len(best) - k)[len(best) - k]
                 can = np.flatnonzero(total + left.max(axis=1).sum() >= least)
@@ -65,33 +70,33 @@ class ImpactIndex:
         least = np.partition(self.vectors[best] @ query, len(best) - k)[len(best) - k]
         return np.flatnonzero(total >= least)
 
-    def search(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+    def search(self, query: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """(id, score) of the k best, without the query's own row."""
         can = self.possible(query, k + 1)  # the query's own row may take a place
         scores = self.vectors[can] @ query
         order = np.lexsort((ids[can], -scores))
-        return [(int(ids[can[i]]), int(scores[i])) for i in order[: k + 1] if ids[can[i]] != own][:k]
+        return [(int(ids[can[i]]), int(scores[i])) for i in order[: k + 1] if rows[can[i]] != own][:k]
 
 
-def _matrix(values: pd.Series, width: int) -> np.ndarray:
+def _matrix(values: pd.Series, width: int, scale: int) -> np.ndarray:
     out = np.zeros((len(values), width), dtype=np.int64)
     for i, v in enumerate(values):
-        out[i, : len(v)] = v
+        out[i, : len(v)] = np.floor(np.asarray(v, dtype=np.float64) * scale)
     return out
 
 
-def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v array<bigint>): floor(scale * x), one row for each id."""
+def _exact(vector: np.ndarray, scale: int) -> list[int]:
+    """Components of any size as Python integers."""
+    return [int(x) * scale if abs(x) >= 2**53 else math.floor(x * scale) for x in map(float, vector)]
+
+
+def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
+    """(row, id, x array<double>, short boolean): rows that take part; row tells them apart."""
     x = F.transform(F.col(vec_col), lambda e: e.cast("double"))
-    good = ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    # a squared length below 2^62 keeps every inner product of two such vectors within a long
-    short = F.aggregate(x, F.lit(0.0), lambda a, e: a + (F.abs(e) * scale + 1) * (F.abs(e) * scale + 1)) < float(2**62)
-    return (
-        vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
-        .where(good)
-        .where(short)
-        .groupBy(F.col(id_col).cast("long").alias("id"))
-        .agg(F.max(F.transform(x, lambda e: F.floor(e * scale))).alias("v"))
-    )
+    good = ~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    short = F.aggregate("x", F.lit(0.0), lambda a, e: a + (F.abs(e) * scale + 1) * (F.abs(e) * scale + 1)) < SHORT
+    found = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), x.alias("x"))
+    return found.where("id is not null AND x is not null").where(good).withColumn("short", short)
 
 
 def impact_topk(
@@ -107,20 +112,21 @@ def impact_topk(
 ) -> DataFrame:
     """The k highest integer inner products of each query with all other rows, ties to the smaller id.
 
-    is_query: a condition over the column `id`. Vectors that are null, hold a null or non-finite component, or are
-    too long for a score to fit a long take no part; a null id takes none. Of rows that repeat an id, the largest
-    vector counts. Missing trailing components of a shorter vector count as 0; an empty vector scores 0. Other
-    columns are ignored. An empty table gives no rows. Memory of a task: one block of each kind.
+    is_query: a condition over the column `id`. Vectors that are null or hold a null or non-finite component take no part; a null id
+    takes none. Rows that repeat an id are rows of their own, as queries and as candidates: each query row has its own ranks, and only the row
+    itself isn't among its candidates. Missing trailing components of a shorter vector count as 0; an empty vector scores 0. Very long
+    vectors are scored in exact integers; an answer that doesn't fit a long raises an error. Other columns are ignored,
+    whatever their names. An empty table gives no rows. Memory of a task: one block of each kind.
     Returns query_id long, rank int, vec_id long, score long.
     """
-    rows = written(quantised(vectors.select(id_col, vec_col), id_col, vec_col, scale), "topk-vectors")
+    rows = written(usable(vectors, id_col, vec_col, scale), "topk-vectors")
     queries = rows.where(is_query)
     n, n_queries = rows.count(), queries.count()
     blocks, query_blocks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(n_queries / query_rows))
 
     def deal(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
         return df.select(
-            "id", "v", F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int").alias(own),
+            "row", "id", "x", "short", F.pmod(F.xxhash64("row"), F.lit(own_n)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other),
         )
 
@@ -130,14 +136,23 @@ def impact_topk(
     def search(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(found):
-            width = max(found["v"].map(len).max(), asked["v"].map(len).max())
-            index, ids = ImpactIndex(_matrix(found["v"], width)), found["id"].to_numpy()
-            for own, q in zip(asked["id"], _matrix(asked["v"], width), strict=True):
-                out += [(own, *hit) for hit in index.search(q, ids, own, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    hits = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+            width = max(found["x"].map(len).max(), asked["x"].map(len).max())
+            near, far = found[found["short"]], found[~found["short"]]
+            index = ImpactIndex(_matrix(near["x"], width, scale)) if len(near) else None
+            far_ints = [_exact(v, scale) for v in far["x"]]
+            near_ints = [_exact(v, scale) for v in near["x"]] if not asked["short"].all() else []
+            for row, own, x, short in zip(asked["row"], asked["id"], asked["x"], asked["short"], strict=True):
+                hits = index.search(_matrix(pd.Series([x]), width, scale)[0], near["id"].to_numpy(), near["row"].to_numpy(), row, k) if short and index else []
+                if far_ints or not short:
+                    q = _exact(x, scale)
+                    for rest, ints in ((far, far_ints), (near, [] if short else near_ints)):
+                        hits += [(i, sum(map(operator.mul, q, v))) for r, i, v in zip(rest["row"], rest["id"], ints, strict=False) if r != row]
+                    hits = sorted(hits, key=lambda h: (-h[1], h[0]))[:k]
+                if any(abs(score) >= 2**63 for _, score in hits):
+                    raise ValueError(f"a score of vector {own} doesn't fit a long")
+                out += [(row, own, *hit) for hit in hits]
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
+
+    hits = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(search, "row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

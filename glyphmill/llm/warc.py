@@ -16,8 +16,10 @@ from glyphmill.llm.common import arrow_schema, batch_of, new_path, rows_of, writ
 
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records of an archive file at most; a reader holds one file at a time.
-FILE_RECORDS = 2000
+#: Payload bytes of an archive file, about; a reader holds one file at a time.
+FILE_BYTES = 16 << 20
+#: Index rows of a range, about; a merge holds one range at a time.
+RANGE_ROWS = 50_000
 FIRST_CAPTURE = 1704067200  # 2024-01-01; a page's capture date is so many seconds, plus its id (mod 10^9), after the epoch
 
 
@@ -42,9 +44,14 @@ def records(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, min_r
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha1"))
-    last = rows.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(last, "sha1", "left")
-    revisit = (F.octet_length("payload") >= min_revisit_bytes) & F.coalesce((F.col("page_id") < F.col("last")) | (F.col("page_id").isNull() & F.col("last").isNotNull()), F.lit(False))
+    # who revisits whom is found on hashes; payloads are dealt by id and hash, so that equal ones don't meet in a task
+    row = F.concat_ws(":", "sha1", F.col("page_id").cast("string")).alias("row")
+    hashes = written(rows.select(row, "page_id", "sha1", F.octet_length("payload").cast("long").alias("bytes")), "warc-hashes")
+    of_equal = hashes.where(F.col("bytes") >= min_revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 AND last is not null")
+    told = hashes.join(of_equal, "sha1").where("page_id is null OR page_id < last").select("row", "last").distinct()
+    files = max(1, -(-(hashes.agg(F.sum("bytes")).first()[0] or 0) // FILE_BYTES))
+    rows = rows.withColumn("row", row).repartition(files, "row").join(told, "row", "left")
+    revisit = F.col("last").isNotNull()
     body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     date = F.date_format(F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
@@ -63,11 +70,25 @@ def records(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, min_r
 def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0) -> None:
     """Compressed archives through Spark's own writer, so that they can lie in any store and survive lost tasks."""
     out = records(pages, id_col=id_col, url_col=url_col, html_col=html_col, min_revisit_bytes=min_revisit_bytes)
-    out.write.options(lineSep=END, compression="gzip", maxRecordsPerFile=FILE_RECORDS).text(path)
+    out.write.options(lineSep=END, compression="gzip").text(path)
 
 
-def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record, by the lengths that the headers tell."""
+def members(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """(where it starts, what it holds) of each gzip member of a file: one for a whole file, or one for each record."""
+    at = 0
+    while at < len(content):
+        start, out, one = at, [], zlib.decompressobj(wbits=47)
+        while not one.eof and at < len(content):
+            chunk = content[at : at + 65536]
+            out.append(one.decompress(chunk))
+            at += len(chunk) - len(one.unused_data)
+        if not one.eof:
+            raise ValueError("the last gzip member is cut off")
+        yield start, b"".join(out)
+
+
+def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    """Headers, block and place of each record, by the lengths that the headers tell."""
     at = 0
     while at < len(content):
         stop = content.index(b"\r\n\r\n", at)
@@ -75,7 +96,7 @@ def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
         start = stop + 4
         end = start + int(headers["Content-Length"])
-        yield headers, content[start:end]
+        yield headers, content[start:end], at
         at = end + len(END)
 
 
@@ -88,26 +109,27 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-_INDEX = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string"
+_INDEX = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, member long, offset long, run string"
 _INDEX_SCHEMA = arrow_schema(_INDEX)
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """Reads archives back into index rows, one locally sorted run for each file. Digests are made from the payloads as read;
-    that of a revisit, which has none, is the header's, and its length is left open."""
+    that of a revisit, which has none, is the header's, and its length is left open. member and offset tell where a record is: the start of its
+    gzip member in the file, and its place in that."""
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in rows_of(batch):
                 out = []
-                for h, block in parsed(zlib.decompress(content, wbits=47)):
+                for member, h, block, at in ((m, *r) for m, part in members(content) for r in parsed(part)):
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
                     mark = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     revisit = h["WARC-Type"] == "revisit"
                     if not revisit and digest(payload) != mark:
                         raise ValueError(f"{name}: the payload of {h['WARC-Record-ID']} doesn't match its digest")
                     refers = _id(h["WARC-Refers-To"]) if revisit else None
-                    out.append((h["X-Url-Key"], h["WARC-Date"], _id(h["WARC-Record-ID"]), None if revisit else len(payload), mark, h["WARC-Type"], refers, name.rpartition("/")[2]))
+                    out.append((h["X-Url-Key"], h["WARC-Date"], _id(h["WARC-Record-ID"]), None if revisit else len(payload), mark, h["WARC-Type"], refers, member, at, name.rpartition("/")[2]))
                 yield batch_of(sorted(out, key=_order), _INDEX_SCHEMA)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
@@ -164,9 +186,11 @@ class LoserTree:
 def histories(runs: DataFrame) -> DataFrame:
     """Index rows in global order of URL key, capture date and id: ranges of keys, and in each a merge of the runs' sorted slices.
 
-    Ranges follow date and id too, so that a URL with very many captures is spread over several.
+    Ranges hold about RANGE_ROWS rows each, which is all that a merge has in memory. They follow date, id and place too, so that a URL, or an id, with
+    very many captures is spread over several.
     """
-    ranged = runs.repartitionByRange("url_key", "captured", "page_id").sortWithinPartitions("run", "url_key", "captured", F.asc_nulls_first("page_id"))
+    ranges = max(1, -(-runs.count() // RANGE_ROWS))
+    ranged = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "run", "member", "offset").sortWithinPartitions("run", "url_key", "captured", F.asc_nulls_first("page_id"))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: dict[str, list[tuple]] = {}
@@ -190,7 +214,7 @@ def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
 
     A null html is an empty payload, a null url an empty one; line breaks in a url are left out. A null id is an empty name:
     such a page revisits an equal payload that has an id. Of rows that repeat an id with equal payloads, all with the largest id are
-    responses. Other columns are ignored; an empty table gives no rows.
+    responses. Very long payloads are records like others. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     path = new_path(pages.sparkSession, "warc")
     write(pages, path, id_col=id_col, url_col=url_col, html_col=html_col, min_revisit_bytes=min_revisit_bytes)
@@ -199,4 +223,4 @@ def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     sizes = found.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
     revisits = found.where("record_type = 'revisit'").join(sizes, "payload_digest", "left").withColumn("payload_bytes", F.col("full"))
     whole = found.where("record_type = 'response'").unionByName(revisits.drop("full")).select(*_INDEX_SCHEMA.names)
-    return histories(whole).drop("run")
+    return histories(whole).drop("run", "member", "offset")

@@ -45,16 +45,13 @@ def test_topk(spark):
     vectors += [(500, vectors[7][1]), (501, vectors[7][1]), (8, vectors[8][1])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumns({"score": F.lit(1), "rank": F.lit(2)})
     found = collect(topk.impact_topk(df, F.col("id") % 100 == 0, block_rows=100, query_rows=3))
-    kept = {}
-    for i, v in vectors:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(1024 * float(np.float32(x)))) for x in v]
-            kept[i] = max(kept.get(i, q), q)
-    want = {}
-    for q in [i for i in kept if i % 100 == 0]:
-        scores = sorted(((-sum(a * b for a, b in zip(kept[q], v, strict=False)), i) for i, v in kept.items() if i != q))[:10]
-        want |= {(q, r): (i, -s) for r, (s, i) in enumerate(scores, 1)}
-    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found} == want
+    kept = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for n, (q, x) in enumerate(kept):
+        if q % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, v, strict=False)), i) for m, (i, v) in enumerate(kept) if m != n)[:10]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(want)
     assert collect(topk.impact_topk(df.limit(0), F.col("id") % 100 == 0)) == []
 
 
@@ -227,6 +224,9 @@ def test_sharding(spark, docs, tmp_path):
     assert sorted((r["size"], r["text_crc32"]) for r in found) == sorted((len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
     new = sharding.SlotMap.load(spark, str(tmp_path / "map"))
     assert new.version == 1 and sharding.SlotMap.load(spark, str(tmp_path / "map"), 0).shard_of == [s % 3 for s in range(sharding.SLOTS)]
+    assert sharding.SlotMap.load(spark, str(tmp_path / "none")) is None
+    sharding.shard(df, n_shards=3, map_path=str(tmp_path / "map")).count()  # another run edits the last version
+    assert sharding.SlotMap.load(spark, str(tmp_path / "map")).version == 2 and sharding.SlotMap.load(spark, str(tmp_path / "map"), 1).shard_of == new.shard_of
     grown = new.rebalanced(dict.fromkeys(range(sharding.SLOTS), 100), 4)
     loads = [grown.shard_of.count(s) for s in range(4)]
     assert grown.version == 2 and max(loads) - min(loads) <= 1 and len(grown.moved) < 0.4 * sharding.SLOTS
