@@ -27,9 +27,9 @@ BITS = 8
 #: Estimates lie this many standard deviations below the threshold once in ten million times.
 SIGMAS = 5.0
 #: Members of a group that are compared at once, and representatives that every block of a larger group meets.
-BLOCK, REPRESENTATIVES = 256, 16
+BLOCK, REPRESENTATIVES = 1000, 64
 #: A node of a graph is a hub from HUB edges and 1/HEAVY_PARTS of all on, so that there are fewer than HEAVY_PARTS.
-HUB, HEAVY_PARTS = 1000, 1024
+HUB, HEAVY_PARTS = 250, 1024
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**32, N_HASHES, dtype=np.uint32)[:, None] | np.uint32(1)
