@@ -7,16 +7,43 @@ from pyspark.sql import functions as F
 
 #: Bonus of a symbol kind in search ranking; other kinds have none.
 KIND_BONUS = {
-    "function": 10, "method": 10, "class": 8, "interface": 9, "struct": 6, "trait": 9, "protocol": 9, "enum": 6, "component": 8, "route": 9, "type_alias": 6,
-    "module": 4, "namespace": 4, "property": 3, "field": 3, "constant": 3, "variable": 2, "enum_member": 3, "import": 1, "export": 1, "parameter": 0, "file": 0,
+    "function": 10, "method": 10, "class": 8, "interface": 9, "type_alias": 6, "struct": 6, "trait": 9, "enum": 5, "component": 8, "route": 9, "module": 4, "property": 3, "field": 3,
+    "variable": 2, "constant": 3, "import": 1, "export": 1, "parameter": 0, "namespace": 4, "file": 0, "protocol": 9, "enum_member": 3,
 }
 #: Reward weights of an extra file, a prompt token, a revisit and the trim overlap.
 EXTRA_FILE, TOKEN, REVISIT, OVERLAP = 0.15, 2e-5, 0.05, 0.2
-#: Knobs with default, least and most.
+#: Knobs of a profile with default, least and most, and what intents set instead.
 KNOBS = (
-    ("max_memories", 5, 2, 10), ("max_snippets", 5, 1, 10), ("max_callers", 10, 3, 25), ("max_callees", 10, 3, 25), ("max_importers", 8, 2, 20), ("max_extends", 8, 2, 20),
-    ("max_methods", 10, 3, 25), ("max_related", 8, 2, 20), ("max_trace", 3, 1, 6), ("max_hints", 8, 2, 20), ("max_decisions", 4, 1, 10), ("max_docs", 4, 1, 10),
+    ("max_trace", 5, 3, 8), ("caller_hops", 2, 0, 3), ("max_upstream", 10, 3, 25), ("max_downstream", 5, 2, 15), ("max_importers", 10, 3, 20), ("max_methods", 8, 3, 20),
+    ("max_siblings", 15, 3, 30), ("max_snippets", 10, 1, 10), ("max_impact", 15, 5, 30), ("max_symbols", 20, 3, 25), ("max_primary_ctx", 10, 3, 25), ("max_decisions", 5, 3, 10),
 )
+KNOBS_OF = {
+    "debug": {"max_upstream": 20, "max_downstream": 10, "max_snippets": 7}, "explore": {"max_siblings": 25, "max_upstream": 5, "max_downstream": 3},
+    "trace": {"max_upstream": 20, "max_downstream": 10, "max_importers": 15}, "refactor": {"max_impact": 25, "max_importers": 15, "max_methods": 12},
+}
+#: Most of a knob from so many memories with a file on; the last that holds counts.
+SHRUNK = (
+    ("max_symbols", 1, 5), ("max_snippets", 1, 2), ("max_siblings", 1, 5), ("max_trace", 2, 3), ("caller_hops", 2, 1),
+    ("max_trace", 3, 2), ("max_snippets", 3, 1), ("max_siblings", 3, 3), ("max_symbols", 3, 3),
+)
+
+
+def profile_knob(knob: str, intent: Column) -> Column:
+    """A knob's value for an intent, within its bounds."""
+    _, default, least, most = next(k for k in KNOBS if k[0] == knob)
+    out = F.lit(default)
+    for name, own in KNOBS_OF.items():
+        if knob in own:
+            out = F.when(intent == name, own[knob]).otherwise(out)
+    return F.greatest(F.lit(least), F.least(F.lit(most), out))
+
+
+def shrunk_knob(knob: str, value: Column, memories: Column) -> Column:
+    """Less of a knob where memories that point at files were found."""
+    for own, least, most in SHRUNK:
+        if own == knob:
+            value = F.when(memories >= least, F.least(value, F.lit(most))).otherwise(value)
+    return value
 
 
 def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -76,8 +103,27 @@ def path_relevance(path: Column, words: list[str]) -> Column:
     return total - F.when(is_test_path(path), 15).otherwise(0)
 
 
-TEST_PATH = "(^|/)(tests?|__tests__|spec|e2e|fixtures)/|(^|/)test_[^/]*$|[._-](test|spec)\\.[A-Za-z]+$|_test\\.go$|(Test|Tests|Spec)\\.[A-Za-z]+$"
-GENERATED_PATH = "\\.pb\\.go$|_pb2?\\.py$|\\.generated\\.[a-z]+$|\\.gen\\.[a-z]+$|(^|/)generated/|\\.min\\.js$|(^|/)dist/|(^|/)vendor/|^mock_"
+#: What makes a path one of tests or of other non-production code. File names first, then folders.
+TEST_PATH = "|".join((
+    "(?i:(^|/)test[_.][^/]*$)", "(?i:[._-](test|tests|spec|specs)\\.[a-z0-9]+$)", "(Test|Tests|TestCase|Tester|Spec|Specs)\\.[A-Za-z0-9]+$",
+    "(?i:/(tests|test|__tests__|spec|specs|testlib|testing)/)", "(?i:^(test|tests|spec|specs)/)", "(^|/)[A-Za-z0-9]*(Test|Tests|Spec)/",
+    "(?i:(^|/)(integration|sample|samples|example|examples|fixture|fixtures|benchmark|benchmarks|demo|demos)/)",
+))
+#: Names of generated files, by language.
+GENERATED_PATH = "|".join((
+    "\\.pb\\.go$", "\\.pulsar\\.go$", "_grpc\\.pb\\.go$", "_mock\\.go$", "_mocks\\.go$", "^mock_[^/]+\\.go$", "\\.generated\\.[jt]sx?$", "\\.gen\\.[jt]sx?$", "\\.pb\\.[jt]s$",
+    "_pb\\.[jt]s$", "_grpc_pb\\.[jt]s$", "_pb2(_grpc)?\\.py$", "_pb2\\.pyi$", "\\.pb\\.(cc|h)$", "\\.g\\.cs$", "Grpc\\.cs$", "OuterClass\\.java$", "Grpc\\.java$", "\\.pb\\.swift$",
+    "\\.g\\.dart$", "\\.freezed\\.dart$", "\\.pb\\.dart$", "\\.pbgrpc\\.dart$", "\\.chopper\\.dart$", "\\.generated\\.rs$",
+))
+#: Tests that aren't worth naming as a project's main files, over the lower-cased path; generated files are beside them.
+LOW_VALUE_PATH = "|".join((
+    "(^|/)(tests?|__tests?__|spec)/", "_test\\.go$", "(^|/)test_[^/]+\\.py$", "_test\\.py$", "_spec\\.rb$", "_test\\.rb$", "\\.(test|spec)\\.[jt]sx?$",
+    "(test|spec|tests)\\.(java|kt|scala)$", "(tests?|spec)\\.cs$", "tests?\\.swift$", "_test\\.dart$",
+))
+
+
+def is_low_value(path: Column) -> Column:
+    return F.rlike(F.lower(path), F.lit(LOW_VALUE_PATH)) | is_generated(path)
 
 
 def is_test_path(path: Column) -> Column:

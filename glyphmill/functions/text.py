@@ -5,16 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning in a query.
-STOP_WORDS = (
-    "the", "and", "for", "with", "that", "this", "from", "how", "what", "where", "when", "which", "does", "are", "was", "has", "have", "not", "can", "all", "its", "into",
-    "use", "used", "using", "find", "show", "get", "code", "file", "function", "method", "class", "in", "of", "to", "is", "it", "on", "by", "an", "or", "be", "as", "at", "a",
-)
-#: Intents by keyword, in the order in which they are tried.
+#: Words without meaning in a symbol search.
+STOP_WORDS = tuple("""
+the a an and or but in on at to for of with by from is it that this are was be has had have do does did will would could should may might can shall not no all each
+every how what where when who which why i me my we our you your he she they show give tell been done made used using work works found also into then than just more some such
+over only out its so up as if look need needs want happen happens affect affected break breaks failing implemented implement code file files function method class type fix bug called
+""".split())
+#: Words without meaning in a question.
+QUERY_STOP_WORDS = tuple("""
+the a an and or but is in on at to for of with by from as into how what why where when which does do did can could should would will this that these those
+be been being have has had it its i we you me my about any all
+""".split())
+#: Words without meaning in the label of a topic.
+TOPIC_STOP_WORDS = tuple("""
+a an the this that these those my our your their its it they some any all no none each every and or but if so than then of to in on at by for with from into onto as via about
+is are was were be been being do does did doing done have has had having will would can could should may might must shall how what why when where which who whom whose
+explain show tell list find give get set make see look help need want use used uses using work works working worked
+fix fixes fixed fixing add adds added adding remove removes removed removing modify modifies modified modifying update updates updated updating
+please just also only very more most less least such like even here there now yet still code codebase repo project
+""".split())
+#: Terms of an intent, in the order in which intents are tried.
 INTENT_WORDS = (
-    ("debug", ("bug", "error", "crash", "fail", "broken", "exception", "fix", "panic")), ("trace", ("call", "flow", "trace", "path", "chain", "route")),
-    ("refactor", ("refactor", "rename", "move", "extract", "clean", "split")), ("explore", ("where", "find", "list", "show", "explain", "overview")),
-)
+    ("debug", ("debug", "bug", "error", "fix", "crash", "panic", "nil pointer", "why does", "broken", "failing", "failure", "wrong", "issue", "not working", "unexpected")),
+    ("trace", ("trace", "flow", "propagate", "upstream", "downstream", "call chain", "how does", "reach", "path from", "path to", "end to end", "e2e", "sequence")),
+    ("refactor", ("refactor", "rename", "move", "impact", "what breaks", "who uses", "who calls", "callers of", "dependents", "breaking change", "deprecate")),
+    ("explore", ("what is", "explain", "understand", "overview", "how does", "describe", "summarize", "architecture", "structure", "purpose of", "role of")),
+)
 
 
 def split_symbol(x: Column) -> Column:
@@ -32,8 +48,8 @@ def keywords(x: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]{3,}"), 0))
 
 
-def without_stop_words(words: Column) -> Column:
-    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+def without_stop_words(words: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    return F.filter(words, lambda w: ~w.isin(*stop))
 
 
 def light_stem(w: Column) -> Column:
@@ -46,7 +62,7 @@ def light_stem(w: Column) -> Column:
 def query_words(x: Column) -> Column:
     """Trimmed of punctuation, two characters or more, no stop words, stemmed, distinct."""
     raw = F.transform(F.split(F.lower(F.coalesce(x, F.lit(""))), "\\s+"), lambda w: F.regexp_replace(w, "^[^a-z0-9]+|[^a-z0-9]+$", ""))
-    return F.array_distinct(F.transform(F.filter(raw, lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS)), light_stem))
+    return F.array_distinct(F.transform(F.filter(raw, lambda w: (F.length(w) >= 2) & ~w.isin(*QUERY_STOP_WORDS)), light_stem))
 
 
 def stem_variants(w: Column) -> Column:
@@ -57,8 +73,9 @@ def stem_variants(w: Column) -> Column:
 
 
 def topic_label(x: Column) -> Column:
-    """The first three distinct words, hyphened, cut at a hyphen to at most 40 characters."""
-    label = F.array_join(F.slice(F.array_distinct(without_stop_words(words_of(x, 3))), 1, 3), "-")
+    """The first three distinct words that aren't numbers, hyphened, cut at a hyphen to at most 40 characters."""
+    words = F.filter(without_stop_words(words_of(x, 3), TOPIC_STOP_WORDS), lambda w: ~F.rlike(w, F.lit("^[0-9]+$")))
+    label = F.array_join(F.slice(F.array_distinct(words), 1, 3), "-")
     cut = F.substring(label, 1, 40)
     return F.when(F.length(label) <= 40, label).when(F.contains(cut, F.lit("-")), F.regexp_replace(cut, "-[^-]*$", "")).otherwise(cut)
 
@@ -80,7 +97,7 @@ def name_token(x: Column) -> Column:
 def intent(x: Column) -> Column:
     low, out = F.lower(F.coalesce(x, F.lit(""))), None
     for name, words in INTENT_WORDS:
-        hit = F.rlike(low, F.lit("\\b(" + "|".join(words) + ")"))
+        hit = F.rlike(low, F.lit("|".join(words)))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("general")
 

@@ -18,9 +18,9 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, *, stop: Column | None
 
     stop: a condition over `id`; such nodes are reached but not left.
     """
-    pairs = edges.select("source", "target").distinct()
+    pairs = edges.select("source", "target")  # steps are made distinct, so that pairs needn't be
     if not directed:
-        pairs = pairs.unionByName(pairs.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+        pairs = pairs.unionByName(reverse(pairs))
     seen = materialised(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):
@@ -52,52 +52,89 @@ def shortest_paths(edges: DataFrame, seed: Column, depth: int) -> DataFrame:
     return seen
 
 
-def cycle_members(edges: DataFrame, depth: int) -> DataFrame:
-    """(id): nodes that reach themselves, by pairs (start, at) grown one edge at a time. For dependency graphs between files, which are sparse."""
-    pairs = materialised(edges.select("source", "target").where("source <> target").distinct())
-    seen = materialised(pairs.select(F.col("source").alias("start"), F.col("target").alias("at")))
-    frontier = seen
-    for _ in range(depth):
-        step = frontier.join(pairs, F.col("at") == F.col("source")).select("start", F.col("target").alias("at")).distinct()
-        frontier = materialised(step.join(seen, ["start", "at"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = materialised(seen.unionByName(frontier))
-    return seen.where("start = at").select(F.col("start").alias("id")).distinct()
-
-
-def components_of(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, component): the smallest id of each connected component."""
-    both = materialised(edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
-    labels = both.select(F.col("source").alias("id")).distinct().withColumn("component", F.col("id"))
-    for _ in range(rounds):
-        near = both.join(labels, both["target"] == labels["id"]).groupBy(F.col("source").alias("id")).agg(F.min("component").alias("least"))
-        after = materialised(labels.join(near, "id").select("id", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved")))
-        labels = after.select("id", "component")
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(id): nodes that lie on a cycle, of any length.
+
+    Nodes without an edge in or out are peeled off until none is left to peel; of what stays, a node lies on a cycle if a smallest label that goes
+    forward and one that goes backward meet in it. Labels of decided parts are taken out and the rest is gone through again.
+    """
+    pairs = materialised(edges.select("source", "target").where("source <> target").distinct(), "cycle")
+    found = pairs.select(F.col("source").alias("id")).limit(0)
+    while True:
+        pairs = _peeled(pairs)
+        if pairs.isEmpty():
+            return found.distinct()
+        ahead, behind = _least_reaching(pairs), _least_reaching(reverse(pairs))
+        both = ahead.withColumnRenamed("label", "ahead").join(behind.withColumnRenamed("label", "behind"), "id").where("ahead = behind")
+        parts = materialised(both.select("id", F.col("ahead").alias("part")), "cycle-parts")
+        large = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
+        found = materialised(found.unionByName(parts.join(large, "part", "left_semi").select("id")), "cycle-found")
+        gone = parts.select("id")
+        pairs = pairs.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target")
+        pairs = materialised(pairs, "cycle")
+
+
+def _peeled(pairs: DataFrame) -> DataFrame:
+    """Pairs between nodes that have edges both in and out, over and over."""
+    n = None
+    while n != (n := pairs.count()) and n:
+        heads, tails = pairs.select("target").distinct(), pairs.select("source").distinct()
+        kept = pairs.join(heads.withColumnRenamed("target", "source"), "source", "left_semi").join(tails.withColumnRenamed("source", "target"), "target", "left_semi")
+        pairs = materialised(kept.select("source", "target"), "cycle-peeled")
+    return pairs
+
+
+def _least_reaching(pairs: DataFrame) -> DataFrame:
+    """(id, label): the smallest node from which each node can be reached, itself included."""
+    labels = materialised(pairs.select(F.col("source").alias("id")).unionByName(pairs.select(F.col("target").alias("id"))).distinct().withColumn("label", F.col("id")), "labels")
+    while True:
+        come = pairs.join(labels, pairs["source"] == labels["id"]).groupBy(F.col("target").alias("id")).agg(F.min("label").alias("come"))
+        after = materialised(labels.join(come, "id", "left").select("id", F.least("label", "come").alias("label"), F.coalesce(F.col("come") < F.col("label"), F.lit(False)).alias("moved")), "labels")
+        labels = after.select("id", "label")
         if after.where("moved").isEmpty():
+            return labels
+
+
+def components_of(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id of each connected component, by alternating large-star and small-star steps: few rounds, whatever the diameter."""
+    a, z = F.col("source"), F.col("target")
+    nodes = edges.select(a.alias("id")).unionByName(edges.select(z.alias("id"))).distinct()
+    pairs = materialised(edges.where(a != z).select(F.greatest(a, z).alias("a"), F.least(a, z).alias("b")).distinct(), "star")
+    before = None
+    while True:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialised(large, "star")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        pairs = materialised(small.where("a <> b").distinct(), "star")
+        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first())
+        if now == before:
             break
-    return labels
+        before = now
+    return nodes.join(pairs.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, *, restart: float = 0.25, rounds: int = 25) -> DataFrame:
     """(id, rank) over the undirected multigraph; parallel edges count, a dangling node keeps its mass, and without a seed
-    the restart is uniform."""
-    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    the restart is uniform. A round is one join and one sum: a node without edges has an edge to itself, and the restart is added as rows."""
+    both = edges.select("source", "target").unionByName(reverse(edges.select("source", "target")))
     weight = both.groupBy("source", "target").agg(F.count(F.lit(1)).alias("w"))
     degree = weight.groupBy("source").agg(F.sum("w").alias("degree"))
-    share = materialised(weight.join(degree, "source").select("source", "target", (F.col("w") / F.col("degree")).alias("p")))
-    nodes = share.select(F.col("source").alias("id")).unionByName(seeds.select("id")).distinct()
-    flagged = nodes.join(seeds.select("id", F.lit(1.0).alias("s")).distinct(), "id", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    share = weight.join(degree, "source").select("source", "target", (F.col("w") / F.col("degree")).alias("p"))
+    alone = seeds.select(F.col("id").alias("source")).distinct().join(degree, "source", "left_anti").select("source", F.col("source").alias("target"), F.lit(1.0).alias("p"))
+    share = materialised(share.unionByName(alone), "rank-share")
+    nodes = share.select(F.col("source").alias("id")).distinct()
+    flagged = materialised(nodes.join(seeds.select("id", F.lit(1.0).alias("s")).distinct(), "id", "left").withColumn("s", F.coalesce("s", F.lit(0.0))), "rank-seeds")
     totals = flagged.agg(F.sum("s").alias("n_seeds"), F.count(F.lit(1)).alias("n")).first()
-    start = F.col("s") / float(totals["n_seeds"]) if totals["n_seeds"] else F.lit(1.0 / max(1, totals["n"]))
-    base = materialised(flagged.select("id", start.alias("base")).join(degree.select(F.col("source").alias("id"), "degree"), "id", "left"))
-    ranks = base.select("id", F.col("base").alias("rank"))
+    base = flagged.select("id", (F.col("s") / float(totals["n_seeds"]) if totals["n_seeds"] else F.lit(1.0 / max(1, totals["n"]))).alias("rank"))
+    ranks, again = base, base.select("id", (F.lit(restart) * F.col("rank")).alias("rank"))
     for i in range(rounds):
-        flow = ranks.join(share, F.col("id") == F.col("source")).groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        kept = F.when(F.col("degree").isNull(), F.col("rank")).otherwise(0.0)
-        ranks = base.join(ranks, "id").join(flow, "id", "left").select("id", (F.lit(restart) * F.col("base") + F.lit(1 - restart) * (F.coalesce("got", F.lit(0.0)) + kept)).alias("rank"))
+        flow = ranks.join(share, F.col("id") == F.col("source")).select(F.col("target").alias("id"), (F.lit(1 - restart) * F.col("rank") * F.col("p")).alias("rank"))
+        ranks = flow.unionByName(again).groupBy("id").agg(F.sum("rank").alias("rank"))
         if i % 5 == 4:
-            ranks = materialised(ranks)
+            ranks = materialised(ranks, "rank")
     return ranks
 
 

@@ -19,24 +19,20 @@ SAMPLE_FLOOR, MAX_TOPICS, FP_DAYS, MAX_CALLBACKS, BREADTH, MAX_BREADTH = 20, 32,
 # ---- plan filters --------------------------------------------------------------------------------------------------
 
 
-def has_test_marker(path: Column) -> Column:
-    p = F.lower(path)
-    return p.contains("_test.go") | p.contains("/test/") | p.contains("/tests/") | p.startswith("test/") | p.startswith("tests/")
+#: What a term of a plan excludes: (term, column, kind of match, lower-case value).
+CONVENTIONS = (
+    ("test", "path", "contains", "_test.go"), ("test", "path", "contains", "/test/"), ("test", "path", "contains", "/tests/"), ("test", "path", "startswith", "test/"),
+    ("test", "path", "startswith", "tests/"), ("test", "name", "startswith", "test"), ("mock", "path", "contains", "/mock"), ("mock", "name", "startswith", "mock"),
+    ("fixture", "path", "contains", "/fixture"), ("fixture", "target path", "contains", "/testdata"),
+)
 
 
-def excluded(name: Column, path: Column, excludes: Sequence[str], fixtures: Sequence[str] = ("/fixture",)) -> Column:
-    """Whether a target goes by the conventions for test, mock and fixture; other terms exclude nothing here."""
-    n, p = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(path, F.lit("")))
-    out = F.lit(False)
-    for e in {x.strip().lower() for x in excludes}:
-        if e == "test":
-            out = out | has_test_marker(p) | n.startswith("test")
-        elif e == "mock":
-            out = out | p.contains("/mock") | n.startswith("mock")
-        elif e == "fixture":
-            for f in fixtures:
-                out = out | p.contains(f)
-    return out
+def by_convention(columns: dict[str, Column], terms: Sequence[str]) -> Column:
+    """Whether a row goes for one of the terms. columns: the row's name, path, and target path where it is a target of the graph."""
+    asked = {t.strip().lower() for t in terms}
+    low = {c: F.lower(F.coalesce(x, F.lit(""))) for c, x in columns.items()}
+    hits = [getattr(F, match)(low[c], F.lit(value)) for term, c, match, value in CONVENTIONS if term in asked and c in low]
+    return F.array_contains(F.array(F.lit(False), *hits), True)
 
 
 def any_term(text: Column, terms: Sequence[str]) -> Column:
@@ -50,7 +46,7 @@ def any_term(text: Column, terms: Sequence[str]) -> Column:
 def memory_plan(s, d):
     """Must terms are looked for in the structural text; a must that was found by itself would be advice only."""
     m = b.memories(s, d).select("key", "file")
-    return m.where(any_term(F.concat_ws(" ", "key", "file"), ("7", "src/1")) & ~excluded(F.lit(""), F.col("file"), ("test", "fixture"))).select("key")
+    return m.where(any_term(F.concat_ws(" ", "key", "file"), ("7", "src/1")) & ~by_convention({"path": F.col("file")}, ("test", "fixture"))).select("key")
 
 
 @query("filter_memory_scope", "SELECT key, scope FROM v_memories WHERE scope IN ('branch') AND repo = 'r1'")
@@ -63,11 +59,23 @@ SELECT e.source, e.target FROM (SELECT DISTINCT source, target FROM v_edges WHER
 WHERE (n.file_path IN ('parts/brand11/t1.py', 'parts/brand12/t3.py') OR contains(lower(n.name || ' ' || n.file_path), 'brand3')) AND NOT starts_with(lower(n.name), 'test')""")
 def call_chain(s, d):
     """Calls whose target has a must term, or lies in a file that the search found; targets by test conventions go."""
-    n = b.nodes(s, d).select(F.col("id").alias("target"), "name", "file_path").where(~excluded(F.col("name"), F.col("file_path"), ("test",), ("/fixture", "/testdata")))
+    n = b.nodes(s, d).select(F.col("id").alias("target"), "name", "file_path").where(~by_convention({"name": F.col("name"), "path": F.col("file_path"), "target path": F.col("file_path")}, ("test",)))
     n = n.where(F.col("file_path").isin("parts/brand11/t1.py", "parts/brand12/t3.py") | any_term(F.concat_ws(" ", "name", "file_path"), ("brand3",)))
     return b.edges(s, d, ("calls",)).select("source", "target").join(n.select("target"), "target", "left_semi").distinct()
 
 
+_SIBLINGS = "SELECT z.id FROM v_edges e JOIN v_nodes a ON a.id = e.source JOIN v_nodes z ON z.id = e.target WHERE e.kind = 'contains' AND a.kind = 'namespace' AND NOT (contains(lower(z.file_path), '_test.go') OR contains(lower(z.file_path), '/test/') OR contains(lower(z.file_path), '/tests/') OR starts_with(lower(z.file_path), 'test/') OR starts_with(lower(z.file_path), 'tests/') OR starts_with(lower(z.name), 'test') OR contains(lower(z.file_path), '/mock') OR starts_with(lower(z.name), 'mock'))"
+
+
+@query("filter_siblings", _SIBLINGS)
+def siblings(s, d):
+    """Members of a namespace by exclude terms only; a must term doesn't narrow them."""
+    n = b.nodes(s, d)
+    own = b.edges(s, d, ("contains",)).join(n.where("kind = 'namespace'").select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id"))
+    gone = by_convention({"name": F.col("name"), "path": F.col("file_path"), "target path": F.col("file_path")}, ("test", "mock"))
+    return n.select("id", "name", "file_path").where(~gone).join(own, "id").select("id")
+
+
 # ---- dashboards and samples ----------------------------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions import score, vector
+from glyphmill.functions import score, text, vector
 from glyphmill.operators import graph
+from glyphmill.operators.storage import materialised
 from glyphmill.plans import bindings as b
 from glyphmill.plans.registry import query
 
@@ -86,14 +87,29 @@ def flow_signal(s, d):
     return j.withColumn("r", ratio).orderBy(F.desc("r"), "key").limit(8).select("key", "useful", "dead", F.round("r", 6).alias("dead_ratio"))
 
 
-@query("reward_profile_deltas")
+_KNOBS = """(VALUES ('max_trace', 5, 3, 8), ('caller_hops', 2, 0, 3), ('max_upstream', 10, 3, 25), ('max_downstream', 5, 2, 15), ('max_importers', 10, 3, 20), ('max_methods', 8, 3, 20), ('max_siblings', 15, 3, 30),
+('max_snippets', 10, 1, 10), ('max_impact', 15, 5, 30), ('max_symbols', 20, 3, 25), ('max_primary_ctx', 10, 3, 25), ('max_decisions', 5, 3, 10)) k(knob, "default", least, most)"""
+_CURRENT = """CASE WHEN intent IN ('debug', 'trace') AND knob = 'max_upstream' THEN 20 WHEN intent IN ('debug', 'trace') AND knob = 'max_downstream' THEN 10 WHEN intent = 'debug' AND knob = 'max_snippets' THEN 7
+WHEN intent = 'explore' AND knob = 'max_siblings' THEN 25 WHEN intent = 'explore' AND knob = 'max_upstream' THEN 5 WHEN intent = 'explore' AND knob = 'max_downstream' THEN 3
+WHEN intent IN ('trace', 'refactor') AND knob = 'max_importers' THEN 15 WHEN intent = 'refactor' AND knob = 'max_impact' THEN 25 WHEN intent = 'refactor' AND knob = 'max_methods' THEN 12 ELSE "default" END"""
+
+
+@query("reward_profile_deltas", f"SELECT intent, n, knob, current, \"default\", current - \"default\" AS delta, least, most FROM (SELECT intent, n, knob, \"default\", least, most, {_CURRENT} AS current FROM (SELECT intent, count(*)::BIGINT AS n FROM v_traces GROUP BY intent), {_KNOBS})")
 def profile_deltas(s, d):
-    """Each knob with its value for the number of traces seen, default and bounds."""
-    n = b.traces(s, d).agg(F.count(F.lit(1)).alias("n"))
-    rows = F.array(*[F.struct(F.lit(k).alias("knob"), F.lit(v).alias("default"), F.lit(lo).alias("least"), F.lit(hi).alias("most")) for k, v, lo, hi in score.KNOBS])
-    r = n.select("n", F.explode(rows).alias("k")).select("n", "k.*")
-    now = F.greatest("least", F.least("most", F.col("default") + F.when(F.col("n") > 5000, 1).otherwise(0)))
-    return r.select("knob", now.alias("current"), "default", (now - F.col("default")).alias("delta"), "least", "most")
+    """Each intent's knobs beside the defaults and bounds."""
+    n = b.traces(s, d).groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
+    rows = [F.struct(F.lit(k).alias("knob"), score.profile_knob(k, F.col("intent")).alias("current"), F.lit(v).alias("default"), F.lit(lo).alias("least"), F.lit(hi).alias("most")) for k, v, lo, hi in score.KNOBS]
+    r = n.select("intent", "n", F.explode(F.array(*rows)).alias("k")).select("intent", "n", "k.*")
+    return r.withColumn("delta", F.col("current") - F.col("default"))
+
+
+@query("reward_profile_shrink", """SELECT event_id, CASE WHEN m >= 3 THEN 2 WHEN m = 2 THEN 3 ELSE 5 END AS max_trace, CASE WHEN m >= 2 THEN 1 ELSE 2 END AS caller_hops,
+CASE WHEN m >= 3 THEN 1 WHEN m >= 1 THEN 2 WHEN intent = 'debug' THEN 7 ELSE 10 END AS max_snippets, CASE WHEN m >= 3 THEN 3 WHEN m >= 1 THEN 5 WHEN intent = 'explore' THEN 25 ELSE 15 END AS max_siblings,
+CASE WHEN m >= 3 THEN 3 WHEN m >= 1 THEN 5 ELSE 20 END AS max_symbols FROM (SELECT event_id, intent, additional_files % 5 AS m FROM v_traces)""")
+def profile_shrink(s, d):
+    """The profile of a query's intent, less where memories that point at files answer it already."""
+    m = F.col("additional_files") % 5
+    return b.traces(s, d).select("event_id", *[score.shrunk_knob(k, score.profile_knob(k, F.col("intent")), m).alias(k) for k in ("max_trace", "caller_hops", "max_snippets", "max_siblings", "max_symbols")])
 
 
 @query("reward_implicit", "SELECT user_id, event_id, CASE WHEN same THEN 0.0::DOUBLE WHEN near THEN 0.4::DOUBLE END AS reward FROM (SELECT user_id, event_id, event_type = lag(event_type) OVER w AND value = lag(value) OVER w AS same, event_type = lag(event_type) OVER w AS near FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE near")
@@ -115,14 +131,31 @@ def anchor_scores(s, d):
 # ---- evaluation ----------------------------------------------------------------------------------------------------
 
 
-@query("eval_recall_mrr", "WITH hits AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id * 7919) % 1009, doc_id) AS rank, contains(d.text, b.text) AS gold FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40) SELECT item_id, round(count(*) FILTER (gold AND rank <= 10)::DOUBLE / greatest(1, count(*) FILTER (gold)), 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank) FILTER (gold), 0), 6) AS rr FROM hits GROUP BY item_id")
+_WORDS = "list_filter(list_distinct(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+')), lambda w: w <> '')"
+
+
+@query("eval_recall_mrr", f"""
+WITH iw AS (SELECT item_id, unnest({_WORDS}) AS w FROM benchmark), dw AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents WHERE text IS NOT NULL), df AS (SELECT w, count(*) AS n FROM dw GROUP BY w),
+pick AS (SELECT item_id, w, n FROM (SELECT item_id, w, n, row_number() OVER (PARTITION BY item_id ORDER BY n, w) AS r FROM iw JOIN df USING (w)) WHERE r <= 8),
+c AS (SELECT item_id, doc_id, sum(1000000 // n)::BIGINT AS score FROM pick JOIN dw USING (w) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c),
+g AS (SELECT r.item_id, rank FROM r JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE contains(d.text, b.text))
+SELECT b.item_id, count(g.rank)::BIGINT AS gold, round(count(*) FILTER (g.rank <= 10)::DOUBLE / greatest(1, count(g.rank)), 6) AS recall, round(coalesce(1.0::DOUBLE / min(g.rank), 0), 6) AS rr
+FROM benchmark b LEFT JOIN g USING (item_id) GROUP BY b.item_id""")
 def recall_mrr(s, d):
-    docs = b.docs(s, d).select("doc_id", "text", (F.col("doc_id") % 40).alias("slot"))
-    q = b.table(s, d, "benchmark").select("item_id", F.col("text").alias("needle"), (F.col("item_id") % 40).alias("slot"))
-    hits = docs.join(F.broadcast(q), "slot").select("item_id", "doc_id", F.contains("text", F.col("needle")).alias("gold"))
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy((F.col("doc_id") * 7919) % 1009, "doc_id")))
-    g = ranked.groupBy("item_id").agg(F.count_if(F.col("gold") & (F.col("rank") <= 10)).alias("top"), F.count_if("gold").alias("n"), F.min(F.when(F.col("gold"), F.col("rank"))).alias("first"))
-    return g.select("item_id", F.round(F.col("top") / F.greatest("n", F.lit(1)), 6).alias("recall"), F.round(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)), 6).alias("rr"))
+    """All documents are searched for each passage by its eight rarest words, weighed by how rare they are; gold are the documents that hold
+    the passage, all of which share those words. Words are joined, never pairs of texts; texts meet only for pairs that the search found."""
+    words = lambda c: F.array_distinct(text.words_of(F.col(c)))
+    docs, items = b.docs(s, d).where("text is not null").select("doc_id", "text"), b.table(s, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    iw = items.select("item_id", F.explode(words("passage")).alias("w"))
+    dw = materialised(docs.select("doc_id", F.explode(words("text")).alias("w")).join(iw.select("w").distinct(), "w", "left_semi"), "eval-words")
+    df = dw.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    pick = graph.top_per(iw.join(df, "w"), ["item_id"], [F.col("n"), F.col("w")], 8).select("item_id", "w", "n")
+    found = dw.join(pick, "w").groupBy("item_id", "doc_id").agg(F.sum(F.floor(F.lit(1_000_000) / F.col("n"))).alias("score"))
+    ranked = materialised(found.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))), "eval-ranked")
+    gold = ranked.join(items, "item_id").join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "rank")
+    g = items.select("item_id").join(gold, "item_id", "left").groupBy("item_id").agg(F.count("rank").alias("gold"), F.count_if(F.col("rank") <= 10).alias("top"), F.min("rank").alias("first"))
+    return g.select("item_id", "gold", F.round(F.col("top") / F.greatest("gold", F.lit(1)), 6).alias("recall"), F.round(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)), 6).alias("rr"))
 
 
 @query("eval_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
@@ -218,10 +251,12 @@ def memory_partition(s, d):
     return b.memories(s, d).groupBy("mem_type", section.alias("section")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("vector_populate_guard", "SELECT vec_id, file FROM v_memories WHERE source = 'auto' AND file NOT IN (SELECT file FROM v_memories WHERE source = 'agent' AND vec_id < 30)")
+@query("vector_populate_guard", "SELECT vec_id, repo, file, (repo || ' ' || file) NOT IN (SELECT repo || ' ' || file FROM v_memories WHERE source = 'agent') AS free FROM v_memories WHERE source = 'auto'")
 def populate_guard(s, d):
-    m = b.memories(s, d).select("vec_id", "file", "source")
-    return m.where("source = 'auto'").join(m.where("source = 'agent' AND vec_id < 30"), "file", "left_anti").select("vec_id", "file")
+    """Whether an automatic memory may be written: not where an agent has written one of the same repository and file."""
+    m = b.memories(s, d).select("vec_id", "repo", "file", "source")
+    held = m.where("source = 'agent'").select("repo", "file").distinct().withColumn("held", F.lit(True))
+    return m.where("source = 'auto'").join(held, ["repo", "file"], "left").select("vec_id", "repo", "file", F.col("held").isNull().alias("free"))
 
 
 # ---- graph loops ---------------------------------------------------------------------------------------------------
@@ -251,9 +286,9 @@ def call_graph(s, d):
     return graph.reach(e, seed, 2).unionByName(graph.reach(graph.reverse(e), seed, 2)).select("id").distinct()
 
 
-@query("graph_type_hierarchy", _REACH.format(s="source", t="target", src="(SELECT * FROM v_nation_dep WHERE source < target)", seed="0::BIGINT", depth=25))
+@query("graph_type_hierarchy", _REACH.format(s="source", t="target", src="v_nation_dep", seed="0::BIGINT", depth=25))
 def type_hierarchy(s, d):
-    return graph.reach(b.nation_dep(s, d).where("source < target"), one(s, 0, "long"), 25)
+    return graph.reach(b.nation_dep(s, d), one(s, 0, "long"), 25)
 
 
 @query("graph_find_usages", f"SELECT source, kind, count(*)::BIGINT AS n FROM {E} WHERE target = 'function:5' GROUP BY ALL")
@@ -288,7 +323,7 @@ def node_context(s, d):
 
 @query("graph_cycles", "WITH RECURSIVE walk(a, z) AS (SELECT source, target FROM v_nation_dep UNION SELECT a, target FROM walk JOIN v_nation_dep ON source = z) SELECT DISTINCT a AS id FROM walk WHERE a = z")
 def cycles(s, d):
-    return graph.cycle_members(b.nation_dep(s, d), 25)
+    return graph.cycle_members(b.nation_dep(s, d))
 
 
 @query("graph_filtered_subgraph", f"WITH keep AS (SELECT id FROM {N} WHERE is_exported AND kind <> 'method') SELECT source, target, kind FROM {E} WHERE source IN (SELECT id FROM keep) AND target IN (SELECT id FROM keep)")
@@ -302,10 +337,12 @@ def exported(s, d):
     return b.nodes(s, d).where("is_exported").select("id", "kind")
 
 
-@query("graph_affected_tests", "WITH RECURSIVE walk(id, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT source, depth + 1 FROM walk JOIN v_nation_dep ON target = id WHERE depth < 5 AND (depth = 0 OR id % 5 <> 0)) SELECT DISTINCT id FROM walk WHERE id % 5 = 0 AND depth > 0")
+@query("graph_affected_tests", "WITH RECURSIVE walk(id, depth) AS (SELECT DISTINCT target, 0 FROM v_nation_dep WHERE target % 5 = 2 UNION SELECT source, depth + 1 FROM walk JOIN v_nation_dep ON target = id WHERE depth < 5 AND (depth = 0 OR id % 5 <> 0)) SELECT DISTINCT id FROM walk WHERE id % 5 = 0 AND depth > 0")
 def affected_tests(s, d):
     is_test = F.col("id") % 5 == 0
-    found = graph.reach(graph.reverse(b.nation_dep(s, d)), one(s, 1, "long"), 5, stop=is_test)
+    deps = materialised(b.nation_dep(s, d), "deps")
+    changed = deps.where("target % 5 = 2").select(F.col("target").alias("id")).distinct()
+    found = graph.reach(graph.reverse(deps), changed, 5, stop=is_test)
     return found.where(is_test & (F.col("depth") > 0)).select("id")
 
 
@@ -316,7 +353,7 @@ _RANKS = ", ".join(f"r{i + 1} AS MATERIALIZED ({_RANK_STEP.format(i=i)})" for i
 @query("graph_pagerank", f"WITH e AS (SELECT source AS s, target AS t FROM v_nation_dep UNION ALL SELECT target, source FROM v_nation_dep), w AS (SELECT s, t, count(*) AS w FROM e GROUP BY ALL), p AS MATERIALIZED (SELECT s, t, w::DOUBLE / sum(w) OVER (PARTITION BY s) AS p FROM w), base AS MATERIALIZED (SELECT id, (id IN (1, 2))::INTEGER / 2.0::DOUBLE AS base FROM (SELECT DISTINCT s AS id FROM e)), r0 AS (SELECT id, base AS rank FROM base), {_RANKS} SELECT id, round(rank, 6) AS rank FROM r25")
 def pagerank(s, d):
     seeds = b.table(s, d, "nation").where("n_nationkey in (1, 2)").select(F.col("n_nationkey").cast("long").alias("id"))
-    return graph.personalised_pagerank(b.nation_dep(s, d), seeds).select("id", F.round("rank", 6).alias("rank"))
+    return graph.personalised_pagerank(materialised(b.nation_dep(s, d), "deps"), seeds).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query("graph_components", f"WITH RECURSIVE e AS (SELECT source AS s, target AS t FROM {E} WHERE kind = 'contains' UNION ALL SELECT target, source FROM {E} WHERE kind = 'contains'), top(id, root) AS (SELECT id, id FROM {N} WHERE kind = 'module' UNION SELECT t, root FROM top JOIN e ON s = id) SELECT min(id) AS component, count(DISTINCT id)::BIGINT AS members FROM top GROUP BY root")
@@ -342,13 +379,13 @@ def blast_radius(s, d):
 # ---- resolution ----------------------------------------------------------------------------------------------------
 
 
-@query("resolve_exact_name", f"WITH refs AS (SELECT o_orderkey, o_orderkey % 3000 AS k, o_orderdate FROM orders), cand AS (SELECT name, count(*) AS n, min(id) AS id FROM {N} WHERE kind = 'function' GROUP BY name) SELECT r.o_orderkey, c.id, CASE WHEN c.n = 1 THEN 0.9::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM refs r JOIN part p ON p.p_partkey = r.k JOIN cand c ON c.name = p.p_name")
+@query("resolve_exact_name", f"WITH refs AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem), cand AS (SELECT name, count(*) AS n, min(id) AS id FROM {N} WHERE kind = 'function' GROUP BY name) SELECT l_orderkey, l_linenumber, c.id, CASE WHEN c.n = 1 THEN 0.9::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM refs JOIN part p ON p.p_partkey = l_partkey JOIN cand c ON c.name = p.p_name")
 def exact_name(s, d):
-    refs = b.table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 3000).alias("p_partkey"))
-    names = b.table(s, d, "part").select("p_partkey", F.col("p_name").alias("name"))
+    """Every line's reference to a function by name. Candidates are looked up for each function, before the lines meet them."""
     cand = b.nodes(s, d).where("kind = 'function'").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-    j = refs.join(names, "p_partkey").join(cand, "name")
-    return j.select("o_orderkey", "id", F.when(F.col("n") == 1, 0.9).otherwise(0.4).alias("confidence"))
+    known = b.table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name")).join(cand, "name")
+    known = known.select("l_partkey", "id", F.when(F.col("n") == 1, 0.9).otherwise(0.4).alias("confidence"))
+    return b.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(known, "l_partkey").select("l_orderkey", "l_linenumber", "id", "confidence")
 
 
 @query("resolve_best_match", f"WITH c AS (SELECT a.id AS ref, z.id AS target, CASE WHEN a.file_path = z.file_path THEN 100 ELSE 0 END + CASE WHEN a.language = z.language THEN 50 ELSE -80 END + CASE WHEN z.is_exported THEN 10 ELSE 0 END + greatest(0, 20 - abs(a.start_line - z.start_line) // 10) AS points FROM {N} a JOIN {N} z ON a.name = z.name AND a.id <> z.id WHERE a.kind = 'function' AND z.kind = 'function') SELECT ref, target, points::INTEGER AS points FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY points DESC, target) AS rn FROM c) WHERE rn = 1 AND points > -1")
@@ -366,18 +403,24 @@ def fuzzy_name(s, d):
     return g.withColumn("confidence", F.when(F.col("n") == 1, 0.5).otherwise(0.3))
 
 
-@query("resolve_overrides", "SELECT a.l_orderkey AS base, z.l_orderkey AS sub, a.l_linenumber FROM (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey < 2000) a JOIN (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey >= 2000) z ON a.l_partkey = z.l_partkey AND a.l_linenumber = z.l_linenumber")
+@query("resolve_overrides", "WITH o AS (SELECT o_orderkey AS sub, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS base FROM orders) SELECT base, sub, z.l_linenumber FROM o JOIN lineitem a ON a.l_orderkey = base JOIN lineitem z ON z.l_orderkey = sub AND z.l_linenumber = a.l_linenumber WHERE a.l_returnflag = z.l_returnflag")
 def overrides(s, d):
-    li = b.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    a = li.where("l_orderkey < 2000").withColumnRenamed("l_orderkey", "base")
-    return a.join(li.where("l_orderkey >= 2000").withColumnRenamed("l_orderkey", "sub"), ["l_partkey", "l_linenumber"]).select("base", "sub", "l_linenumber")
+    """A customer's order extends the one before it and overrides its lines of the same number and flag: at most as many links as lines."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    o = b.table(s, d, "orders").select(F.col("o_orderkey").alias("sub"), before.alias("base")).where("base is not null")
+    li = b.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    own = li.withColumnRenamed("l_orderkey", "sub").join(o, "sub")
+    return own.join(li.withColumnRenamed("l_orderkey", "base"), ["base", "l_linenumber", "l_returnflag"]).select("base", "sub", "l_linenumber")
 
 
-@query("resolve_event_channels", "WITH e AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n_emit, count(DISTINCT l_orderkey) AS n_hear FROM lineitem GROUP BY 1) SELECT DISTINCT l.l_suppkey AS emitter, l.l_orderkey AS handler FROM lineitem l JOIN e USING (l_partkey) WHERE n_emit <= 6 AND n_hear <= 6")
+@query("resolve_event_channels", "WITH l AS (SELECT l_partkey || '/' || l_returnflag || l_linestatus || l_linenumber AS event, l_suppkey, l_orderkey FROM lineitem), e AS (SELECT event FROM l GROUP BY 1 HAVING count(DISTINCT l_suppkey) <= 6 AND count(DISTINCT l_orderkey) <= 6) SELECT DISTINCT a.l_suppkey AS emitter, z.l_orderkey AS handler FROM l a JOIN l z USING (event) JOIN e USING (event)")
 def event_channels(s, d):
-    li = b.table(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey")
-    few = li.groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("a"), F.count_distinct("l_orderkey").alias("z")).where("a <= 6 AND z <= 6")
-    return li.join(few, "l_partkey", "left_semi").select(F.col("l_suppkey").alias("emitter"), F.col("l_orderkey").alias("handler")).distinct()
+    """Emitters and handlers of an event by its name; events with more than six of either are left out, as too common a name."""
+    li = b.table(s, d, "lineitem").select(F.concat(F.col("l_partkey").cast("string"), F.lit("/"), "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("event"), "l_suppkey", "l_orderkey")
+    few = li.groupBy("event").agg(F.count_distinct("l_suppkey").alias("a"), F.count_distinct("l_orderkey").alias("z")).where("a <= 6 AND z <= 6").select("event")
+    own = li.join(few, "event", "left_semi")
+    emits, hears = own.select("event", F.col("l_suppkey").alias("emitter")).distinct(), own.select("event", F.col("l_orderkey").alias("handler")).distinct()
+    return emits.join(hears, "event").select("emitter", "handler").distinct()
 
 
 @query("resolve_edge_kinds", f"SELECT CASE WHEN e.kind = 'references' AND z.kind = 'struct' THEN 'instantiates' ELSE e.kind END AS kind, count(*)::BIGINT AS n FROM {E} e JOIN {N} z ON z.id = e.target GROUP BY 1")

@@ -48,10 +48,10 @@ def edges_between(s, d):
     return induced(b.edges(s, d), ids).select("source", "target", "kind")
 
 
-@query("filter_substring_name", f"SELECT id, name FROM {N} WHERE kind = 'function' AND contains(lower(name), 'red') AND NOT starts_with(lower(name), 'red') ORDER BY length(name), id LIMIT 50")
+@query("filter_substring_name", f"SELECT id, name FROM {N} WHERE kind = 'function' AND contains(lower(name), 'ing') AND NOT starts_with(lower(name), 'ing') ORDER BY length(name), id LIMIT 50")
 def substring_name(s, d):
     n = b.nodes(s, d).where("kind = 'function'").select("id", "name")
-    return n.where(F.contains(F.lower("name"), F.lit("red")) & ~F.startswith(F.lower("name"), F.lit("red"))).orderBy(F.length("name"), "id").limit(50)
+    return n.where(F.contains(F.lower("name"), F.lit("ing")) & ~F.startswith(F.lower("name"), F.lit("ing"))).orderBy(F.length("name"), "id").limit(50)
 
 
 @query("filter_glob_qualified", f"SELECT id, qualified_name FROM {N} WHERE kind IN ('function','class','struct','method') AND regexp_full_match(qualified_name, 'Brand#1.\\..*')")
@@ -66,16 +66,28 @@ def file_listing(s, d):
     return n.distinct()
 
 
-@query("filter_test_files", f"SELECT file_path, count(*)::BIGINT AS n, regexp_matches(file_path, '{score.TEST_PATH}') AS is_test FROM {N} WHERE kind = 'function' GROUP BY file_path")
+#: The rules of test files written out over file_path, apart from the pattern that the functions use.
+_IS_TEST = """regexp_matches(lower(parse_filename(file_path)), '^test[_.]|[._-](tests?|specs?)\\.[a-z0-9]+$') OR regexp_matches(parse_filename(file_path), '(Test|Tests|TestCase|Tester|Spec|Specs)\\.[A-Za-z0-9]+$') OR regexp_matches(lower(file_path), '/(tests?|__tests__|specs?|testlib|testing)/|^(tests?|specs?)/') OR regexp_matches(file_path, '(^|/)[A-Za-z0-9]*(Test|Tests|Spec)/') OR len(list_intersect(string_split(lower(file_path), '/')[1:-2], ['integration','sample','samples','example','examples','fixture','fixtures','benchmark','benchmarks','demo','demos'])) > 0"""
+_PATHS = "(SELECT DISTINCT file_path FROM v_nodes UNION SELECT split_part(split_part(url, '://', 2), '?', 1) FROM pages UNION SELECT 'src/' || source || '/' || lang || ['/test_a.py', '/a_test.go', '/FooTest.java', '/latest.kt', 'Test/x.kt', '/demo/x.ts', '/testing/x.go', '/x.spec.ts', '/x.pb.go', '/mock_x.go', '/x_mock.go', '/x.g.dart', '/AGrpc.java'][(doc_id % 13 + 1)::INTEGER] FROM documents)"
+
+
+def _paths(s, d):
+    """File paths of symbols, of pages and, with the endings that conventions know, of documents."""
+    ends = ("/test_a.py", "/a_test.go", "/FooTest.java", "/latest.kt", "Test/x.kt", "/demo/x.ts", "/testing/x.go", "/x.spec.ts", "/x.pb.go", "/mock_x.go", "/x_mock.go", "/x.g.dart", "/AGrpc.java")
+    end = F.element_at(F.array(*[F.lit(e) for e in ends]), (F.col("doc_id") % 13 + 1).cast("int"))
+    urls = b.table(s, d, "pages").select(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("?"), F.lit(1)).alias("file_path"))
+    docs = b.table(s, d, "documents").select(F.concat(F.lit("src/"), "source", F.lit("/"), "lang", end).alias("file_path"))
+    return b.nodes(s, d).select("file_path").unionByName(urls).unionByName(docs).distinct()
+
+
+@query("filter_test_files", f"SELECT file_path, {_IS_TEST} AS is_test FROM {_PATHS}")
 def test_files(s, d):
-    g = b.nodes(s, d).where("kind = 'function'").groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("is_test", score.is_test_path(F.col("file_path")))
+    return _paths(s, d).withColumn("is_test", score.is_test_path(F.col("file_path")))
 
 
-@query("filter_low_value_files", f"SELECT url, regexp_matches(url, '{score.TEST_PATH}') OR regexp_matches(url, '{score.GENERATED_PATH}') AS low FROM pages")
+@query("filter_low_value_files", f"SELECT file_path, regexp_matches(lower(file_path), '(^|/)(tests?|__tests?__|spec)/|_test\\.(go|py|rb|dart)$|(^|/)test_[^/]+\\.py$|_spec\\.rb$|\\.(test|spec)\\.[jt]sx?$|(test|spec|tests)\\.(java|kt|scala)$|(tests?|spec)\\.cs$|tests?\\.swift$') OR regexp_matches(file_path, '(\\.pb|\\.pulsar|_mocks?)\\.go$|^mock_[^/]+\\.go$|\\.(generated|gen)\\.[jt]sx?$|(\\.|_|_grpc_)pb\\.[jt]s$|_pb2(_grpc)?\\.py$|_pb2\\.pyi$|\\.pb\\.(cc|h|swift|dart)$|\\.g\\.(cs|dart)$|Grpc\\.(cs|java)$|OuterClass\\.java$|\\.(freezed|pbgrpc|chopper)\\.dart$|\\.generated\\.rs$') AS low FROM {_PATHS}")
 def low_value(s, d):
-    p = b.table(s, d, "pages").select("url")
-    return p.withColumn("low", score.is_test_path(F.col("url")) | score.is_generated(F.col("url")))
+    return _paths(s, d).withColumn("low", score.is_low_value(F.col("file_path")))
 
 
 @query("filter_exclude_conventions", f"SELECT id FROM {N} WHERE NOT (regexp_matches(file_path, '_test\\.go$|/tests?/|(^|/)test_') OR regexp_matches(name, '^test($|[A-Z])'))")
@@ -121,9 +133,9 @@ def intra_file(s, d):
     return j.where((F.col("file_path") == F.col("f2")) | ((F.col("l1") == F.col("l2")) & (F.col("kind") == "contains"))).groupBy("file_path", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("join_routing_manifest", "SELECT r.page_id, r.href, p.page_id AS handler FROM v_routes r JOIN pages p ON ends_with(p.url, '/' || r.page_id) WHERE r.pos < 3")
+@query("join_routing_manifest", "SELECT r.page_id, r.href, p.page_id AS handler FROM v_routes r JOIN pages p ON ends_with(p.url, '/' || r.page_id)")
 def routing_manifest(s, d):
-    r = b.routes(s, d).where("pos < 3").withColumn("tail", F.col("page_id").cast("string"))
+    r = b.routes(s, d).withColumn("tail", F.col("page_id").cast("string"))
     p = b.table(s, d, "pages").select(F.col("page_id").alias("handler"), F.regexp_extract("url", "/([^/]*)$", 1).alias("tail"))
     return r.join(p, "tail").select("page_id", "href", "handler")
 
@@ -160,9 +172,9 @@ def importers(s, d):
     return j.where("importer <> imported").select("importer", "imported").distinct()
 
 
-@query("join_extends_both_ways", "SELECT source AS a, target AS z, 'extends' AS side FROM v_nation_dep WHERE source < target UNION ALL SELECT target, source, 'extended_by' FROM v_nation_dep WHERE source < target")
+@query("join_extends_both_ways", "SELECT source AS a, target AS z, 'extends' AS side FROM v_nation_dep UNION ALL SELECT target, source, 'extended_by' FROM v_nation_dep")
 def extends_both(s, d):
-    e = b.nation_dep(s, d).where("source < target")
+    e = b.nation_dep(s, d)
     up = e.select(F.col("source").alias("a"), F.col("target").alias("z"), F.lit("extends").alias("side"))
     return up.unionByName(e.select(F.col("target").alias("a"), F.col("source").alias("z"), F.lit("extended_by").alias("side")))
 
@@ -282,12 +294,41 @@ def set_containment(s, d):
     return have.join(F.broadcast(need), "l_linenumber", "left_semi").groupBy("owner").agg(F.count(F.lit(1)).alias("found")).crossJoin(n).where("found = n").select("owner")
 
 
-@query("join_tag_repo_score", "SELECT a.n_name AS tag, z.r_name AS repo, CASE WHEN a.n_name = z.r_name THEN 1.0::DOUBLE WHEN starts_with(z.r_name, a.n_name) THEN 0.9::DOUBLE WHEN starts_with(a.n_name, substr(z.r_name, 1, 2)) THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS score FROM nation a, region z WHERE starts_with(a.n_name, substr(z.r_name, 1, 2)) OR starts_with(z.r_name, a.n_name)")
+_TAGS = "(SELECT DISTINCT lower(p_type) AS tag FROM part UNION SELECT DISTINCT split_part(lower(p_name), ' ', 2) FROM part UNION SELECT lower(r_name) FROM region)"
+_REPOS = "(SELECT DISTINCT lower(replace(p_name, ' ', '-')) AS repo FROM part UNION SELECT lower(r_name) FROM region)"
+
+
+@query("join_tag_repo_score", f"""
+SELECT tag, repo, CASE WHEN tag = repo THEN 1.0::DOUBLE WHEN starts_with(repo, tag) THEN 0.9::DOUBLE WHEN ends_with(repo, tag) THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS score
+FROM {_TAGS} a JOIN {_REPOS} z ON contains(repo, tag) WHERE length(tag) >= 3""")
 def tag_repo_score(s, d):
-    a = b.table(s, d, "nation").select(F.col("n_name").alias("tag"), F.substring("n_name", 1, 2).alias("pre"))
-    z = b.table(s, d, "region").select(F.col("r_name").alias("repo"), F.substring("r_name", 1, 2).alias("pre"))
-    points = F.when(F.col("tag") == F.col("repo"), 1.0).when(F.startswith("repo", F.col("tag")), 0.9).otherwise(0.7)
-    return a.join(F.broadcast(z), "pre").select("tag", "repo", points.alias("score"))
+    """A tag against the names of repositories: equal, at the start, at the end, or within. Both sides are distinct names; tags are joined by
+    their parts between hyphens first, and by containment only for those that are no whole part."""
+    p, r = b.table(s, d, "part"), b.table(s, d, "region").select(F.lower("r_name").alias("name"))
+    tags = p.select(F.lower("p_type").alias("name")).unionByName(p.select(F.split_part(F.lower("p_name"), F.lit(" "), F.lit(2)).alias("name"))).unionByName(r).distinct().where("length(name) >= 3").select(F.col("name").alias("tag"))
+    repos = p.select(F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("name")).unionByName(r).distinct().select(F.col("name").alias("repo"))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))
+    # a tag within a name shares its first three letters with one of the name's triplets
+    within = repos.where("length(repo) >= 3").withColumn("gram", F.explode(grams("repo"))).join(tags.withColumn("gram", F.substring("tag", 1, 3)), "gram").where(F.contains("repo", F.col("tag")))
+    points = F.when(F.col("tag") == F.col("repo"), 1.0).when(F.startswith("repo", F.col("tag")), 0.9).when(F.endswith("repo", F.col("tag")), 0.8).otherwise(0.6)
+    return within.select("tag", "repo", points.alias("score")).distinct()
+
+
+@query("topk_link_order", f"""
+SELECT tag, repo, place::INTEGER AS place FROM (SELECT tag, repo, row_number() OVER (PARTITION BY tag ORDER BY score DESC, length(repo) DESC, repo) AS place FROM (
+SELECT tag, repo, CASE WHEN tag = repo THEN 1.0::DOUBLE WHEN starts_with(repo, tag) THEN 0.9::DOUBLE WHEN ends_with(repo, tag) THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS score
+FROM {_TAGS} a JOIN {_REPOS} z ON contains(repo, tag) WHERE length(tag) >= 3)) WHERE place <= 5""")
+def link_order(s, d):
+    """Links of a tag by confidence, then longer names, then name."""
+    return top_per(tag_repo_score(s, d), ["tag"], [F.desc("score"), F.desc(F.length("repo")), F.col("repo")], 5).select("tag", "repo", F.col("rank").alias("place"))
+
+
+@query("set_append_distinct", "SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS names FROM (SELECT doc_id, [lang, source] || ['src/' || (doc_id % 50), source, lang, 'lib/' || (doc_id % 30)] AS w FROM documents)")
+def append_distinct(s, d):
+    """Two lists after each other, each name at its first place only."""
+    v = b.docs(s, d).select("doc_id", "lang", "source")
+    more = F.array(F.concat(F.lit("src/"), (F.col("doc_id") % 50).cast("string")), "source", "lang", F.concat(F.lit("lib/"), (F.col("doc_id") % 30).cast("string")))
+    return v.select("doc_id", F.array_distinct(F.concat(F.array("lang", "source"), more)).alias("names"))
 
 
 # ---- aggregates ----------------------------------------------------------------------------------------------------
@@ -469,9 +510,9 @@ def intersection(s, d):
     return c.intersect(b.table(s, d, "supplier").where("s_acctbal > 1000").select("s_nationkey"))
 
 
-@query("set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def difference(s, d):
-    return b.table(s, d, "customer").select("c_custkey").exceptAll(b.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()).distinct()
+    return b.table(s, d, "customer").select("c_custkey").exceptAll(b.table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct()).distinct()
 
 
 @query("set_merge_types", "SELECT key, mem_type, list_position(['file','func','flow','decision'], mem_type)::INTEGER AS ord FROM v_memories")

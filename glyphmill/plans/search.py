@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import score, text
 from glyphmill.operators.graph import top_per
+from glyphmill.operators.storage import materialised
 from glyphmill.plans import bindings as b
 from glyphmill.plans.registry import query
 
@@ -31,18 +34,27 @@ def postings(rows: DataFrame, key: str, columns: tuple[tuple[str, float], ...])
 
 
 def bm25(rows: DataFrame, key: str, columns: tuple[tuple[str, float], ...], query_text: str) -> DataFrame:
-    """(key, score): terms of the query match as prefixes and are added up."""
+    """(key, score): terms of the query match as prefixes and are added up.
+
+    The text is read once: each row gives its length and its weighted count for each query term, and only those few numbers go further.
+    """
     terms = [t for t in dict.fromkeys(query_text.lower().replace("::", " ").split()) if t.upper() not in ("AND", "OR", "NOT", "NEAR")]
-    hit = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.startswith(F.col("term"), t))
-    words = [text.words_of(F.col(c)) for c, _ in columns]
-    size = sum((F.size(w) for w in words), F.lit(0))
-    corpus = rows.select(size.alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
-    matched = postings(rows, key, columns).withColumn("q", F.explode(hit)).groupBy(key, "len", "q").agg(F.sum("tf").alias("tf"))
-    df = matched.groupBy("q").agg(F.count(F.lit(1)).alias("df"))  # a row for each query term
-    j = matched.join(F.broadcast(df), "q").crossJoin(F.broadcast(corpus))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return j.groupBy(key).agg(F.sum(part).alias("score"))
+    words = F.array(*[text.words_of(F.col(c)) for c, _ in columns])
+
+    def count(term: str) -> Column:
+        own = [F.size(F.filter(F.element_at("words", i), lambda w: F.startswith(w, F.lit(term)))) * F.lit(x) for i, (_, x) in enumerate(columns, 1)]
+        return sum(own, F.lit(0.0))
+
+    size = F.aggregate("words", F.lit(0), lambda n, w: n + F.size(w))
+    counted = materialised(rows.select(key, words.alias("words")).select(key, size.alias("len"), F.array(*[count(t) for t in terms]).alias("tf")), "bm25")
+    found = [F.count_if(F.element_at("tf", i) > 0).alias(f"df{i}") for i in range(1, len(terms) + 1)]
+    corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *found).first()
+    score = F.lit(0.0)
+    for i in range(1, len(terms) + 1):
+        df, tf = corpus[f"df{i}"], F.element_at("tf", i)
+        idf = max(1e-6, math.log((corpus["n"] - df + 0.5) / (df + 0.5)))
+        score = score + F.when(tf > 0, F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(corpus["avg"])))).otherwise(0.0)
+    return counted.where(F.exists("tf", lambda x: x > 0)).select(key, score.alias("score"))
 
 
 def _rounded(c: str, n: int = 6) -> Column:
@@ -155,12 +167,12 @@ def siblings(s, d):
     return b.nodes(s, d).select("file_path").where(text.dir_name(F.col("file_path")) == "world/1/1").distinct()
 
 
-@query("search_importers_by_package", f"SELECT DISTINCT a.file_path FROM {E} e JOIN {N} z ON z.id = e.target JOIN {N} a ON a.id = e.source WHERE z.kind IN ('namespace','class') AND contains(lower(z.name), 'an') AND e.kind = 'contains' AND NOT contains(lower(string_split(a.file_path, '/')[-1]), 'an')")
+@query("search_importers_by_package", f"SELECT DISTINCT a.file_path FROM {E} e JOIN {N} z ON z.id = e.target JOIN {N} a ON a.id = e.source WHERE z.kind IN ('namespace','class') AND contains(lower(z.name), 'nation') AND e.kind = 'contains' AND NOT contains(lower(string_split(a.file_path, '/')[-1]), 'nation')")
 def importers_by_package(s, d):
     n = b.nodes(s, d)
-    z = n.where(F.col("kind").isin("namespace", "class") & F.contains(F.lower("name"), F.lit("an"))).select(F.col("id").alias("target"))
+    z = n.where(F.col("kind").isin("namespace", "class") & F.contains(F.lower("name"), F.lit("nation"))).select(F.col("id").alias("target"))
     src = b.edges(s, d, ("contains",)).join(z, "target", "left_semi").select(F.col("source").alias("id")).distinct()
-    return n.join(src, "id", "left_semi").where(~F.contains(F.lower(text.base_name(F.col("file_path"))), F.lit("an"))).select("file_path").distinct()
+    return n.join(src, "id", "left_semi").where(~F.contains(F.lower(text.base_name(F.col("file_path"))), F.lit("nation"))).select("file_path").distinct()
 
 
 @query("search_colocation", f"WITH f AS (SELECT name, count(DISTINCT file_path) AS files FROM {N} WHERE kind = 'function' GROUP BY name), dis AS (SELECT DISTINCT file_path FROM {N} JOIN f USING (name) WHERE kind = 'function' AND files < 10) SELECT name, id, points::INTEGER AS points FROM (SELECT name, id, points, row_number() OVER (PARTITION BY name ORDER BY points DESC, id) AS rn FROM (SELECT name, id, CASE WHEN file_path IN (SELECT file_path FROM dis) THEN 20 ELSE 0 END AS points FROM {N} WHERE kind = 'function')) WHERE rn <= 3")
@@ -240,7 +252,7 @@ def name_token(s, d):
     return b.nodes(s, d).select("id", text.name_token(F.col("name")).alias("token"), text.is_distinctive(F.col("name")).alias("distinctive"))
 
 
-@query("fn_intent_class", "SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\\b(bug|error|crash|fail|broken|exception|fix|panic)') THEN 'debug' WHEN regexp_matches(t, '\\b(call|flow|trace|path|chain|route)') THEN 'trace' WHEN regexp_matches(t, '\\b(refactor|rename|move|extract|clean|split)') THEN 'refactor' WHEN regexp_matches(t, '\\b(where|find|list|show|explain|overview)') THEN 'explore' ELSE 'general' END AS intent FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations)")
+@query("fn_intent_class", "SELECT conv_id, turn, CASE WHEN contains(t, 'debug') OR contains(t, 'bug') OR contains(t, 'error') OR contains(t, 'fix') OR contains(t, 'crash') OR contains(t, 'panic') OR contains(t, 'nil pointer') OR contains(t, 'why does') OR contains(t, 'broken') OR contains(t, 'failing') OR contains(t, 'failure') OR contains(t, 'wrong') OR contains(t, 'issue') OR contains(t, 'not working') OR contains(t, 'unexpected') THEN 'debug' WHEN contains(t, 'trace') OR contains(t, 'flow') OR contains(t, 'propagate') OR contains(t, 'upstream') OR contains(t, 'downstream') OR contains(t, 'call chain') OR contains(t, 'how does') OR contains(t, 'reach') OR contains(t, 'path from') OR contains(t, 'path to') OR contains(t, 'end to end') OR contains(t, 'e2e') OR contains(t, 'sequence') THEN 'trace' WHEN contains(t, 'refactor') OR contains(t, 'rename') OR contains(t, 'move') OR contains(t, 'impact') OR contains(t, 'what breaks') OR contains(t, 'who uses') OR contains(t, 'who calls') OR contains(t, 'callers of') OR contains(t, 'dependents') OR contains(t, 'breaking change') OR contains(t, 'deprecate') THEN 'refactor' WHEN contains(t, 'what is') OR contains(t, 'explain') OR contains(t, 'understand') OR contains(t, 'overview') OR contains(t, 'how does') OR contains(t, 'describe') OR contains(t, 'summarize') OR contains(t, 'architecture') OR contains(t, 'structure') OR contains(t, 'purpose of') OR contains(t, 'role of') THEN 'explore' ELSE 'general' END AS intent FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations)")
 def intent_class(s, d):
     return b.table(s, d, "conversations").select("conv_id", "turn", text.intent(F.col("text")).alias("intent"))
 
@@ -255,12 +267,13 @@ def slice_lines(s, d):
     return b.docs(s, d).select("doc_id", text.slice_lines(F.col("text"), 2, 3).alias("lines"))
 
 
-@query("fn_path_proximity", f"SELECT a.id AS a, z.id AS z, least(80, 15 * (CASE WHEN string_split(a.file_path, '/')[1] = string_split(z.file_path, '/')[1] THEN CASE WHEN string_split(a.file_path, '/')[2] = string_split(z.file_path, '/')[2] THEN CASE WHEN string_split(a.file_path, '/')[3] = string_split(z.file_path, '/')[3] THEN 3 ELSE 2 END ELSE 1 END ELSE 0 END))::INTEGER AS points FROM {N} a JOIN {N} z ON a.kind = 'namespace' AND z.kind = 'struct' AND substr(z.id, length(z.id)) = substr(a.id, length(a.id))")
+@query("fn_path_proximity", f"SELECT a.id AS a, z.id AS z, least(80, 15 * (CASE WHEN string_split(a.file_path, '/')[2] = string_split(z.file_path, '/')[2] THEN CASE WHEN string_split(a.file_path, '/')[3] = string_split(z.file_path, '/')[3] THEN 3 ELSE 2 END ELSE 1 END))::INTEGER AS points FROM {N} a JOIN {N} z ON a.kind = 'namespace' AND z.kind = 'struct' AND string_split(a.file_path, '/')[1] = string_split(z.file_path, '/')[1]")
 def path_proximity(s, d):
-    n = b.nodes(s, d).select("id", "kind", "file_path", F.substring("id", -1, 1).alias("last"))
-    a = n.where("kind = 'namespace'").select(F.col("id").alias("a"), F.col("file_path").alias("pa"), "last")
-    z = n.where("kind = 'struct'").select(F.col("id").alias("z"), F.col("file_path").alias("pz"), "last")
-    return a.join(z, "last").select("a", "z", score.path_proximity(F.col("pa"), F.col("pz")).alias("points"))
+    """Every struct against the namespaces, of which there is one for each nation; without a common first folder there are no points."""
+    n = b.nodes(s, d).select("id", "kind", "file_path", F.split_part("file_path", F.lit("/"), F.lit(1)).alias("top"))
+    a = n.where("kind = 'namespace'").select(F.col("id").alias("a"), F.col("file_path").alias("pa"), "top")
+    z = n.where("kind = 'struct'").select(F.col("id").alias("z"), F.col("file_path").alias("pz"), "top")
+    return z.join(a, "top").select("a", "z", score.path_proximity(F.col("pa"), F.col("pz")).cast("int").alias("points"))
 
 
 @query("fn_external_docs", "SELECT event_id, coalesce(json_extract_string(props, '$.id'), json_extract_string(props, '$.k')) AS id, coalesce(json_extract_string(props, '$.title'), event_type) AS title FROM events")
@@ -269,3 +282,38 @@ def external_docs(s, d):
     e = b.table(s, d, "events")
     get = lambda *keys: F.coalesce(*[F.get_json_object("props", f"$.{k}") for k in keys])
     return e.select("event_id", get("id", "key", "k").alias("id"), F.coalesce(get("title", "name"), F.col("event_type")).alias("title"))
+
+
+_STOP = "['the','a','an','and','or','but','is','in','on','at','to','for','of','with','by','from','as','into','how','what','why','where','when','which','does','do','did','can','could','should','would','will','this','that','these','those','be','been','being','have','has','had','it','its','i','we','you','me','my','about','any','all']"
+
+
+@query("fn_effective_query", "SELECT conv_id, turn, coalesce(text, '') || CASE WHEN role IS NOT NULL THEN ' ' || role ELSE '' END || CASE WHEN turn > 0 THEN ' t' || turn ELSE '' END AS effective FROM conversations")
+def effective_query(s, d):
+    """A question with the must and should terms of its plan behind it; here the role, and the turn after the first."""
+    t = b.table(s, d, "conversations")
+    return t.select("conv_id", "turn", F.concat_ws(" ", F.coalesce("text", F.lit("")), "role", F.when(F.col("turn") > 0, F.concat(F.lit("t"), F.col("turn").cast("string")))).alias("effective"))
+
+
+@query("fn_model_hint", "SELECT repo, mem_type, CASE WHEN count(*) >= 3 THEN 'cheap' WHEN count(*) >= 1 THEN 'standard' ELSE 'strong' END AS hint FROM v_memories WHERE scope = 'branch' GROUP BY repo, mem_type")
+def model_hint(s, d):
+    """How strong a model a question asks for, by how many memories answer it already."""
+    m = b.memories(s, d).where("scope = 'branch'").groupBy("repo", "mem_type").agg(F.count(F.lit(1)).alias("n"))
+    return m.select("repo", "mem_type", F.when(F.col("n") >= 3, "cheap").when(F.col("n") >= 1, "standard").otherwise("strong").alias("hint"))
+
+
+_RAW = f"list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(w, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')), lambda w: length(w) >= 2 AND NOT list_contains({_STOP}, w))"
+_CUT = "regexp_replace(w, '(ings|ing|ers|ed|es|s)$', '')"
+
+
+@query("fn_query_words", f"""SELECT item_id, list_sort(list_distinct(list_transform({_RAW}, lambda w: CASE WHEN length(w) > 6 AND length({_CUT}) >= 4 AND {_CUT} <> w
+THEN CASE WHEN ends_with({_CUT}, 'll') THEN {_CUT}[:-2] ELSE {_CUT} END ELSE w END))) AS words FROM benchmark""")
+def query_words(s, d):
+    return b.table(s, d, "benchmark").select("item_id", F.array_sort(text.query_words(F.col("text"))).alias("words"))
+
+
+@query("vector_mean_pool", "SELECT label, list_transform(range(1, 65), lambda i: round(list_sum(list_transform(v, lambda x: x[i]::DOUBLE)) / len(v), 6)) AS pooled FROM (SELECT label, list(embedding ORDER BY vec_id) AS v FROM embeddings GROUP BY label)")
+def mean_pool(s, d):
+    """The mean of each component over the vectors of a label, summed a component at a time, so that no list of vectors is gathered."""
+    e = b.table(s, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
+    m = e.groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("m"))
+    return m.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda r: r["m"]).alias("pooled"))
