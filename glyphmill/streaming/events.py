@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.operators.storage import shared_path
@@ -139,7 +139,7 @@ class Bandit:
             self.cand = None
             return "rollback"
         if len(self.cand) >= self.NEED and len(self.base) >= self.BASE_NEED:
-            better = sum(self.cand) / len(self.cand) >= sum(self.base) / len(self.base) + self.LIFT
+            better = sum(self.cand) / len(self.cand) > sum(self.base) / len(self.base) + self.LIFT
             self.base, self.cand = (self.cand if better else self.base), None
             return "promote" if better else "discard"
         return "candidate"
@@ -147,17 +147,20 @@ class Bandit:
 
 @query("stream_profile_bandit")
 def profile_bandit(s, d):
-    """Draws are a hash of the bucket and step, so that a rerun takes the same way."""
-    r = b.rewards(s, d).select("intent", "event_id", "raw")
+    """Each (intent, repository) is a bucket with its own state; its rewards come in order of time, less the mean of the 50 before them.
+    Draws are a hash of the bucket and step, so that a rerun takes the same way."""
+    w = Window.partitionBy("intent", "repo").orderBy("ts", "event_id").rowsBetween(-50, -1)
+    r = b.rewards(s, d).select("intent", "repo", "ts", "event_id", "raw")
+    r = r.withColumn("adjusted", F.col("raw") - F.coalesce(F.avg("raw").over(w), F.lit(0.0))).drop("raw")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, state = None, None
         for batch in batches:
             out = []
-            for k, x in zip(batch["intent"], batch["raw"], strict=True):
-                if state is None or k != own:
-                    own, state = k, Bandit(lambda n, k=k: zlib.crc32(f"{k}/{n}".encode()) / 2**32)
+            for k, repo, x in zip(batch["intent"], batch["repo"], batch["adjusted"], strict=True):
+                if state is None or (k, repo) != own:
+                    own, state = (k, repo), Bandit(lambda n, k=k, repo=repo: zlib.crc32(f"{k}/{repo}/{n}".encode()) / 2**32)
                 out.append(state.add(x))
-            yield batch[["intent", "event_id"]].assign(action=out)
+            yield batch[["intent", "repo", "event_id"]].assign(action=out)
 
-    return r.repartition("intent").sortWithinPartitions("intent", "event_id").mapInPandas(run, "intent string, event_id long, action string")
+    return r.repartition("intent", "repo").sortWithinPartitions("intent", "repo", "ts", "event_id").mapInPandas(run, "intent string, repo string, event_id long, action string")

@@ -28,9 +28,10 @@ def test_matches_sql(spark, duck, name):  # noqa: F811
 def test_exclude_conventions(spark):
     rows = [("a", "x/_test.go"), ("a", "x/y_test.go"), ("TestA", "x"), ("a", "tests/x"), ("mockA", "x"), ("a", "x/mocks/y"), ("a", "x/testdata/y"), ("a", "x/fixtures/y"), (None, None)]
     df = spark.createDataFrame(rows, "name string, path string").coalesce(1)
-    hit = lambda *e, **k: [r[0] for r in df.select(adaptive.excluded(F.col("name"), F.col("path"), e, **k)).collect()]
+    columns = {"name": F.col("name"), "path": F.col("path")}
+    hit = lambda *e, **k: [r[0] for r in df.select(adaptive.by_convention(columns | k, e)).collect()]
     assert hit(" Test ") == [True, True, True, True, False, False, False, False, False]
     assert hit("mock") == [False, False, False, False, True, True, False, False, False]
     assert hit("fixture") == [False] * 7 + [True, False]
-    assert hit("fixture", fixtures=("/fixture", "/testdata")) == [False] * 6 + [True, True, False]
+    assert hit("fixture", **{"target path": F.col("path")}) == [False] * 6 + [True, True, False]
     assert hit("other") == [False] * 9

@@ -16,6 +16,8 @@ CHOSEN = [
     "search_idf_name", "search_bm25_nodes", "search_by_path_tiers", "join_feedback_asof", "join_repeat_detection", "join_set_containment", "join_dead_code", "join_path_overlap",
     "agg_node_metrics", "agg_pattern_stats", "agg_auto_anchor", "window_top_per_name", "reward_stats", "reward_three_strikes", "reward_history_hourly", "vector_knn_per_type",
     "resolve_import_mappings", "resolve_import_paths", "resolve_chain_calls", "context_field_query", "scan_strip_comments", "scan_prefixed_routes", "scan_embedded_blocks",
+    "filter_test_files", "filter_low_value_files", "filter_siblings", "join_tag_repo_score", "topk_link_order", "set_append_distinct", "fn_intent_class", "fn_effective_query", "fn_model_hint", "fn_query_words",
+    "vector_mean_pool", "reward_profile_deltas", "reward_profile_shrink", "resolve_overrides", "resolve_event_channels", "vector_populate_guard", "graph_affected_tests", "search_bm25_documents", "graph_components", "graph_pagerank",
     "graph_bfs", "graph_shortest_path", "graph_cycles", "resolve_best_match", "fn_path_proximity", "eval_recall_mrr",
 ]
 
@@ -38,6 +40,7 @@ def test_matches_sql(spark, duck, name):
     columns = sorted(df.columns)
     found = sorted(str([plain(r[c]) for c in columns]) for r in df.collect())
     rel = duck.sql(__spark_entry__.oracle_sql()[name])
+    assert found, "a query without rows tests nothing"
     assert sorted(rel.columns) == columns
     at = [rel.columns.index(c) for c in columns]
     assert found == sorted(str([plain(r[i]) for i in at]) for r in rel.fetchall())
@@ -69,6 +72,33 @@ def test_vectors(spark):
     assert list(one(spark, vector.cosine(v(1, 0), v(2, 0)), vector.cosine(v(0, 0), v(1, 0)), vector.cosine(v(1), v(1, 0)))) == [1.0, 0.0, 0.0]
 
 
+@pytest.mark.parametrize("path, test, low", [
+    ("src/FooTest.java", True, True), ("src/latest.kt", False, True), ("src/manifest.go", False, False), ("a/test_x.py", True, True), ("a/x.spec.ts", True, True), ("a/x_spec.rb", True, True),
+    ("commonTest/a.kt", True, False), ("contest/a.kt", False, False), ("specs/a.rb", True, False), ("a/testing/b.go", True, False), ("a/testlib/b.go", True, False), ("demo/a.ts", True, False),
+    ("a/benchmarks/b.c", True, False), ("a/QuxTestCase.java", True, False), ("a/rpc.pb.go", False, True), ("mock_a.go", False, True), ("a/mock_a.go", False, False), ("a/b_mocks.go", False, True),
+    ("a/AGrpc.java", False, True), ("vendor/a.go", False, False), ("dist/a.min.js", False, False),
+])
+def test_paths(spark, path, test, low):
+    assert list(one(spark, score.is_test_path(F.lit(path)), score.is_low_value(F.lit(path)))) == [test, low]
+
+
+def test_profiles(spark):
+    knob = lambda k, i, m: score.shrunk_knob(k, score.profile_knob(k, F.lit(i)), F.lit(m))
+    assert list(one(spark, knob("max_snippets", "debug", 0), knob("max_snippets", "general", 1), knob("max_snippets", "general", 3), knob("max_trace", "trace", 2), knob("caller_hops", "trace", 2), knob("max_siblings", "explore", 0), knob("max_symbols", "explore", 3))) == [7, 2, 1, 3, 1, 25, 3]
+    assert list(one(spark, score.kind_bonus(F.lit("enum")), score.kind_bonus(F.lit("other")))) == [5, 0]
+    assert list(one(spark, *[text.intent(F.lit(q)) for q in ("nil pointer in parse", "How does it flow", "who calls it", "what is a node", "hello")])) == ["debug", "trace", "refactor", "explore", "general"]
+
+
+def test_long_paths_and_cycles(spark):
+    path = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(200)]
+    ring = [(f"r{i:02d}", f"r{(i + 1) % 60:02d}") for i in range(60)]
+    bridge = [("r05", "s1"), ("s1", "s2"), ("s2", "s1"), ("p000", "r00"), ("s2", "t"), ("u", "u")]
+    e = spark.createDataFrame(path[:8] + ring + bridge, "source string, target string")
+    assert {r[0] for r in graph.cycle_members(e).collect()} == {s for s, _ in ring} | {"s1", "s2"}
+    alone = spark.createDataFrame(path, "source string, target string")
+    assert {tuple(r) for r in graph.components_of(alone).collect()} == {(f"p{i:03d}", "p000") for i in range(201)}
+
+
 def test_graph_loops(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")], "source string, target string")
     seed = spark.createDataFrame([("a",)], "id string")
