@@ -5,6 +5,7 @@ Each query runs its stream to the end of what there is and returns what it emitt
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions.score import raw_reward
 from glyphmill.operators.storage import shared_path
 from glyphmill.plans import bindings as b
 from glyphmill.plans.registry import query
@@ -164,3 +166,107 @@ def profile_bandit(s, d):
             yield batch[["intent", "repo", "event_id"]].assign(action=out)
 
     return r.repartition("intent", "repo").sortWithinPartitions("intent", "repo", "ts", "event_id").mapInPandas(run, "intent string, repo string, event_id long, action string")
+
+
+def traced(events: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, with intent, repository, the counters of their feedback and `k`."""
+    intent = F.element_at(F.create_map(*[F.lit(x) for kv in b.INTENT_OF.items() for x in kv]), F.col("event_type"))
+    e = events.withColumn("k", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)))
+    repo = F.concat(F.lit("r"), (F.col("user_id") % 10).cast("string"))
+    raw = raw_reward(F.col("k") % 8, F.floor(F.col("value") * 100).cast("long"), F.col("user_id") % 3, F.lit(0))
+    return e.select("event_id", "ts", intent.alias("intent"), repo.alias("repo"), "k", raw.alias("raw"))
+
+
+@query("stream_feedback", "SELECT f.event_id, t.event_id AS trace_id, t.intent, t.repo, round(f.raw, 6) AS raw, t.ts <= f.ts AS in_time FROM v_rewards f JOIN v_rewards t ON t.event_id = f.event_id - f.k WHERE f.k > 0")
+def feedback(s, d):
+    """A stream of feedback, each about the trace k events before it, joined to the table of traces: feedback on an unknown trace is dropped."""
+    said = traced(event_stream(s, d)).where("k > 0").select("event_id", (F.col("event_id") - F.col("k")).alias("trace_id"), F.round("raw", 6).alias("raw"), F.col("ts").alias("said"))
+    known = traced(b.table(s, d, "events")).select(F.col("event_id").alias("trace_id"), "intent", "repo", F.col("ts").cast("timestamp").alias("ts"))
+    return drained(said.join(known, "trace_id").select("event_id", "trace_id", "intent", "repo", "raw", (F.col("ts") <= F.col("said")).alias("in_time")), "append")
+
+
+class SourceBandit:
+    """How many documents each source of a bucket gives: at most one source is explored at a time, one step up or down.
+
+    The whole state is `self.s`, plain JSON of bounded size, so that a stream's state store keeps it.
+    """
+
+    #: sources' first breadth and bounds, chance to explore, samples needed, lift, strike level, strikes, rewards of the baseline.
+    START, LEAST, MOST, EPSILON, NEED, BASE_NEED, LIFT, STRIKE, STRIKES, BASELINE = 5, 2, 15, 0.10, 20, 5, 0.05, 0.30, 3, 50
+
+    def __init__(self, key: str, sources: tuple[str, ...], saved: str | None = None):
+        self.key = key
+        self.s = json.loads(saved) if saved else {"n": 0, "recent": [], "breadth": dict.fromkeys(sources, self.START), "live": None}
+
+    def draw(self, use: str) -> float:
+        return zlib.crc32(f"{self.key}/{self.s['n']}/{use}".encode()) / 2**32
+
+    def add(self, raw: float) -> tuple[str, str | None, int | None]:
+        """(action, source, served breadth) of the next query, whose reward is raw."""
+        s = self.s
+        s["n"] += 1
+        adjusted = raw - (sum(s["recent"]) / len(s["recent"]) if s["recent"] else 0.0)
+        s["recent"] = [*s["recent"], raw][-self.BASELINE :]
+        if s["live"] is None and not self.explore():
+            return "current", None, None
+        live = s["live"]
+        fresh = not live["base"] and not live["tried"]
+        tried = fresh or self.draw("serve") < self.EPSILON  # the query that starts a candidate is served by it
+        served, source = (live["value"] if tried else live["from"]), live["source"]
+        live["strikes"] = live["strikes"] if not tried else live["strikes"] + 1 if adjusted < self.STRIKE else 0
+        kept = live["tried" if tried else "base"]
+        kept[:] = [kept[0] + 1, kept[1] + adjusted] if kept else [1, adjusted]
+        return self.decide(live, "try" if tried else "base"), source, served
+
+    def explore(self) -> bool:
+        """A new candidate in one of ten queries; a step that a bound takes back is none."""
+        if self.draw("explore") >= self.EPSILON:
+            return False
+        names = sorted(self.s["breadth"])
+        source = names[int(self.draw("source") * len(names))]
+        now = self.s["breadth"][source]
+        value = min(self.MOST, max(self.LEAST, now + (-1 if self.draw("side") < 0.5 else 1)))
+        if value == now:
+            return False
+        # of each side the number and sum of rewards
+        self.s["live"] = {"source": source, "value": value, "from": now, "tried": [], "base": [], "strikes": 0}
+        return True
+
+    def decide(self, live: dict, else_: str) -> str:
+        if live["strikes"] >= self.STRIKES:
+            self.s["live"] = None
+            return "rollback"
+        (n, x), (m, y) = live["tried"] or (0, 0.0), live["base"] or (0, 0.0)
+        if n < self.NEED or m < self.BASE_NEED:
+            return else_
+        self.s["live"] = None
+        if x / n > y / m + self.LIFT:
+            self.s["breadth"][live["source"]] = live["value"]
+            return "promote"
+        return "discard"
+
+
+SOURCES = ("code", "docs", "issues")
+
+
+def source_actions(events: DataFrame) -> DataFrame:
+    """(intent, repo, event_id, action, source, breadth) of a stream of traced events: keyed state, in order of time within each batch.
+
+    Events of no known intent have no bucket and are dropped. Times order the rows of a batch; a batch's files are bounded by the reader.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        own = SourceBandit("/".join(map(str, key)), SOURCES, state.get[0] if state.exists else None)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = [(*key, e, *own.add(x)) for e, x in zip(rows["event_id"], rows["raw"], strict=True)]
+        state.update((json.dumps(own.s),))
+        yield pd.DataFrame(out, columns=["intent", "repo", "event_id", "action", "source", "breadth"]).astype({"breadth": "Int64"})
+
+    kept = events.where("intent is not null").select("intent", "repo", "event_id", "ts", "raw")
+    return kept.groupBy("intent", "repo").applyInPandasWithState(run, "intent string, repo string, event_id long, action string, source string, breadth long", "saved string", "append", "NoTimeout")
+
+
+@query("stream_source_bandit")
+def source_bandit(s, d):
+    """Breadth of sources learned from a stream of rewards, with state in the state store; draws are hashes, so that a rerun takes the same way."""
+    return drained(source_actions(traced(event_stream(s, d))), "append")
