@@ -18,7 +18,7 @@ CHOSEN = [
     "resolve_import_mappings", "resolve_import_paths", "resolve_chain_calls", "context_field_query", "scan_strip_comments", "scan_prefixed_routes", "scan_embedded_blocks",
     "filter_test_files", "filter_low_value_files", "filter_siblings", "join_tag_repo_score", "topk_link_order", "set_append_distinct", "fn_intent_class", "fn_effective_query", "fn_model_hint", "fn_query_words",
     "vector_mean_pool", "reward_profile_deltas", "reward_profile_shrink", "resolve_overrides", "resolve_event_channels", "vector_populate_guard", "graph_affected_tests", "search_bm25_documents", "graph_components", "graph_pagerank",
-    "filter_unresolvable_refs", "resolve_package_names", "resolve_qualified_names", "resolve_method_calls", "resolve_name_tiers", "resolve_case_free", "resolve_cascade", "resolve_second_pass",
+    "filter_unresolvable_refs", "resolve_package_names", "resolve_qualified_names", "resolve_method_calls", "resolve_name_tiers", "resolve_case_free", "resolve_cascade", "resolve_second_pass", "scan_payload_documents", "stream_feedback",
     "graph_bfs", "graph_shortest_path", "graph_cycles", "resolve_best_match", "fn_path_proximity", "eval_recall_mrr",
 ]
 
