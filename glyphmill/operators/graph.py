@@ -195,3 +195,17 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 
 def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+
+
+def call_chain(edges: DataFrame, traced: DataFrame, hops: int = 2, most_parents: int = 32) -> DataFrame:
+    """(side, source, target): edges into traced ids (a column id) as upstream, out of them as downstream, and from two hops on those into
+    their parents that aren't traced themselves. Of many parents the first most_parents by id count, as this operator promises."""
+    seeds = traced.select("id").distinct()
+    pairs = edges.select("source", "target")
+    up = materialised(pairs.join(seeds.withColumnRenamed("id", "target"), "target").select("source", "target").distinct(), "up")
+    down = pairs.join(seeds.withColumnRenamed("id", "source"), "source").select(F.lit("down").alias("side"), "source", "target")
+    out = up.select(F.lit("up").alias("side"), "source", "target").unionByName(down)
+    if hops >= 2:
+        parents = up.select(F.col("source").alias("target")).distinct().join(seeds.withColumnRenamed("id", "target"), "target", "left_anti").orderBy("target").limit(most_parents)
+        out = out.unionByName(pairs.join(parents, "target").select(F.lit("up").alias("side"), "source", "target"))
+    return out.distinct()

@@ -19,6 +19,7 @@ CHOSEN = [
     "filter_test_files", "filter_low_value_files", "filter_siblings", "join_tag_repo_score", "topk_link_order", "set_append_distinct", "fn_intent_class", "fn_effective_query", "fn_model_hint", "fn_query_words",
     "vector_mean_pool", "reward_profile_deltas", "reward_profile_shrink", "resolve_overrides", "resolve_event_channels", "vector_populate_guard", "graph_affected_tests", "search_bm25_documents", "graph_components", "graph_pagerank",
     "filter_unresolvable_refs", "resolve_package_names", "resolve_qualified_names", "resolve_method_calls", "resolve_name_tiers", "resolve_case_free", "resolve_cascade", "resolve_second_pass", "scan_payload_documents", "stream_feedback",
+    "graph_call_chain_build", "join_cross_wire", "agg_manifest_top_file", "vector_primary_context",
     "graph_bfs", "graph_shortest_path", "graph_cycles", "resolve_best_match", "fn_path_proximity", "eval_recall_mrr",
 ]
 
