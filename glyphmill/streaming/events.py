@@ -113,6 +113,41 @@ def topics(rows: DataFrame, key: str, order: str, vector: str) -> DataFrame:
     return rows.select(key, order, vector).repartition(key).sortWithinPartitions(key, order).mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, topic int")
 
 
+def topics_kept(rows: DataFrame, key: str, order: str, vector: str) -> DataFrame:
+    """topics() for a stream: each key's topics, MAX_TOPICS at most, are in the state store between batches, and order counts within a batch."""
+    kinds = dict(rows.dtypes)
+
+    def run(own, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        kept = Topics()
+        if state.exists:
+            saved = json.loads(state.get[0])
+            kept.step, kept.at = saved["step"], {i: (np.array(c), n, last) for i, c, n, last in saved["at"]}
+        rows = pd.concat(list(batches)).sort_values(order)
+        found = [kept.add(np.asarray(v, dtype=float)) for v in rows[vector]]
+        state.update((json.dumps({"step": kept.step, "at": [(i, c.tolist(), n, last) for i, (c, n, last) in kept.at.items()]}),))
+        yield pd.DataFrame({key: own[0], order: rows[order], "topic": found})
+
+    kept = rows.select(key, order, vector).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    return kept.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, topic int", "saved string", "append", "NoTimeout")
+
+
+@query("stream_topics_kept")
+def topics_stream(s, d):
+    """Topic clusters of a stream of vectors, with state in the state store."""
+    schema = b.table(s, d, "embeddings").schema
+    return drained(topics_kept(s.readStream.schema(schema).parquet(f"{d}/embeddings.parquet*"), "label", "vec_id", "embedding"), "append")
+
+
+@query("stream_repeats", "SELECT a.event_id, z.event_id AS earlier FROM events a JOIN events z ON a.user_id % 10 = z.user_id % 10 AND a.event_type = z.event_type AND z.ts < a.ts AND z.ts >= a.ts - INTERVAL 15 MINUTE")
+def repeats(s, d):
+    """What a repository was asked again within 15 minutes: a join of the stream with itself over an interval, so that what is older than the
+    interval and the watermark leaves the state."""
+    e = event_stream(s, d).select("event_id", "ts", "event_type", (F.col("user_id") % 10).alias("repo")).withWatermark("ts", "15 minutes")
+    z = event_stream(s, d).select(F.col("event_id").alias("earlier"), F.col("ts").alias("before"), F.col("event_type").alias("kind"), (F.col("user_id") % 10).alias("place")).withWatermark("before", "15 minutes")
+    near = F.expr("repo = place AND event_type = kind AND before < ts AND before >= ts - INTERVAL 15 MINUTES")
+    return drained(e.join(z, near).select("event_id", "earlier"), "append")
+
+
 @query("stream_topic_clusters")
 def topic_clusters(s, d):
     return topics(b.table(s, d, "embeddings"), "label", "vec_id", "embedding")
