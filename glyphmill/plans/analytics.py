@@ -361,10 +361,15 @@ def components(s, d):
     return graph.components_of(b.edges(s, d, ("contains",))).groupBy("component").agg(F.count(F.lit(1)).alias("members"))
 
 
-@query("graph_named_flow")
+_NEXT = """SELECT start, id, {i} AS depth, min(streak) AS streak FROM (SELECT l.start, e.target AS id, CASE WHEN e.target IN (SELECT id FROM named) THEN 0 ELSE l.streak + 1 END AS streak FROM l{j} l JOIN (SELECT DISTINCT source, target FROM v_nation_dep) e ON e.source = l.id)
+WHERE streak <= 1 AND start || '>' || id NOT IN ({seen}) GROUP BY start, id"""
+_LEVELS = ", ".join(f"l{i} AS MATERIALIZED ({_NEXT.format(i=i, j=i - 1, seen=' UNION ALL '.join(f'SELECT start || chr(62) || id FROM l{k}' for k in range(i)))})" for i in range(1, 8))
+
+
+@query("graph_named_flow", f"WITH named AS (SELECT n_nationkey::BIGINT AS id FROM nation WHERE n_regionkey < 3), l0 AS (SELECT id AS start, id, 0 AS depth, 0 AS streak FROM named), {_LEVELS} SELECT start, id, depth::INTEGER AS depth, streak::INTEGER AS streak FROM (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(8)) + ")")
 def named_flow(s, d):
     named = b.table(s, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("id"))
-    return graph.named_flow(b.nation_dep(s, d), named)
+    return graph.named_flow(materialised(b.nation_dep(s, d), "deps"), named)
 
 
 @query("graph_blast_radius", f"SELECT z.id, count(DISTINCT a.id)::BIGINT AS callers, count(DISTINCT a.file_path)::BIGINT AS files FROM {E} e JOIN {N} z ON z.id = e.target JOIN {N} a ON a.id = e.source WHERE e.kind = 'calls' AND z.file_path = 'parts/brand11/t15.py' GROUP BY z.id")
