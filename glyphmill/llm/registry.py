@@ -10,5 +10,8 @@ ORACLES = {
     "op2_line_dedup": oracles.OP2,
     "op7_minhash": oracles.OP7,
     "op8_warc": oracles.OP8,
+    "op11_blockjoin": oracles.OP11,
+    "op12_prefix_trie": oracles.OP12,
+    "op13_resampling": oracles.OP13,
     "op3_url_filter": oracles.op3(queries.URL_RULES, urls.STRICT, urls.SOFT, urls.MIN_SOFT),
 }
