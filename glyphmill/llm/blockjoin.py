@@ -24,8 +24,6 @@ from glyphmill.llm.common import arrow_schema, batch_of, rows_of, written
 EXACT_DIMS = 1024
 #: Candidates of a tile, and queries that meet it at once.
 TILE, QUERIES_AT_ONCE = 2048, 256
-#: Stripes to give work to at least, where there are so many blocks of TILE candidates.
-LEAST_STRIPES = 64
 
 
 def matrix(lists: pa.ListArray, width: int) -> np.ndarray:
@@ -147,7 +145,7 @@ def nearest(
     vec_col: str = "embedding",
     k: int = 20,
     query_rows: int = 8192,
-    stripe_rows: int = 65536,
+    stripe_rows: int = 1 << 22,
 ) -> DataFrame:
     """The k candidates with the largest inner product with each query, ties to the smaller vec_id, a null one last. The result is exact.
 
@@ -162,7 +160,9 @@ def nearest(
     asks = F.coalesce(is_query, F.lit(False))
     n, n_queries, width = rows.agg(F.count(F.lit(1)), F.count_if(asks), F.max(F.size("x"))).first()
     blocks = max(1, math.ceil(n_queries / query_rows))
-    stripes = max(1, math.ceil(n / stripe_rows), min(LEAST_STRIPES, math.ceil(n / TILE)))
+    # a task's memory doesn't follow its stripe: few stripes give few heaps to merge, as long as there is work for every core
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    stripes = max(1, math.ceil(n / stripe_rows), min(math.ceil(cores / blocks), math.ceil(n / TILE)))
     dealt = lambda of: F.pmod(F.xxhash64("row"), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     asked = rows.where(asks).select(dealt(blocks).alias("block"), every(stripes).alias("stripe"), F.lit(0).alias("part"), "row", "id", "x")

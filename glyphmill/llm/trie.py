@@ -25,7 +25,9 @@ LANES, LANE_BITS = "abcd", 36
 #: Ids that are joined to one text before they are hashed.
 CHUNK_IDS = 16_384
 
-_ROOT = F.struct(*[F.lit(0).cast("long").alias(c) for c in LANES])
+
+def _root() -> Column:
+    return F.struct(*[F.lit(0).cast("long").alias(c) for c in LANES])
 
 
 def digested(conversations: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def _refined(rows: DataFrame, by: list[str], *sums: Column) -> DataFrame:
 def _ends(blocks: DataFrame, members: DataFrame) -> DataFrame:
     """(key, ends_sha256): of the members that end at a node, ids ascending. Ids meet in ranges first, so that only chunks of text are put together per node."""
     last = blocks.groupBy("conv_id").agg(F.max(F.struct("block", "key")).alias("last")).select("conv_id", F.col("last.key").alias("key"))
-    turnless = members.join(last, "conv_id", "left_anti").select("conv_id", _ROOT.alias("key"))
+    turnless = members.join(last, "conv_id", "left_anti").select("conv_id", _root().alias("key"))
     flat = [F.col(f"key.{c}").alias(c) for c in LANES]
     ids = last.unionByName(turnless).select(*flat, "conv_id").repartitionByRange(*LANES, "conv_id").sortWithinPartitions(*LANES, "conv_id")
     chunk = "a long, b long, c long, d long, first long, ids string"
@@ -149,8 +151,8 @@ def prefix_trie(turns: DataFrame, members: DataFrame | None = None, *, block_tur
     # of its own smallest member, a node takes only what lies at its depth or below
     own = running_sums(nodes.select("key", "parent", "depth", "n", "m", F.col("w").alias("up_to"), "w"), ["m"], [F.col("depth")], ["up_to"], "trie-own")
     ends = written(_ends(blocks, members), "trie-ends")
-    smallest = written(members.agg(F.min("conv_id").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 0").withColumn("key", _ROOT), "trie-root")
-    whole = shares.agg(F.sum("leaf").alias("leaf"), F.sum("share").alias("saved")).withColumn("key", _ROOT)
+    smallest = written(members.agg(F.min("conv_id").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 0").withColumn("key", _root()), "trie-root")
+    whole = shares.agg(F.sum("leaf").alias("leaf"), F.sum("share").alias("saved")).withColumn("key", _root())
     told = lambda leaf, saved: [
         F.col("m").alias("conv_id"), F.col("depth").cast("long").alias("depth"), "n", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"),
         leaf.cast("long").alias("n_leaves"), saved.cast("long").alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
