@@ -3,8 +3,8 @@ correction for collisions, and exact confirmation on full shingle sets.
 
 Nothing here emits the pairs of a group. Members of a band's bucket, and later of a candidate cluster, are linked by a
 spanning forest: a search from one member finds its neighbours among those not yet reached, so that each member costs one
-comparison with what is left. Groups of more than BLOCK members are dealt into blocks; each block meets a few
-representatives of its group, and only members that these leave outside the group's main part meet all blocks.
+comparison with what is left. Groups of more than BLOCK members, or of more than BLOCK_SHINGLES shingles in all, are dealt into blocks; each
+block meets a few representatives of its group, and only members that these leave outside the group's main part meet all blocks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import arrow_schema, batch_of, rows_of, small_batches, written
+from glyphmill.llm.common import arrow_schema, batch_of, join_facts, rows_of, small_batches, written
 
 BANDS, ROWS = 24, 5
 N_HASHES = BANDS * ROWS
@@ -28,6 +28,10 @@ BITS = 8
 SIGMAS = 5.0
 #: Members of a group that are compared at once, and representatives that every block of a larger group meets.
 BLOCK, REPRESENTATIVES = 1000, 64
+#: Shingles of the members that are compared at once, about; representatives have half as many at most. Comparing takes some 60 bytes for each.
+BLOCK_SHINGLES = 1 << 21
+#: Edges up to which one task joins them to components.
+FEW_EDGES = 100_000
 #: A node of a graph is a hub from HUB edges and 1/HEAVY_PARTS of all on, so that there are fewer than HEAVY_PARTS.
 HUB, HEAVY_PARTS = 250, 1024
 
@@ -153,17 +157,22 @@ def _streamed(rows: DataFrame, keys: list[str], found: Callable[[pa.Table], list
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _FOUND)
 
 
-def linked(members: DataFrame, payload: str, near_of: Callable[[list[bytes]], Near]) -> DataFrame:
-    """Edges (a, b) that connect what is linked in every group. members: group, its size, node and the payload that near_of compares.
+def linked(members: DataFrame, payload: str, near_of: Callable[[list[bytes]], Near], most: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect what is linked in every group. members: group, its size and the weight of all its members, node, its own weight and the
+    payload that near_of compares. most: the weight that is compared at once.
 
-    A group of up to BLOCK members is compared in one place. A larger one is dealt into blocks, and every block meets the
-    same REPRESENTATIVES members. What is linked to the largest tree of these is connected already; the others
+    A group of up to BLOCK members and of no more weight than that is compared in one place. A larger one is dealt into blocks, and every block meets the
+    same members, REPRESENTATIVES at most and of half that weight, about. What is linked to the largest tree of these is connected already; the others
     meet every block, so that no link is lost.
     """
-    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    if most is None:
+        members = members.withColumns({"weight": F.col("size"), "own": F.lit(1).cast("long")})
+    parts = lambda n, weight: F.ceil(n / BLOCK) if most is None else F.greatest(F.ceil(n / BLOCK), F.least(F.ceil(weight / most), n))
+    dealt = members.withColumn("blocks", parts(F.col("size"), F.col("weight")).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     large = dealt.where("blocks > 1")
     h = F.xxhash64(F.lit(7), "node")
-    chosen = large.groupBy("group", "blocks", F.pmod(h, F.lit(REPRESENTATIVES)).alias("place")).agg(F.min(F.struct(h.alias("h"), "node", payload)).alias("least"))
+    reps = F.lit(REPRESENTATIVES) if most is None else F.greatest(F.lit(1), F.least(F.lit(REPRESENTATIVES), F.floor(most / 2 * F.col("size") / F.col("weight"))))
+    chosen = large.groupBy("group", "blocks", F.pmod(h, reps).alias("place")).agg(F.min(F.struct(h.alias("h"), "node", payload)).alias("least"))
     copies = chosen.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "least.node", f"least.{payload}", F.lit(1).alias("part"))
     rows = dealt.select("group", "block", "node", payload, F.when(F.col("blocks") > 1, 2).otherwise(0).alias("part")).unionByName(copies)
 
@@ -196,8 +205,8 @@ def linked(members: DataFrame, payload: str, near_of: Callable[[list[bytes]], Ne
     if outside.isEmpty():
         return edges
 
-    mine = outside.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("own_blocks"))
-    again = large.join(mine, "group").join(outside.withColumn("apart", F.lit(True)), ["group", "node"], "left")
+    mine = large.select("group", "node", "own").join(outside, ["group", "node"]).groupBy("group").agg(parts(F.count(F.lit(1)), F.sum("own")).cast("int").alias("own_blocks"))
+    again = large.drop("own").join(mine, "group").join(outside.withColumn("apart", F.lit(True)), ["group", "node"], "left")
     every = again.select("group", F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("own"), "block", "node", payload, F.when(F.col("apart"), 1).otherwise(2).alias("part"))
     asked = again.where("apart").withColumn("own", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("own_blocks")).cast("int"))
     asked = asked.select("group", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", payload, F.lit(0).alias("part"))
@@ -248,9 +257,30 @@ def components(edges: DataFrame) -> DataFrame:
         limit = max(HUB, 2 * (n or 0) / HEAVY_PARTS)
         return (n, sum_), limit if (most or 0) > limit else None
 
+    def at_once(pairs: DataFrame) -> DataFrame:
+        """Few edges, in one task."""
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while (y := up.setdefault(x, x)) != x:
+                    up[x] = x = up[y]
+                return x
+
+            for batch in batches:
+                for a, b in rows_of(batch):
+                    a, b = sorted((top(a), top(b)))
+                    up[b] = a
+            yield batch_of([(x, top(x)) for x in [*up]], arrow_schema("node long, label long"))
+
+        return pairs.coalesce(1).mapInArrow(joined, "node long, label long")
+
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     state, (now, most) = None, told(edges)
     while now != state and now[0]:
+        if now[0] <= FEW_EDGES:
+            return written(at_once(edges), "cc-labels")
         state = now
         edges = written(star(star(edges, True, most), False, None), "cc")
         now, most = told(edges)
@@ -307,7 +337,7 @@ def _signed(text: Column, width: int) -> Column:
     return F.pandas_udf(sign, "n_shingles long, same binary, bits binary, bands array<long>")(text)
 
 
-_SETS = "node long, same binary, found binary"
+_SETS = "at long, same binary, found binary"
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -331,10 +361,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Documents are linked where 100 * intersection >= percent * union of their sets of distinct word shingles, A-Z
     lower-cased; with fewer than width words, the whole sequence is the one shingle. component_id is the smallest id
-    that a document reaches over links. A null or empty text, or one of white space only, has no set and is linked with
-    nothing. Exact copies, and texts with equal sets, are one class from the start. A null id is linked with nothing either: its
-    component_id is null and it is kept. Rows that repeat an id are rows of their own with that id; of rows that repeat the id and the
-    class, all are kept if one is. Very long texts are compared whole. Other columns are ignored, whatever their names; an empty table gives no rows.
+    of those that a document reaches over links. A null or empty text, or one of white space only, has no set and is linked with
+    nothing. Exact copies, and texts with equal sets, are one class from the start, and what is linked are classes, never ids. A null id is linked with
+    nothing either: its component_id is null and it is kept. Rows that repeat an id are documents of their own: each belongs to the component of its own
+    text, and is kept if its id is the smallest there. Very long texts are compared whole. Other columns are ignored, whatever their names; an empty table
+    gives no rows.
 
     A link at the threshold is missed by all bands with chance (1 - s^5)^24, under one in a million for s = 0.85 and
     under one in ten thousand for s = 0.8. Confirmed links are exact.
@@ -343,7 +374,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(texts.select("doc_id", text_hash(F.col("text")).alias("text_hash"), _signed(F.col("text"), width).alias("m")).select("doc_id", "text_hash", "m.*"), "near-signed")
     with_set = signed.where("doc_id is not null AND n_shingles > 0")
-    classes = written(with_set.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "near-classes")
+    first = F.min(F.struct("doc_id", "text_hash"))
+    classes = with_set.groupBy("same").agg(first.alias("first"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("n_shingles").alias("own"), F.count(F.lit(1)).alias("n"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
     bands = classes.select("node", F.explode("bands").alias("group"))
     crowded = written(bands.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-crowded")
@@ -351,16 +384,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     candidates = components(linked(in_bands, "bits", _by_signature(least_estimate(percent))))
     clusters = written(candidates.select(F.col("label").alias("group"), "node"), "near-clusters")
 
-    # the full sets of candidates only are made again; of rows that repeat an id, one with the class's own set is taken
-    sizes = clusters.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    own = written(classes.join(clusters.join(sizes, "group"), "node").select("node", "group", "size", "same"), "near-own")
-    ids = with_set.join(own, (with_set["doc_id"] == own["node"]) & (with_set["same"] == own["same"]), "left_semi").select("doc_id").distinct()
-    found = _sets(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text"), width)
-    members = found.join(own, ["node", "same"]).dropDuplicates(["node", "same"]).select("group", "size", "node", "found")
-    links = components(linked(members, "found", _by_sets(percent)))
-
-    named = classes.select("same", "node").join(links, "node", "left").select("same", F.coalesce("label", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "text_hash", "same").join(named, "same", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash")
+    # the full sets of candidates only are made again, of one row of each class
+    own = classes.select("same", "node", "own", "first.*").join(clusters, "node")
+    own = written(own.join(own.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.sum("own").alias("weight")), "group"), "near-own")
+    rows = texts.withColumn("text_hash", text_hash(F.col("text"))).join(own.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi")
+    found = _sets(rows.select("doc_id", "text"), width)
+    members = found.join(own, "same").where(F.col("at") == F.col("doc_id")).dropDuplicates(["same"]).select("group", "size", "weight", "node", "own", "found")
+    links = components(linked(members, "found", _by_sets(percent), BLOCK_SHINGLES))
+
+    labels = classes.select("same", "node", "n", F.col("first.doc_id").alias("id")).join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = labels.groupBy("label").agg(F.min("id").alias("component_id"))
+    named = written(labels.join(smallest, "label").select("same", "n", "component_id"), "near-named")
+    # copies of one text are many rows of one class: large classes are broadcast, and rows without a class don't meet any
+    in_class = join_facts(with_set.select("doc_id", "n_shingles", "text_hash", "same"), named.drop("n"), "same", named.select("same", "n"))
+    alone = signed.where("doc_id is null OR n_shingles = 0").select("doc_id", "n_shingles", "text_hash", F.col("doc_id").alias("component_id"))
+    out = in_class.select(*alone.columns).unionByName(alone)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
