@@ -70,12 +70,12 @@ class ImpactIndex:
         least = np.partition(self.vectors[best] @ query, len(best) - k)[len(best) - k]
         return np.flatnonzero(total >= least)
 
-    def search(self, query: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """(id, score) of the k best, without the query's own row."""
+    def search(self, query: np.ndarray, ids: np.ndarray, named: np.ndarray, rows: np.ndarray, own: int, k: int) -> list[tuple[int, bool, int]]:
+        """(id, whether there is one, score) of the k best, without the query's own row."""
         can = self.possible(query, k + 1)  # the query's own row may take a place
         scores = self.vectors[can] @ query
-        order = np.lexsort((ids[can], -scores))
-        return [(int(ids[can[i]]), int(scores[i])) for i in order[: k + 1] if rows[can[i]] != own][:k]
+        order = np.lexsort((ids[can], ~named[can], -scores))
+        return [(int(ids[can[i]]), bool(named[can[i]]), int(scores[i])) for i in order[: k + 1] if rows[can[i]] != own][:k]
 
 
 def _matrix(values: pd.Series, width: int, scale: int) -> np.ndarray:
@@ -96,7 +96,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFra
     good = ~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     short = F.aggregate("x", F.lit(0.0), lambda a, e: a + (F.abs(e) * scale + 1) * (F.abs(e) * scale + 1)) < SHORT
     found = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), x.alias("x"))
-    return found.where("id is not null AND x is not null").where(good).withColumn("short", short)
+    return found.where("x is not null").where(good).withColumn("short", short)
 
 
 def impact_topk(
@@ -112,21 +112,22 @@ def impact_topk(
 ) -> DataFrame:
     """The k highest integer inner products of each query with all other rows, ties to the smaller id.
 
-    is_query: a condition over the column `id`. Vectors that are null or hold a null or non-finite component take no part; a null id
-    takes none. Rows that repeat an id are rows of their own, as queries and as candidates: each query row has its own ranks, and only the row
+    is_query: a condition over the column `id`. Vectors that are null or hold a null or non-finite component take no part. A null id
+    is a candidate like others, given back as null; ties put it last. Rows that repeat an id are rows of their own, as queries and as candidates: each query row has its own ranks, and only the row
     itself isn't among its candidates. Missing trailing components of a shorter vector count as 0; an empty vector scores 0. Very long
     vectors are scored in exact integers; an answer that doesn't fit a long raises an error. Other columns are ignored,
     whatever their names. An empty table gives no rows. Memory of a task: one block of each kind.
     Returns query_id long, rank int, vec_id long, score long.
     """
-    rows = written(usable(vectors, id_col, vec_col, scale), "topk-vectors")
-    queries = rows.where(is_query)
+    taking = usable(vectors, id_col, vec_col, scale).withColumns({"asks": F.coalesce(is_query, F.lit(False)), "named": F.col("id").isNotNull()})
+    rows = written(taking.withColumn("id", F.coalesce("id", F.lit(0))), "topk-vectors")
+    queries = rows.where("asks")
     n, n_queries = rows.count(), queries.count()
     blocks, query_blocks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(n_queries / query_rows))
 
     def deal(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
         return df.select(
-            "row", "id", "x", "short", F.pmod(F.xxhash64("row"), F.lit(own_n)).cast("int").alias(own),
+            *[F.col(c).alias(c) for c in ("row", "id", "x", "short", "named")], F.pmod(F.xxhash64("row"), F.lit(own_n)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other),
         )
 
@@ -142,17 +143,17 @@ def impact_topk(
             far_ints = [_exact(v, scale) for v in far["x"]]
             near_ints = [_exact(v, scale) for v in near["x"]] if not asked["short"].all() else []
             for row, own, x, short in zip(asked["row"], asked["id"], asked["x"], asked["short"], strict=True):
-                hits = index.search(_matrix(pd.Series([x]), width, scale)[0], near["id"].to_numpy(), near["row"].to_numpy(), row, k) if short and index else []
+                hits = index.search(_matrix(pd.Series([x]), width, scale)[0], near["id"].to_numpy(), near["named"].to_numpy(dtype=bool), near["row"].to_numpy(), row, k) if short and index else []
                 if far_ints or not short:
                     q = _exact(x, scale)
                     for rest, ints in ((far, far_ints), (near, [] if short else near_ints)):
-                        hits += [(i, sum(map(operator.mul, q, v))) for r, i, v in zip(rest["row"], rest["id"], ints, strict=False) if r != row]
-                    hits = sorted(hits, key=lambda h: (-h[1], h[0]))[:k]
-                if any(abs(score) >= 2**63 for _, score in hits):
+                        hits += [(i, named, sum(map(operator.mul, q, v))) for r, i, named, v in zip(rest["row"], rest["id"], rest["named"], ints, strict=False) if r != row]
+                    hits = sorted(hits, key=lambda h: (-h[2], not h[1], h[0]))[:k]
+                if any(abs(score) >= 2**63 for _, _, score in hits):
                     raise ValueError(f"a score of vector {own} doesn't fit a long")
                 out += [(row, own, *hit) for hit in hits]
-        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "named", "score"]).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "named": "bool", "score": "int64"})
 
-    hits = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(search, "row long, query_id long, vec_id long, score long")
-    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    hits = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(search, "row long, query_id long, vec_id long, named boolean, score long").withColumn("vec_id", F.when(F.col("named"), F.col("vec_id")))
+    best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

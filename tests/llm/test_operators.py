@@ -45,13 +45,14 @@ def test_topk(spark):
     vectors += [(500, vectors[7][1]), (501, vectors[7][1]), (8, vectors[8][1])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumns({"score": F.lit(1), "rank": F.lit(2)})
     found = collect(topk.impact_topk(df, F.col("id") % 100 == 0, block_rows=100, query_rows=3))
-    kept = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    kept = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for n, (q, x) in enumerate(kept):
-        if q % 100 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(x, v, strict=False)), i) for m, (i, v) in enumerate(kept) if m != n)[:10]
-            want += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
-    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(want)
+        if q is not None and q % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x, v, strict=False)), i is None, i or 0) for m, (i, v) in enumerate(kept) if m != n)[:10]
+            want += [(q, r, None if none else i, -s) for r, (s, none, i) in enumerate(scores, 1)]
+    assert any(w[2] is None for w in want)
+    assert sorted(((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found), key=str) == sorted(want, key=str)
     assert collect(topk.impact_topk(df.limit(0), F.col("id") % 100 == 0)) == []
 
 
