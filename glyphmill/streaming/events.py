@@ -6,18 +6,19 @@ Each query runs its stream to the end of what there is and returns what it emitt
 from __future__ import annotations
 
 import json
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from glyphmill.functions.score import raw_reward
 from glyphmill.operators.storage import shared_path
 from glyphmill.plans import bindings as b
 from glyphmill.plans.registry import query
+from glyphmill.streaming.bandit import SourceBandit
 
 #: Similarity that a topic absorbs at, and topics of a key at most.
 ABSORB, MAX_TOPICS = 0.65, 32
@@ -31,16 +32,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """All that a stream emits; batches are appended to a table, and in update mode a key's last row counts."""
+    """All that a stream emits; each batch has a folder of its own, written over if it runs again, and in update mode a key's last row counts."""
     spark = df.sparkSession
     base = shared_path(spark, "stream")
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out/_epoch={epoch}")
 
+    keep(spark.createDataFrame([], df.schema), -1)  # something to read even if nothing comes
     run = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
+    # a folder whose name begins with an underscore is hidden, unless it tells a column's value
+    out = spark.read.schema(StructType([*df.schema.fields, StructField("_epoch", LongType())])).parquet(f"{base}/out")
     if keys:
         last = out.groupBy(*keys).agg(F.max("_epoch").alias("_epoch"))
         out = out.join(last, [*keys, "_epoch"], "left_semi")
@@ -153,56 +156,6 @@ def topic_clusters(s, d):
     return topics(b.table(s, d, "embeddings"), "label", "vec_id", "embedding")
 
 
-class Bandit:
-    """One bucket's profile bandit: explores now and then, promotes a better candidate, drops it after three strikes."""
-
-    EPSILON, NEED, BASE_NEED, LIFT, STRIKE, STRIKES = 0.10, 20, 5, 0.05, 0.30, 3
-
-    def __init__(self, draw: Callable[[int], float]):
-        self.draw, self.base, self.cand, self.strikes, self.n = draw, [], None, 0, 0
-
-    def add(self, adjusted: float) -> str:
-        self.n += 1
-        if self.cand is None:
-            self.base.append(adjusted)
-            self.base = self.base[-self.NEED :]
-            if self.draw(self.n) < self.EPSILON:
-                self.cand, self.strikes = [], 0
-                return "explore"
-            return "base"
-        self.cand.append(adjusted)
-        self.strikes = self.strikes + 1 if adjusted < self.STRIKE else 0
-        if self.strikes >= self.STRIKES:
-            self.cand = None
-            return "rollback"
-        if len(self.cand) >= self.NEED and len(self.base) >= self.BASE_NEED:
-            better = sum(self.cand) / len(self.cand) > sum(self.base) / len(self.base) + self.LIFT
-            self.base, self.cand = (self.cand if better else self.base), None
-            return "promote" if better else "discard"
-        return "candidate"
-
-
-@query("stream_profile_bandit")
-def profile_bandit(s, d):
-    """Each (intent, repository) is a bucket with its own state; its rewards come in order of time, less the mean of the 50 before them.
-    Draws are a hash of the bucket and step, so that a rerun takes the same way."""
-    w = Window.partitionBy("intent", "repo").orderBy("ts", "event_id").rowsBetween(-50, -1)
-    r = b.rewards(s, d).select("intent", "repo", "ts", "event_id", "raw")
-    r = r.withColumn("adjusted", F.col("raw") - F.coalesce(F.avg("raw").over(w), F.lit(0.0))).drop("raw")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, state = None, None
-        for batch in batches:
-            out = []
-            for k, repo, x in zip(batch["intent"], batch["repo"], batch["adjusted"], strict=True):
-                if state is None or (k, repo) != own:
-                    own, state = (k, repo), Bandit(lambda n, k=k, repo=repo: zlib.crc32(f"{k}/{repo}/{n}".encode()) / 2**32)
-                out.append(state.add(x))
-            yield batch[["intent", "repo", "event_id"]].assign(action=out)
-
-    return r.repartition("intent", "repo").sortWithinPartitions("intent", "repo", "ts", "event_id").mapInPandas(run, "intent string, repo string, event_id long, action string")
-
-
 def traced(events: DataFrame) -> DataFrame:
     """Events, of a table or a stream, with intent, repository, the counters of their feedback and `k`."""
     intent = F.element_at(F.create_map(*[F.lit(x) for kv in b.INTENT_OF.items() for x in kv]), F.col("event_type"))
@@ -220,67 +173,6 @@ def feedback(s, d):
     return drained(said.join(known, "trace_id").select("event_id", "trace_id", "intent", "repo", "raw", (F.col("ts") <= F.col("said")).alias("in_time")), "append")
 
 
-class SourceBandit:
-    """How many documents each source of a bucket gives: at most one source is explored at a time, one step up or down.
-
-    The whole state is `self.s`, plain JSON of bounded size, so that a stream's state store keeps it.
-    """
-
-    #: sources' first breadth and bounds, chance to explore, samples needed, lift, strike level, strikes, rewards of the baseline.
-    START, LEAST, MOST, EPSILON, NEED, BASE_NEED, LIFT, STRIKE, STRIKES, BASELINE = 5, 2, 15, 0.10, 20, 5, 0.05, 0.30, 3, 50
-
-    def __init__(self, key: str, sources: tuple[str, ...], saved: str | None = None):
-        self.key = key
-        self.s = json.loads(saved) if saved else {"n": 0, "recent": [], "breadth": dict.fromkeys(sources, self.START), "live": None}
-
-    def draw(self, use: str) -> float:
-        return zlib.crc32(f"{self.key}/{self.s['n']}/{use}".encode()) / 2**32
-
-    def add(self, raw: float) -> tuple[str, str | None, int | None]:
-        """(action, source, served breadth) of the next query, whose reward is raw."""
-        s = self.s
-        s["n"] += 1
-        adjusted = raw - (sum(s["recent"]) / len(s["recent"]) if s["recent"] else 0.0)
-        s["recent"] = [*s["recent"], raw][-self.BASELINE :]
-        if s["live"] is None and not self.explore():
-            return "current", None, None
-        live = s["live"]
-        fresh = not live["base"] and not live["tried"]
-        tried = fresh or self.draw("serve") < self.EPSILON  # the query that starts a candidate is served by it
-        served, source = (live["value"] if tried else live["from"]), live["source"]
-        live["strikes"] = live["strikes"] if not tried else live["strikes"] + 1 if adjusted < self.STRIKE else 0
-        kept = live["tried" if tried else "base"]
-        kept[:] = [kept[0] + 1, kept[1] + adjusted] if kept else [1, adjusted]
-        return self.decide(live, "try" if tried else "base"), source, served
-
-    def explore(self) -> bool:
-        """A new candidate in one of ten queries; a step that a bound takes back is none."""
-        if self.draw("explore") >= self.EPSILON:
-            return False
-        names = sorted(self.s["breadth"])
-        source = names[int(self.draw("source") * len(names))]
-        now = self.s["breadth"][source]
-        value = min(self.MOST, max(self.LEAST, now + (-1 if self.draw("side") < 0.5 else 1)))
-        if value == now:
-            return False
-        # of each side the number and sum of rewards
-        self.s["live"] = {"source": source, "value": value, "from": now, "tried": [], "base": [], "strikes": 0}
-        return True
-
-    def decide(self, live: dict, else_: str) -> str:
-        if live["strikes"] >= self.STRIKES:
-            self.s["live"] = None
-            return "rollback"
-        (n, x), (m, y) = live["tried"] or (0, 0.0), live["base"] or (0, 0.0)
-        if n < self.NEED or m < self.BASE_NEED:
-            return else_
-        self.s["live"] = None
-        if x / n > y / m + self.LIFT:
-            self.s["breadth"][live["source"]] = live["value"]
-            return "promote"
-        return "discard"
-
-
 SOURCES = ("code", "docs", "issues")
 
 
@@ -294,7 +186,7 @@ def source_actions(events: DataFrame) -> DataFrame:
         own = SourceBandit("/".join(map(str, key)), SOURCES, state.get[0] if state.exists else None)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = [(*key, e, *own.add(x)) for e, x in zip(rows["event_id"], rows["raw"], strict=True)]
-        state.update((json.dumps(own.s),))
+        state.update((own.saved(),))
         yield pd.DataFrame(out, columns=["intent", "repo", "event_id", "action", "source", "breadth"]).astype({"breadth": "Int64"})
 
     kept = events.where("intent is not null").select("intent", "repo", "event_id", "ts", "raw")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import cascade
 from glyphmill.plans import bindings as b
-from glyphmill.streaming import events
+from glyphmill.streaming import bandit, events
 
 SF = "/root/testdata/sf0.001"
 SYMBOL = "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, is_exported boolean"
@@ -56,20 +56,20 @@ def test_source_bandit_stream_is_rows_one_by_one(spark):
     banks, want = {}, {}
     for r in rows:
         key = f"{r['intent']}/{r['repo']}"
-        want[r["event_id"]] = banks.setdefault(key, events.SourceBandit(key, events.SOURCES)).add(r["raw"])
+        want[r["event_id"]] = banks.setdefault(key, bandit.SourceBandit(key, events.SOURCES)).add(r["raw"])
     assert got == want
     assert {"current", "try", "base"} <= {a for a, _, _ in got.values()}
 
 
 def test_source_bandit_learns_and_keeps_bounds():
-    own = events.SourceBandit("k", ("a",))
+    own = bandit.SourceBandit("k", ("a",))
     seen = set()
     for _ in range(5000):
         live = own.s["live"]
         action, _, served = own.add(1.0 if live and live["value"] > live["from"] else 0.0)
         seen.add(action)
-        assert served is None or events.SourceBandit.LEAST <= served <= events.SourceBandit.MOST
-        own = events.SourceBandit("k", ("a",), json.dumps(own.s))
+        assert served is None or bandit.SourceBandit.LEAST <= served <= bandit.SourceBandit.MOST
+        own = bandit.SourceBandit("k", ("a",), json.dumps(own.s))
     assert "rollback" in seen
 
 
