@@ -13,7 +13,7 @@ from glyphmill.functions.score import KNOBS, KNOBS_OF
 
 #: Chance to try, samples needed of the tried and of the one in use, lift, strike level, strikes, rewards of the baseline, samples of a bucket
 #: before anything is tried, and what a reward that was told or was inferred weighs.
-EPSILON, NEED, BASE_NEED, LIFT, STRIKE, STRIKES, BASELINE, SAMPLE_FLOOR = 0.10, 20, 5, 0.05, 0.30, 3, 50, 10
+EPSILON, NEED, BASE_NEED, LIFT, STRIKE, STRIKES, BASELINE, SAMPLE_FLOOR = 0.10, 20, 5, 0.05, 0.30, 3, 50, 20
 EXPLICIT_WEIGHT, IMPLICIT_WEIGHT = 1.0, 0.5
 
 
