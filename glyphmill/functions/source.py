@@ -23,21 +23,30 @@ LEXICON = {
 }
 
 
-def without_comments(x: Column, language: str) -> Column:
-    """The text with comments (and Python's triple-quoted strings) turned into spaces, so that offsets and lines stay.
-
-    One pass of one pattern cuts the text into comments, strings and other runs. A comment mark within a string is text.
-    Nested block comments end at the first end mark. A null text is empty; an unknown language keeps its text.
-    """
+def _blanked(x: Column, language: str, strings: bool) -> Column:
     text = F.coalesce(x, F.lit(""))
     if language not in LEXICON:
         return text
     blank, keep, other = LEXICON[language]
     tokens = F.regexp_extract_all(text, F.lit("|".join((*blank, *keep, other, "[\\s\\S]"))), 0)
-    is_blank = F.lit("\\A(?:" + "|".join(blank) + ")\\z")
+    is_blank = F.lit("\\A(?:" + "|".join((*blank, *keep) if strings else blank) + ")\\z")
     return F.array_join(F.transform(tokens, lambda t: F.when(F.rlike(t, is_blank), F.regexp_replace(t, "[^\\n]", " ")).otherwise(t)), "")
 
 
+def without_comments(x: Column, language: str) -> Column:
+    """The text with comments (and Python's triple-quoted strings) turned into spaces, so that offsets and lines stay.
+
+    One pass of one pattern cuts the text into comments, strings and other runs. A comment mark within a string is text.
+    Nested block comments end at the first end mark. A null text is empty; an unknown language keeps its text.
+    """
+    return _blanked(x, language, False)
+
+
+def code_only(x: Column, language: str) -> Column:
+    """without_comments(), with strings turned into spaces as well, quotes included: what is left is code."""
+    return _blanked(x, language, True)
+
+
 def _all(x: Column, pattern: str, *groups: int) -> list[Column]:
     return [F.regexp_extract_all(x, F.lit(pattern), g) for g in groups]
 
