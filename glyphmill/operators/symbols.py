@@ -51,7 +51,7 @@ _SO_FAR = (Window.unboundedPreceding, 0)
 
 def _found(rows: DataFrame, pattern: str, *keep: str) -> DataFrame:
     """(path, *keep, at, name): each match of a pattern in `code`, and where it ends."""
-    whole = F.lit(f"(?s).*?(?:{pattern})")
+    whole = F.lit(f"\\G(?s:.*?)(?:{pattern})")  # from where the last match ended, so that a text is read once
     hits = F.arrays_zip(F.transform(F.regexp_extract_all("code", whole, 0), F.length).alias("n"), F.regexp_extract_all("code", whole, 1).alias("name"))
     got = rows.select("path", *keep, F.posexplode(hits).alias("nth", "hit"))
     at = F.sum("hit.n").over(Window.partitionBy("path").orderBy("nth").rowsBetween(*_SO_FAR))
