@@ -79,7 +79,18 @@ def test_nnpu_against_a_numeric_minimum():
         assert risk(model.weight + step, model.bias + rng.normal(0, 0.05)) > least - 0.02
     scores = model.score(np.vstack([good[100:], bad]))
     assert (scores[:100] >= 0.5).mean() > 0.95 and (scores[100:] < 0.5).mean() > 0.95
-    assert abs(quality.class_prior(scores, prior) - 0.25) < 0.05
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.8])
+def test_class_prior_from_positives_and_unlabelled(prior):
+    rng = np.random.default_rng(int(prior * 10))
+    n = quality.N_FEATURES
+    draw = lambda good, k: rng.normal(0.55 if good else 0.35, 0.15, (k, n)).clip(0, 1)  # noqa: E731  one feature tells little
+    for n_p, n_u in ((1000, 3000), (3000, 6000)):
+        k = int(prior * n_u)
+        found = quality.class_prior(draw(True, n_p), rng.permutation(np.vstack([draw(True, k), draw(False, n_u - k)])))
+        assert abs(found - prior) < 0.05, found
+    assert quality.class_prior(draw(True, 1), draw(True, 1)) == 0.5
 
 
 def test_quality_of_a_repeated_id(spark):
