@@ -6,20 +6,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import arrow_schema, batch_of, new_path, rows_of, written
+from glyphmill.llm.common import arrow_schema, batch_of, new_path, rows_of, running_sums, written
 
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Payload bytes of an archive file, about; a reader holds one file at a time.
 FILE_BYTES = 16 << 20
-#: Index rows of a range, about; a merge holds one range at a time.
-RANGE_ROWS = 50_000
+#: Index rows of a range, about; ranges give tasks of even size, a merge's memory doesn't follow them.
+RANGE_ROWS = 250_000
+#: Runs that are merged at once, and rows of a block: a merge holds a block or two of each run.
+FAN_IN, BLOCK_ROWS = 64, 256
 FIRST_CAPTURE = 1704067200  # 2024-01-01; a page's capture date is so many seconds, plus its id (mod 10^9), after the epoch
 
 
@@ -142,14 +146,11 @@ def _order(row: Sequence) -> tuple:
 
 
 class LoserTree:
-    """Merges sorted runs. Each inner node keeps the loser of its match, so that the next smallest row costs one match for each level."""
+    """The smallest of k keys, the first of equal ones. Each inner node keeps the loser of its match, so that after the winner's next key one match for each level is played.
+    A key of None loses to all others."""
 
-    def __init__(self, runs: Sequence[Sequence[tuple]]):
-        self.runs, self.at, self.k = runs, [0] * len(runs), len(runs)
-        self.keys = [_order(r[0]) if r else None for r in runs]
-        self.losers = [-1] * max(1, self.k)
-        for i in range(self.k):
-            self._play(i)
+    def __init__(self, k: int):
+        self.k, self.keys, self.losers = k, [None] * k, [-1] * max(1, k)
 
     def _beats(self, a: int, b: int) -> bool:
         if b == -1:
@@ -159,58 +160,148 @@ class LoserTree:
         ka, kb = self.keys[a], self.keys[b]
         return kb is None or (ka is not None and (ka, a) < (kb, b))
 
-    def _play(self, i: int) -> None:
-        """Run i against the losers on its way up; an empty place (-1) wins, so that first matches wait for their opponents."""
-        node, winner = (i + self.k) // 2, i
+    def build(self) -> None:
+        """All matches anew: what a refill of any place but the winner's asks for. An empty place (-1) wins, so that first matches wait for their opponents."""
+        self.losers = [-1] * max(1, self.k)
+        for i in range(self.k):
+            node, winner = (i + self.k) // 2, i
+            while node > 0:
+                if self._beats(self.losers[node], winner):
+                    winner, self.losers[node] = self.losers[node], winner
+                node //= 2
+                if winner == -1:
+                    break
+            self.losers[0] = winner
+
+    def winner(self) -> int:
+        return self.losers[0]
+
+    def replace(self, key: tuple | None) -> None:
+        """The winner's next key."""
+        w = self.losers[0]
+        self.keys[w] = key
+        node, winner = (w + self.k) // 2, w
         while node > 0:
             if self._beats(self.losers[node], winner):
                 winner, self.losers[node] = self.losers[node], winner
             node //= 2
-            if winner == -1:
-                break
         self.losers[0] = winner
 
-    def __iter__(self) -> Iterator[tuple]:
-        while self.k and (w := self.losers[0]) != -1 and self.keys[w] is not None:
-            yield self.runs[w][self.at[w]]
-            self.at[w] += 1
-            self.keys[w] = _order(self.runs[w][self.at[w]]) if self.at[w] < len(self.runs[w]) else None
-            node, winner = (w + self.k) // 2, w
-            while node > 0:
-                if self._beats(self.losers[node], winner):
-                    winner, self.losers[node] = self.losers[node], winner
-                node //= 2
-            self.losers[0] = winner
+
+class Merge:
+    """Merges sorted runs whose blocks come in the order of their first keys: what is below a block's first key can go before it is taken in.
+
+    So of each run only the blocks are held that the merge has reached, whatever the runs' lengths.
+    """
+
+    def __init__(self, fan_in: int):
+        self.tree, self.rows, self.slots = LoserTree(fan_in), [deque() for _ in range(fan_in)], {}
+
+    def until(self, key: tuple | None) -> Iterator[tuple]:
+        """Rows below a key, or all."""
+        tree = self.tree
+        while tree.k and tree.keys[w := tree.winner()] is not None and (key is None or tree.keys[w] < key):
+            own = self.rows[w]
+            yield own.popleft()
+            tree.replace(_order(own[0]) if own else None)
+
+    def take(self, run: int, block: list[tuple]) -> None:
+        slot = self.slots.setdefault(run, len(self.slots))
+        self.rows[slot] += block
+        if self.tree.keys[slot] is None:
+            self.tree.keys[slot] = _order(self.rows[slot][0])
+            self.tree.build()
+
+
+_PLACE = "area int, nth_run int, block int, at int, f_url string, f_captured string, f_id long"
+_PLACED = f"{_INDEX}, {_PLACE}"
+
+
+class _Cut:
+    """Rows of one run of one range, numbered by block and place, with the first key of their block."""
+
+    def __init__(self, area: int, run: int, size: int):
+        self.area, self.run, self.size, self.n, self.first = area, run, size, 0, ()
+
+    def place(self, row: tuple) -> tuple:
+        if self.n % self.size == 0:
+            self.first = row[:3]
+        self.n += 1
+        return (*row, self.area, self.run, (self.n - 1) // self.size, (self.n - 1) % self.size, *self.first)
 
 
 def histories(runs: DataFrame) -> DataFrame:
-    """Index rows in global order of URL key, capture date and id: ranges of keys, and in each a merge of the runs' sorted slices.
+    """Index rows in global order of URL key, capture date and id, by merges of sorted runs: FAN_IN at once, pass after pass.
 
-    Ranges hold about RANGE_ROWS rows each, which is all that a merge has in memory. They follow date, id and place too, so that a URL, or an id, with
-    very many captures is spread over several.
+    Rows are dealt to ranges of keys first, so that tasks are of even size; ranges follow date, id and place too, so that a URL, or an id, with very many captures is
+    spread over several. In a range, each run is cut into blocks, and a merge reads the blocks of its runs in the order of their first keys: it holds
+    FAN_IN * BLOCK_ROWS rows or so, whatever the number and length of runs. Each pass is a written table.
     """
-    ranges = max(1, -(-runs.count() // RANGE_ROWS))
-    ranged = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "run", "member", "offset").sortWithinPartitions("run", "url_key", "captured", F.asc_nulls_first("page_id"))
+    n = runs.count()
+    areas = max(1, -(-n // RANGE_ROWS))
+    key = ["url_key", "captured", F.asc_nulls_first("page_id")]
+    schema = arrow_schema(_PLACED)
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[tuple]] = {}
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        area, own = TaskContext.get().partitionId(), None
         for batch in batches:
+            out = []
             for row in rows_of(batch):
-                slices.setdefault(row[-1], []).append(row)
-        out = []
-        for row in LoserTree([slices[k] for k in sorted(slices)]):
-            out.append(row)
-            if len(out) == 10_000:
-                yield batch_of(out, _INDEX_SCHEMA)
-                out = []
-        yield batch_of(out, _INDEX_SCHEMA)
+                if own is None or own.run != row[-1]:
+                    own = _Cut(area, row[-1], BLOCK_ROWS)
+                out.append(own.place(row[:-1]))
+            yield batch_of(out, schema)
+
+    # runs are numbered by their files' names
+    names = runs.select(F.col("run").alias("name")).distinct()
+    numbers = written(running_sums(names.withColumn("number", F.lit(1).cast("long")), [], [F.col("name")], ["number"], "warc-names").select("name", (F.col("number") - 1).cast("int").alias("run_number")), "warc-runs")
+    n_runs = numbers.count()
+    # files hold about as many rows each, so that none is a hot one
+    numbered = runs.join(numbers, F.col("run") == F.col("name")).select(*_INDEX_SCHEMA.names, "run_number")
+    ranged = numbered.repartitionByRange(areas, "url_key", "captured", "page_id", "run", "member", "offset").sortWithinPartitions("run_number", *key, "member", "offset")
+    table = written(ranged.mapInArrow(cut, _PLACED), "warc-blocks")
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own, merge, block, of, out = None, None, None, [], None, []
+
+        def taken() -> None:
+            """The block that has been read, once what lies before it has gone."""
+            if block:
+                out.extend(own.place(r) for r in merge.until(_order(block[0])))
+                merge.take(of[0], block)
 
-    return ranged.mapInArrow(merged, _INDEX)
+        for batch in batches:
+            for row in rows_of(batch):
+                *index, area, run, number, _, _, _, _ = row
+                if (area, run // FAN_IN) != group:
+                    taken()
+                    if merge:
+                        out.extend(own.place(r) for r in merge.until(None))
+                    group, own, merge, block, of = (area, run // FAN_IN), _Cut(area, run // FAN_IN, BLOCK_ROWS), Merge(FAN_IN), [], None
+                if (run, number) != of:
+                    taken()
+                    block, of = [], (run, number)
+                block.append(tuple(index))
+                if len(out) > 10_000:
+                    yield batch_of(out, schema)
+                    out.clear()
+        taken()
+        if merge:
+            out.extend(own.place(r) for r in merge.until(None))
+        yield batch_of(out, schema)
+
+    order = ["f_url", "f_captured", F.asc_nulls_first("f_id"), "nth_run", "block", "at"]
+    group = F.floor(F.col("nth_run") / FAN_IN).cast("int")
+    while n_runs > FAN_IN:
+        table = written(table.repartition("area", group).sortWithinPartitions("area", group, *order).mapInArrow(merged, _PLACED), "warc-merged")
+        n_runs = -(-n_runs // FAN_IN)
+    last = table.repartitionByRange(areas, "area").sortWithinPartitions("area", *order).mapInArrow(merged, _PLACED)
+    return last.select(*_INDEX_SCHEMA.names)
 
 
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
     """Writes pages to archives, reads them back and returns the merged histories, one row for each page: url_key, captured, page_id,
-    payload_bytes, payload_digest, record_type and refers_to.
+    payload_bytes, payload_digest, record_type and refers_to. Pages have no date of their own: `captured` is made up from the id, FIRST_CAPTURE and as many seconds.
 
     A null html is an empty payload, a null url an empty one; line breaks in a url are left out. A null id is an empty name:
     such a page revisits an equal payload that has an id. Of rows that repeat an id with equal payloads, all with the largest id are

@@ -213,7 +213,12 @@ def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 7):
         runs = [sorted(((rng.choice("abc"), "t", rng.randint(0, 9)) for _ in range(rng.randint(0, 6))), key=warc._order) for _ in range(k)]
-        assert [*warc.LoserTree(runs)] == sorted((r for run in runs for r in run), key=warc._order)
+        blocks = sorted(((i, run[j : j + 2]) for i, run in enumerate(runs) for j in range(0, len(run), 2)), key=lambda b: (warc._order(b[1][0]), b[0]))
+        merge, out = warc.Merge(k), []
+        for i, block in blocks:
+            out += merge.until(warc._order(block[0]))
+            merge.take(i, block)
+        assert [warc._order(r) for r in [*out, *merge.until(None)]] == sorted(warc._order(r) for run in runs for r in run)
 
 
 def test_sharding(spark, docs, tmp_path):
