@@ -30,14 +30,14 @@ FROM keyed LEFT JOIN often ON keyed.key = often.key GROUP BY doc_id
 """
 
 
-def op3(rules, strict, soft, min_soft: int) -> str:
+def op3(rules, terms, min_soft: float) -> str:
     host = f"CASE WHEN contains(coalesce(url, ''), '://') THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') ELSE '' END"
     path = "CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
     values = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in rules)
     low = f"translate(coalesce(url, ''), '{UPPER}', '{LOWER}')"
     word = lambda t: f"(regexp_matches({low}, '(^|[^\\p{{L}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{N}}])'))"
-    strict_hit = " OR ".join(word(t) for t in strict)
-    soft_hits = " + ".join(f"{word(t)}::INTEGER" for t in soft)
+    strict_hit = " OR ".join(word(t) for t, kind, _ in terms if kind == "strict")
+    soft_hits = " + ".join(f"{weight}::DOUBLE * {word(t)}::INTEGER" for t, kind, weight in terms if kind == "soft")
     return f"""
 WITH rules(verdict, rule, rule_host, rule_path) AS (VALUES {values}),
 p AS (SELECT page_id, url, {host} AS host, {path} AS path, CASE WHEN {strict_hit} OR {soft_hits} >= {min_soft} THEN 'block' ELSE 'allow' END AS words FROM pages),

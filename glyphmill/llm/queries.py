@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import blockjoin, digest, linededup, minhash, mixing, packing, quality, resampling, sharding, topk, trie, urls, warc
+from glyphmill.llm import blockjoin, digest, linededup, minhash, mixing, packing, quality, resampling, sharding, topk, trie, url_terms, urls, warc
 from glyphmill.llm.common import table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -21,7 +21,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    terms = urls.vocabulary(url_terms.table(spark))
+    return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, terms=terms).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,5 +13,5 @@ ORACLES = {
     "op11_blockjoin": oracles.OP11,
     "op12_prefix_trie": oracles.OP12,
     "op13_resampling": oracles.OP13,
-    "op3_url_filter": oracles.op3(queries.URL_RULES, urls.STRICT, urls.SOFT, urls.MIN_SOFT),
+    "op3_url_filter": oracles.op3(queries.URL_RULES, urls.WEIGHTS, urls.MIN_SOFT),
 }

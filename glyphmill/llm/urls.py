@@ -9,15 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vocabulary: (term, kind, weight). One strict term that stands as a whole word rejects a URL, whatever its weight; distinct soft terms add up, each
-#: counting its weight, at most 1, so that several are needed to reach MIN_SOFT.
-STRICT = ("porn", "xxx", "casino", "adult", "spam", "escort", "viagra", "malware", "warez", "torrents")
-SOFT = (
-    "free", "cheap", "bets", "betting", "poker", "win", "winner", "pills", "pharmacy", "ads", "track", "tracker", "farm",
-    "sex", "nude", "dating", "loans", "payday", "crypto", "jackpot", "slots", "deal", "deals", "discount", "hack", "crack",
-)
-WEIGHTS = tuple((t, "strict", 1.0) for t in STRICT) + tuple((t, "soft", 1.0) for t in SOFT)
-MIN_SOFT = 2
+from glyphmill.llm import url_terms
+
+#: Vocabulary: (term, kind, weight), see url_terms. One strict term that stands as a whole word rejects a URL, whatever its weight; distinct soft terms add up, each
+#: counting its weight, at most 1, and reject from MIN_SOFT on.
+WEIGHTS = tuple(sorted({(term, kind, weight) for term, kind, weight, _, _ in url_terms.entries()}))
+MIN_SOFT = 1.0
 #: A vocabulary given as a table is read by the driver up to so many terms; more are an error.
 MAX_TERMS = 100_000
 _UPPER = {c: c + 32 for c in range(65, 91)}

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.llm import digest, linededup, minhash, mixing, quality, queries, sharding, topk, urls, warc
+from glyphmill.llm import digest, linededup, minhash, mixing, quality, queries, sharding, topk, url_terms, urls, warc
 
 SF = "/root/testdata/sf0.01"
 CLASHING = "id long, key long, size long, score double, row int, hash long, text_hash string, __doc_id int, n_lines string, part int, mark string, doc string, srcs int, taken int, place int, host string"
@@ -57,6 +57,17 @@ def test_url_vocabulary(spark):
     assert [r["verdict"] for r in urls.filter_urls(pages, queries.URL_RULES, terms=()).collect()] == ["block", "allow", "allow"]
 
 
+def test_url_terms_are_weighed():
+    """What the table's weights are for: a word of a topic needs another, and those that sell need more."""
+    terms = url_terms.entries()
+    assert len({t for t, *_ in terms}) > 200 and {x[3] for x in terms} == {"en", "de", "fr", "es"} and all((w * 8).is_integer() and (w < 1) == (k == "soft") for _, k, w, _, _ in terms)
+    assert len(urls.WEIGHTS) == len({t for t, *_ in urls.WEIGHTS}), "a term has one kind and one weight"
+    verdict = lambda u: urls.UrlFilter((), urls.WEIGHTS).judge(u)[3]
+    blocked = ("http://casino.a/x", "http://free-bets.a", "http://cheap-pills.a/", "http://a/wetten/gratis", "http://a/paris?apuestas=oferta", "http://singles.a/flirt", "http://a/best-free-deals-now")
+    kept = ("http://bets.a", "http://a/free-win", "http://a/diet", "http://a/casinos1x", "http://essex.a/sextant/free", "http://a/free/free/free/free", "http://de.a/treffen")
+    assert [verdict(u) for u in blocked + kept] == ["block"] * len(blocked) + ["allow"] * len(kept)
+
+
 def test_nnpu_against_a_numeric_minimum():
     """The fitted weights have no higher risk than nearby ones, by a risk written out row by row."""
     rng = np.random.default_rng(4)
