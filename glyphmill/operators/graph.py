@@ -181,6 +181,30 @@ def named_flow(edges: DataFrame, named: DataFrame, hops: int = 7) -> DataFrame:
     return state
 
 
+def longest_flow(edges: DataFrame, named: DataFrame, hops: int = 6, seeds: int = 8) -> DataFrame:
+    """(place, id): the longest chain between two named symbols of three or more in all, from the first `seeds` named ones, that never passes two unnamed in a row.
+
+    A symbol is reached once from each seed, by the fewest unnamed before it, then the least path. Of chains of one length, that of the least start and end counts. Nothing where
+    there is none; a path holds hops + 1 symbols at most, and links of a symbol with itself don't matter.
+    """
+    pairs = materialised(edges.where("source is not null AND target is not null").select("source", "target").distinct())
+    names = named.select("id").where("id is not null").distinct()
+    flags = materialised(names.withColumn("is_named", F.lit(True)))
+    frontier = materialised(names.orderBy("id").limit(seeds).select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"), F.lit(0).alias("streak"), F.array("id").alias("path"), F.lit(True).alias("is_named")))
+    seen = state = frontier
+    for d in range(1, hops + 1):
+        step = frontier.join(pairs, F.col("id") == F.col("source")).select("start", F.col("target").alias("id"), "streak", "path")
+        step = step.join(flags, "id", "left").withColumn("streak", F.when(F.col("is_named"), 0).otherwise(F.col("streak") + 1)).where("streak <= 1")
+        step = step.join(seen.select("start", "id"), ["start", "id"], "left_anti")
+        best = step.groupBy("start", "id").agg(F.min(F.struct("streak", F.array_append("path", F.col("id")).alias("path"), "is_named")).alias("m"))
+        frontier = materialised(best.select("start", "id", F.lit(d).alias("depth"), "m.streak", "m.path", "m.is_named"))
+        if frontier.isEmpty():
+            break
+        seen = state = state.unionByName(frontier)
+    deep = state.where("is_named AND depth >= 2").orderBy(F.desc("depth"), "start", "id").limit(1)
+    return deep.select(F.posexplode("path").alias("place", "id")).withColumn("place", F.col("place") + 1)
+
+
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges between members of a node set, duplicates kept."""
     keys = ids.select("id").distinct()

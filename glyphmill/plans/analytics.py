@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import score, text, vector
-from glyphmill.operators import graph
+from glyphmill.operators import graph, ordered
 from glyphmill.operators.storage import materialised
 from glyphmill.plans import bindings as b
 from glyphmill.plans.registry import query
@@ -25,9 +25,9 @@ def reward_raw(s, d):
 @query("reward_rolling_mean", f"SELECT event_id, floor(sum(round(raw * 1000000)::BIGINT) OVER w::DOUBLE / count(*) OVER w)::BIGINT AS baseline_millionths FROM {R} WINDOW w AS (PARTITION BY intent, repo ORDER BY ts, event_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)")
 def rolling_mean(s, d):
     """In whole millionths, so that a sum doesn't depend on its order."""
-    w = Window.partitionBy("intent", "repo").orderBy("ts", "event_id").rowsBetween(-50, -1)
-    r = b.rewards(s, d).withColumn("m", F.round(F.col("raw") * 1_000_000).cast("long"))
-    return r.select("event_id", F.floor(F.try_divide(F.sum("m").over(w).cast("double"), F.count("m").over(w))).alias("baseline_millionths"))
+    r = b.rewards(s, d).select("intent", "repo", "ts", "event_id", F.round(F.col("raw") * 1_000_000).cast("long").alias("m"))
+    mean = lambda w: F.floor(F.try_divide(F.sum("m").over(w).cast("double"), F.count("m").over(w)))
+    return ordered.over_previous(r, ["intent", "repo"], ["ts", "event_id"], 50, baseline_millionths=mean).select("event_id", "baseline_millionths")
 
 
 @query("reward_newest_mean", f"SELECT intent, round(avg(raw), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY ts DESC, event_id DESC) AS rn FROM {R}) WHERE rn <= 50 GROUP BY intent")
@@ -372,6 +372,19 @@ def named_flow(s, d):
     return graph.named_flow(materialised(b.nation_dep(s, d), "deps"), named)
 
 
+_STEP = """l{i} AS MATERIALIZED (SELECT start, id, {i} AS depth, min(streak) AS streak, arg_min(path, (streak, path)) AS path FROM (
+SELECT l.start, e.target AS id, list_append(l.path, e.target) AS path, CASE WHEN e.target IN (SELECT id FROM named) THEN 0 ELSE l.streak + 1 END AS streak FROM l{j} l JOIN (SELECT DISTINCT source, target FROM v_nation_dep) e ON e.source = l.id)
+WHERE streak <= 1 AND start || '>' || id NOT IN ({seen}) GROUP BY start, id)"""
+_STEPS = ", ".join(_STEP.format(i=i, j=i - 1, seen=" UNION ALL ".join(f"SELECT start || chr(62) || id FROM l{k}" for k in range(i))) for i in range(1, 7))
+
+
+@query("graph_longest_flow", f"WITH named AS (SELECT n_nationkey::BIGINT AS id FROM nation WHERE n_nationkey % 2 = 0), l0 AS (SELECT id AS start, id, 0 AS depth, 0 AS streak, [id] AS path FROM named ORDER BY id LIMIT 8), {_STEPS}, best AS (SELECT path FROM (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(1, 7)) + ") WHERE id IN (SELECT id FROM named) AND depth >= 2 ORDER BY depth DESC, start, id LIMIT 1) SELECT generate_subscripts(path, 1)::INTEGER AS place, unnest(path) AS id FROM best")
+def longest_flow(s, d):
+    """The chain itself, a row for each of its symbols."""
+    named = b.table(s, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("id"))
+    return graph.longest_flow(materialised(b.nation_dep(s, d), "deps"), named)
+
+
 @query("graph_blast_radius", f"SELECT z.id, count(DISTINCT a.id)::BIGINT AS callers, count(DISTINCT a.file_path)::BIGINT AS files FROM {E} e JOIN {N} z ON z.id = e.target JOIN {N} a ON a.id = e.source WHERE e.kind = 'calls' AND z.file_path = 'parts/brand11/t15.py' GROUP BY z.id")
 def blast_radius(s, d):
     n = b.nodes(s, d)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import score, text
+from glyphmill.operators import ordered
 from glyphmill.operators.graph import first_by, induced, top_per
 from glyphmill.plans import bindings as b
 from glyphmill.plans.registry import query
@@ -477,10 +478,10 @@ def topk_offset(s, d):
     return b.nodes(s, d).where("kind = 'class'").select("id", "start_line").orderBy(F.desc("start_line"), "id").offset(100).limit(100)
 
 
-@query("topk_stable_partition", f"SELECT id, (row_number() OVER (ORDER BY NOT contains(file_path, '/2/'), start_line, id))::INTEGER AS place FROM {N} WHERE kind = 'namespace'")
+@query("topk_stable_partition", f"SELECT id, row_number() OVER (ORDER BY NOT contains(file_path, '/2/'), start_line, id) AS place FROM {N}")
 def stable_partition(s, d):
-    n = b.nodes(s, d).where("kind = 'namespace'")
-    return n.select("id", F.row_number().over(Window.orderBy(~F.contains("file_path", F.lit("/2/")), "start_line", "id")).alias("place"))
+    n = b.nodes(s, d).select("id", "start_line", (~F.contains("file_path", F.lit("/2/"))).alias("later"))
+    return ordered.numbered(n, ["later", "start_line", "id"], "place").select("id", "place")
 
 
 @query("topk_section_trims", "SELECT repo, least(n, 5)::INTEGER AS kept, greatest(n - 5, 0)::INTEGER AS dropped FROM (SELECT repo, count(*) AS n FROM v_memories GROUP BY repo)")
