@@ -21,7 +21,7 @@ _METHOD = f"(?m)(?:^|(?<=[{{;}}]))[ \\t]*(?:@\\w+(?:\\([^)\\n]*\\))?[ \\t]+)*(?:
 _C_FUNCTION = f"(?m)^(?:{_NOT_A_TYPE}{_TYPE}[ \\t*&]+)+{_NOT_CONTROL}(\\w+)[ \\t]*\\([^;{{}}]*\\)(?=\\s*\\{{)"
 _JS = (
     ("class", "\\bclass\\s+(\\w+)"), ("function", "\\bfunction\\b\\*?\\s+(\\w+)"), ("function", "\\b(?:const|let|var)\\s+(\\w+)\\s*(?::[^=\\n]+)?=\\s*(?:async\\s*)?(?:\\([^)\\n]*\\)|\\w+)\\s*(?::[^=\\n]+)?=>"),
-    ("method", f"(?m)^[ \\t]+(?:(?:public|private|protected|static|async|readonly|override|get|set)[ \\t]+)*{_NOT_CONTROL}([\\w$]+)[ \\t]*\\([^)\\n]*\\)[ \\t]*(?::[^{{\\n]+)?(?=\\{{)"),
+    ("method", f"(?m)(?:^[ \\t]+|(?<=[{{;}}])[ \\t]*)(?:(?:public|private|protected|static|async|readonly|override|get|set)[ \\t]+)*{_NOT_CONTROL}([\\w$]+)[ \\t]*\\([^)\\n]*\\)[ \\t]*(?::[^{{\\n]+)?(?=\\{{)"),
 )
 #: By language: kind of symbol, and a pattern that ends at or before its body, with the name in the first group.
 BRACED = {
@@ -114,7 +114,7 @@ def _indented(rows: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
 
 
 def enclosing(spans: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """spans and points, each with `owner`: place and name of the innermost span that holds it, null at the top. Spans of a file nest or are apart.
+    """spans and points, each with `level`, how many spans hold it, and `owner`: place and name of the innermost of these, null at the top. Spans of a file nest or are apart.
 
     How many spans are open at a place is a running sum of their ends; the innermost is the last one opened at that level.
     """
@@ -127,7 +127,7 @@ def enclosing(spans: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame
     wants = placed.select("path", (F.col("level") - F.when(F.col("is_span"), 1).otherwise(0)).alias("level"), "at", F.lit(None).cast(opens.schema["own"].dataType).alias("given"), "own", "is_span")
     last = Window.partitionBy("path", "level").orderBy("at", F.col("given").isNull()).rowsBetween(*_SO_FAR)
     met = gives.unionByName(wants).withColumn("owner", F.last("given", ignorenulls=True).over(last)).where("own is not null AND level >= 0")
-    met = met.withColumn("owner", F.when(F.col("level") > 0, F.col("owner"))).select("path", F.col("own.at").alias("at"), F.col("own.name").alias("name"), "owner", "is_span")
+    met = met.withColumn("owner", F.when(F.col("level") > 0, F.col("owner"))).select("path", F.col("own.at").alias("at"), F.col("own.name").alias("name"), "owner", F.col("level").cast("int").alias("level"), "is_span")
     of = lambda what: met.where("is_span" if what else "NOT is_span").drop("is_span")
     return spans.join(of(True), ["path", "at", "name"], "left"), points.join(of(False), ["path", "at", "name"], "left")
 
@@ -135,7 +135,7 @@ def enclosing(spans: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame
 def symbols(files: DataFrame, languages: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(symbols, calls) of files (path, language, content).
 
-    Symbols: path, kind, name, start_line, end_line, parent (the enclosing symbol's name, null at the top) and parent_line. Calls: path, name, line, owner and owner_line of the
+    Symbols: path, kind, name, start_line, end_line, parent (the enclosing symbol's name, null at the top), parent_line and level (how many enclose it). Calls: path, name, line, owner and owner_line of the
     innermost symbol around them. Comments and strings are blanked first. A null text has none, an unknown language neither; paths are taken to be unique.
     An unclosed body ends where it is named. Null paths are dropped.
     """
@@ -154,4 +154,4 @@ def symbols(files: DataFrame, languages: tuple[str, ...]) -> tuple[DataFrame, Da
         out = rows.withColumn("owner_at", F.col("owner.at")).join(line, ["path", "owner_at"], "left")
         return out.withColumns({name: F.col("owner.name"), f"{name}_line": F.col("owner_line")})
 
-    return told(own, "parent").select("path", "kind", "name", "start_line", "end_line", "parent", "parent_line"), told(points.withColumnRenamed("line", "at_line"), "by").select("path", "name", F.col("at_line").alias("line"), F.col("by").alias("owner"), F.col("by_line").alias("owner_line"))
+    return told(own, "parent").select("path", "kind", "name", "start_line", "end_line", "parent", "parent_line", "level"), told(points.withColumnRenamed("line", "at_line"), "by").select("path", "name", F.col("at_line").alias("line"), F.col("by").alias("owner"), F.col("by_line").alias("owner_line"))

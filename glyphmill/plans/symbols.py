@@ -43,7 +43,7 @@ UNION ALL SELECT 'supply/s' || s_suppkey || '.go', 'method', 'Name', 7, 12, NULL
 
 @query("scan_symbols", _SYMBOLS)
 def scan_symbols(s, d):
-    return symbols.symbols(source_files(s, d), LANGUAGES)[0]
+    return symbols.symbols(source_files(s, d), LANGUAGES)[0].drop("level")
 
 
 @query("scan_symbol_calls", f"""

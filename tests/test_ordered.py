@@ -40,6 +40,6 @@ def test_longest_flow(spark):
     named = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
     chain = lambda *ids: [r["id"] for r in graph.longest_flow(e, named(*ids)).orderBy("place").collect()]
     assert chain("a", "b", "c") == [] and chain("q", "a") == []  # two unnamed before c; two symbols are no chain
-    assert chain("a", "e") == ["e", "f", "a"] and chain("a", "b", "e") == ["a", "b", "d", "e"]
+    assert chain("a", "e") == ["e", "f", "a"] and chain("a", "b", "e") == ["b", "d", "e", "f", "a"]
     assert chain("a", "b", "d", "e", "f", None) == ["a", "b", "d", "e", "f"]
     assert chain("y", "c", "b") == ["b", "y", "z", "c"]
