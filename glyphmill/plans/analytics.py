@@ -302,6 +302,15 @@ def impact_radius(s, d):
     return graph.impact(b.edges(s, d), one(s, "struct:3", "string"), 2)
 
 
+@query("graph_impact_container", f"""
+WITH RECURSIVE inside AS (SELECT DISTINCT source AS s, target AS t FROM {E} WHERE kind = 'contains'), dep AS (SELECT DISTINCT target AS s, source AS t FROM {E} WHERE kind <> 'contains'),
+walk(id, depth) AS (SELECT 'namespace:3', 0 UNION (SELECT t, depth FROM walk JOIN inside ON s = id UNION ALL SELECT t, depth + 1 FROM walk JOIN dep ON s = id WHERE depth < 1))
+SELECT id, min(depth)::INTEGER AS depth FROM walk GROUP BY id""")
+def impact_container(s, d):
+    """What depends on anything within a namespace: its classes, structs and methods are taken in first, at no cost."""
+    return graph.impact(b.edges(s, d), one(s, "namespace:3", "string"), 1)
+
+
 @query("graph_shortest_path", "WITH RECURSIVE walk(id, depth, path) AS (SELECT 0::BIGINT, 0, [0::BIGINT] UNION ALL SELECT target, depth + 1, list_append(path, target) FROM walk JOIN v_nation_dep ON source = id WHERE depth < 4 AND NOT list_contains(path, target)) SELECT id, min(depth)::INTEGER AS depth, array_to_string(arg_min(path, (depth, path)), '>') AS path FROM walk GROUP BY id")
 def shortest_path(s, d):
     e = b.nation_dep(s, d).unionByName(s.range(1).select(F.lit(0).cast("long").alias("source"), F.lit(-1).cast("long").alias("target")).where("false"))
