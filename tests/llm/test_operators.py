@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from glyphmill.llm import digest, linededup, minhash, mixing, packing, quality, queries, sharding, topk, urls, warc
+from glyphmill.llm.registry import ORACLES
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, n_lines string, size string, id string, key string, score string"
@@ -98,6 +100,21 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_rules_of_the_contract(spark, tmp_path):
+    """Each rule's word in the query and in its SQL, on urls whose own words say the opposite where the rule allows."""
+    cases = {
+        "http://a.com/en/x": ("com/en/", "block"), "http://example.com/en/7/casino": ("example.com/en/7", "allow"), "http://b.net/de/x": ("net/de/", "allow"),
+        "http://casino.net/de/casino": ("net/de/", "allow"), "http://EXAMPLE.net/de/7": ("net/de/", "allow"), "http://w.example.net/de/80": ("example.net/de/8", "block"),
+        "http://a.org/es/": ("org/es/", "block"), "http://casino.net/en/": (None, "block"), "http://b.net/en/": (None, "allow"),
+    }
+    spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = [(i, *c) for i, c in enumerate(cases.values())]
+    found = queries.op3_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [(r["page_id"], r["rule"], r["verdict"]) for r in found] == want
+    sql = ORACLES["op3_url_filter"].replace("FROM pages", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted((r[0], r[3], r[4]) for r in duckdb.sql(sql).fetchall()) == want
+
+
 def test_quality(spark, docs):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     found = quality.classify(d, labels).join(labels, "doc_id").collect()
