@@ -7,15 +7,17 @@ import heapq
 import re
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from glyphmill.llm.common import arrow_schema, batch_of, rows_of, small_batches, written
+from glyphmill.llm.common import TEXT_ROWS, arrow_schema, batch_of, rows_of, small_batches, written
 
 #: Context sizes, all powers of two.
 TIERS = (2048, 1024, 512, 256)
@@ -25,8 +27,10 @@ WINDOW_TOKENS = 4_000_000
 #: Sequences of a step group hold about this many tokens.
 STEP_TOKENS = 64 * 2048
 _ID_BYTES = 4
+#: Texts of about so many characters are looked up together; so many new words are tokenized in one call.
+GROUP_CHARS, JOINED = 1_000_000, 256
 
-# Texts of these characters only are cut into words here and looked up in a cache; others go to the tokenizer whole.
+# Texts that, lower-cased, have these characters only are cut into words here and looked up in a cache; others go to the tokenizer whole.
 # Below U+0250 no character combines with another, so that each word is tokenized alone as in its text.
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a0-\\u024f\\u2010-\\u2027\\u2030-\\u203a]*")
 _LETTER = "A-Za-z\\u00aa\\u00b5\\u00ba\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f"
@@ -35,25 +39,48 @@ _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\\s{_LE
 
 
 class WordIds(dict):
-    """Ids of words as little-endian unsigned 32-bit values; a worker's cache stays bounded."""
+    """Ids of lower-cased words, and of the pieces that a word is cut into, as little-endian unsigned 32-bit values; a worker's cache stays bounded."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = out = self.whole(word)
-        return out
+    def __init__(self, path: str, most: int = 600_000):
+        self.tokenizer, self.by_piece, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
+        self.by_piece.normalizer = normalizers.Sequence([])
+        self.by_piece.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(_ID_BYTES, "little") for i in ids])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Pieces not known yet are tokenized JOINED at a time, with spaces between them; words of several are put together."""
+        cut = [(w, _PIECES.findall(w)) for w in words]
+        new = [*{p for _, pieces in cut for p in pieces if p not in self}]
+        for i in range(0, len(new), JOINED):
+            own = new[i : i + JOINED]
+            told = self.by_piece.encode(" ".join(own), add_special_tokens=False)
+            ids = np.array(told.ids, dtype="<u4").tobytes()
+            at = (np.searchsorted(told.word_ids, np.arange(len(own) + 1)) * _ID_BYTES).tolist()
+            self.update((p, ids[a:b]) for p, a, b in zip(own, at, at[1:], strict=False))
+        self.update((w, b"".join([self[p] for p in pieces])) for w, pieces in cut if len(pieces) != 1)
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            return self.whole(text)
-        return b"".join([self[w] for w in _PIECES.findall(text.lower())])
+        return self.of_all([text])[0]
+
+    def of_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Each distinct word is looked up once, and those that the cache lacks are learned together."""
+        low = [t.lower() for t in texts]
+        plain = ["<|" not in t and _PLAIN.fullmatch(x) is not None for t, x in zip(texts, low, strict=True)]
+        lists = pc.utf8_split_whitespace(pa.array([x if p else "" for x, p in zip(low, plain, strict=True)], pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = [*map(self.get, words)]
+        if lacks := [i for i, ids in enumerate(found) if ids is None]:
+            if len(self) + len(lacks) > self.most:
+                self.clear()
+            self.learn([words[i] for i in lacks])
+            for i in lacks:
+                found[i] = self[words[i]]
+        taken = pa.array(found, pa.large_binary()).take(coded.indices)
+        joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, taken), pa.scalar(b"", pa.large_binary()))
+        return [ids if p else self.whole(t) for t, p, ids in zip(texts, plain, joined.to_pylist(), strict=True)]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -65,6 +92,19 @@ def words(path: str) -> WordIds:
     return _loaded[path]
 
 
+def grouped(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Rows (doc, text, ...) in runs that end at GROUP_CHARS characters of text or TEXT_ROWS rows."""
+    group, size = [], 0
+    for row in rows:
+        group.append(row)
+        size += len(row[1])
+        if size >= GROUP_CHARS or len(group) >= TEXT_ROWS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 class Packer:
     """Packs documents, given as byte strings of ids, into full sequences. One task's state is one window of documents."""
 
@@ -202,12 +242,11 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer, tokens, end = words(path), None, 0, END_ID.to_bytes(_ID_BYTES, "little")
-        for batch in batches:
-            for doc, text, task in rows_of(batch):
-                packer = packer or Packer(task)
-                ids = own.ids(text) + end
-                packer.add(doc, ids)
-                tokens += len(ids) // _ID_BYTES
+        for group in grouped(row for batch in batches for row in rows_of(batch)):
+            packer = packer or Packer(group[0][2])
+            for (doc, _, _), ids in zip(group, own.of_all([r[1] for r in group]), strict=True):
+                packer.add(doc, ids + end)
+                tokens += len(ids) // _ID_BYTES + 1
                 if tokens >= WINDOW_TOKENS:
                     yield batch_of(packer.flush(False), schema)
                     tokens = 0
