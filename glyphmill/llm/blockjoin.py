@@ -1,6 +1,7 @@
 """Nearest neighbours by largest inner product, as a block matrix join.
 
-Queries are dealt into blocks and candidates into stripes; each block meets each stripe in one task. There, candidates
+Queries are dealt into blocks and candidates into stripes; each block meets each stripe in one task. Both are packed, so that a row is a block or a
+piece of a stripe, and tasks read their stripe where it lies: no copy of the candidates is shuffled for a block. There, candidates
 stream by in tiles: products of int8 codes give every inner product up to a proven error, pairs that can still be among
 the k best are computed again in double precision, and a heap for each query keeps the best. The heaps of all
 stripes are merged per query, again by heaps. Nothing is left to chance: what isn't computed again is proved to be further away.
@@ -24,6 +25,8 @@ from glyphmill.llm.common import arrow_schema, batch_of, rows_of, written
 EXACT_DIMS = 1024
 #: Candidates of a tile, and queries that meet it at once.
 TILE, QUERIES_AT_ONCE = 2048, 256
+#: Bytes of a piece of a stripe; its vectors go to Python together with a block's. Bytes of a block's vectors in doubles.
+PIECE_BYTES, BLOCK_BYTES = 1 << 22, 1 << 28
 
 
 def matrix(lists: pa.ListArray, width: int) -> np.ndarray:
@@ -112,6 +115,8 @@ class Nearest:
         q, c, score = q[good], c[good], score[good]
         order = np.lexsort((rows[c], ids[c], ~named[c], -score, q))
         q, c, score = q[order], c[order], score[order]
+        if not len(q):  # all were further away than their bounds told
+            return
         starts = np.flatnonzero(np.diff(q, prepend=-1))
         for a, b in zip(starts, [*starts[1:], len(q)], strict=True):
             heap = self.heaps[q[a]]
@@ -134,6 +139,18 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return found.where("x is not null").where(~F.exists("x", bad)).where(F.exists("x", lambda e: e != 0))
 
 
+def _stream(batches: list[pa.RecordBatch]) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batches[0].schema) as to:
+        for b in batches:
+            to.write_batch(b)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(value: pa.BinaryScalar) -> list[pa.RecordBatch]:
+    return list(pa.ipc.open_stream(value.as_buffer()))
+
+
 _HITS = "row long, query_id long, vec_id long, score double, found long"
 
 
@@ -159,48 +176,62 @@ def nearest(
     rows = written(usable(vectors, id_col, vec_col), "blockjoin-vectors")
     asks = F.coalesce(is_query, F.lit(False))
     n, n_queries, width = rows.agg(F.count(F.lit(1)), F.count_if(asks), F.max(F.size("x"))).first()
-    blocks = max(1, math.ceil(n_queries / query_rows))
+    blocks = max(1, math.ceil(n_queries / query_rows), math.ceil(n_queries * 8 * (width or 0) / BLOCK_BYTES))
     # a task's memory doesn't follow its stripe: few stripes give few heaps to merge, as long as there is work for every core
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     stripes = max(1, math.ceil(n / stripe_rows), min(math.ceil(cores / blocks), math.ceil(n / TILE)))
     dealt = lambda of: F.pmod(F.xxhash64("row"), F.lit(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    asked = rows.where(asks).select(dealt(blocks).alias("block"), every(stripes).alias("stripe"), F.lit(0).alias("part"), "row", "id", "x")
-    offered = rows.select(every(blocks).alias("block"), dealt(stripes).alias("stripe"), F.lit(1).alias("part"), "row", "id", "x")
-    schema = arrow_schema(_HITS)
+    shape = rows.select("row", "id", "x").schema
 
-    def of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        ids = batch.column("id")
-        return matrix(batch.column("x"), width), batch.column("row").to_numpy(), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
+    def of(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+        t = pa.Table.from_batches(batches)
+        ids, xs = t.column("id"), [matrix(c, width) for c in t.column("x").chunks]
+        return np.concatenate(xs), t.column("row").to_numpy(), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy()
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, queries, best = None, [], None
+    def packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[bytes]:
+        """Rows as Arrow streams of about `most` bytes."""
+        held, size = [], 0
+        for batch in batches:
+            step = max(1, most * batch.num_rows // max(1, batch.nbytes))
+            for i in range(0, batch.num_rows, step):
+                held.append(batch.slice(i, step))
+                size += held[-1].nbytes
+                if size >= most:
+                    yield _stream(held)
+                    held, size = [], 0
+        if held:
+            yield _stream(held)
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = [], {}
+        for batch in batches:
+            for b in batch.column("block").unique().to_pylist():
+                held.setdefault(b, []).append(batch.filter(pc.equal(batch.column("block"), b)).select(shape.names))
+        for b in held:
+            own.append((b, _stream(held[b])))
+        yield batch_of(own, arrow_schema("block int, queries binary"))
 
-        def told() -> Iterator[pa.RecordBatch]:
-            if best:
-                ids = [i for b in queries for i in b.column("id").to_pylist()]
-                for i in range(0, len(ids), 512):
-                    yield batch_of([(int(best.rows[j]), ids[j], -h[2] if h[1] else None, h[0], -h[3]) for j in range(i, min(i + 512, len(ids))) for h in best.heaps[j]], schema)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in packed((b.select(shape.names) for b in batches), PIECE_BYTES):
+            yield batch_of([(p,)], arrow_schema("offered binary"))
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(_HITS)
+        blocks_here: dict[int, tuple[Nearest, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            marks = np.stack([batch.column(c).to_numpy() for c in ("block", "stripe", "part")])
-            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if group != tuple(marks[:2, a]):
-                    yield from told()
-                    group, queries, best = tuple(marks[:2, a]), [], None
-                if marks[2, a] == 0:
-                    queries.append(batch.slice(a, b - a))
-                elif queries:
+            for i in range(batch.num_rows):
+                own = batch.column("block")[i].as_py()
+                if own not in blocks_here:
+                    x, row, ids, named = of(_unpacked(batch.column("queries")[i]))
                     with np.errstate(over="ignore", invalid="ignore", under="ignore"):
-                        if best is None:
-                            x, own, _, _ = of(pa.Table.from_batches(queries).combine_chunks().to_batches()[0])
-                            best = Nearest(x, own, k)
-                        for i in range(a, b, TILE):
-                            best.meet(*of(batch.slice(i, min(TILE, b - i))))
-        yield from told()
+                        blocks_here[own] = Nearest(x, row, k), ids, named
+                for piece in _unpacked(batch.column("offered")[i]):
+                    for a in range(0, piece.num_rows, TILE):
+                        with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+                            blocks_here[own][0].meet(*of([piece.slice(a, TILE)]))
+        for best, ids, named in blocks_here.values():
+            for i in range(0, len(ids), 512):
+                yield batch_of([(int(best.rows[j]), int(ids[j]) if named[j] else None, -h[2] if h[1] else None, h[0], -h[3]) for j in range(i, min(i + 512, len(ids))) for h in best.heaps[j]], schema)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = arrow_schema("query_id long, rank int, vec_id long, score double")
@@ -224,5 +255,10 @@ def nearest(
                 out = []
         yield batch_of(out + told(), ranked)
 
-    hits = asked.unionByName(offered).repartition("block", "stripe").sortWithinPartitions("block", "stripe", "part").mapInArrow(search, _HITS)
+    # a block is one partition, which a task holds; of the stripe that meets it, a piece at a time
+    asked = rows.where(asks).withColumn("block", dealt(blocks)).repartitionById(blocks, F.col("block")).mapInArrow(blocked, "block int, queries binary")
+    asked = written(asked, "blockjoin-queries").repartitionById(blocks, F.col("block"))
+    offered = written(rows.repartition(stripes, "row").mapInArrow(pieces, "offered binary"), "blockjoin-pieces").repartition(stripes)
+    met = offered.hint("shuffle_replicate_nl").crossJoin(asked)
+    hits = met.mapInArrow(search, _HITS)
     return hits.repartition("row").sortWithinPartitions("row").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
