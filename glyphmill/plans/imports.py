@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions import score, source
+from glyphmill.functions import source
 from glyphmill.operators import resolution
 from glyphmill.plans import bindings as b
 from glyphmill.plans.registry import query
@@ -107,9 +107,7 @@ SELECT ref, arg_min(target, (-points, target)) AS target, max(points)::INTEGER A
 def qualified_nearest(s, d):
     """Of the definitions of a name, that in the closest folder; definitions of a file count once."""
     n = b.nodes(s, d).where("kind = 'function'").select("id", "name", "file_path")
-    z = n.groupBy("name", F.col("file_path").alias("pz")).agg(F.min("id").alias("target"))
-    points = score.path_proximity(F.col("file_path"), F.col("pz"))
-    return resolution.nearest(n.select(F.col("id").alias("ref"), "name", "file_path"), z, ["name"], points, "target")
+    return resolution.nearest_by_folder(n.select(F.col("id").alias("ref"), "name", "file_path"), n.withColumnRenamed("id", "target"), ["name"])
 
 
 @query("resolve_file_path_match", f"""
