@@ -1,19 +1,22 @@
-"""Symbols with their spans from source text, as set operations: no parser, no code on rows.
+"""Symbols with their spans from source text: a file is read by patterns in its own row, and whole batches of files are put in order at once, so that no part of a file is shuffled.
 
-Braced languages: braces, semicolons and line ends are exploded with their places; depth and line are running sums within the file, and an opener's
+Braced languages: braces, semicolons and line ends are found with their places; depth and line are running sums within the file, and an opener's
 partner is the next brace of its depth. Indented languages: a block ends before the next line of no greater indent. What encloses what
-follows from how many spans are open at a place: the parent is the last one opened a level above. A file, of MAX_FILE_BYTES at most, is the largest group.
+follows from how many spans are open at a place: the parent is the last one opened a level above. A file, of MAX_FILE_BYTES at most, is the largest row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.source import code_only
-from glyphmill.operators.storage import materialised
 
 _NOT_A_TYPE = "(?!(?:return|new|throw|else|case|await|yield|delete|typeof|goto|in|of|do|import|package|using|class|interface|enum|record)\\b)"
 _TYPE, _NOT_CONTROL = "[\\w<>\\[\\],.?&*:]+", "(?!(?:if|for|while|switch|catch|return|function|new|else|do|try|throw|super|this|when|synchronized|using|lock|foreach)\\b)"
@@ -49,68 +52,185 @@ _CALL = "\\b(\\w+)[ \\t]*\\("
 _SO_FAR = (Window.unboundedPreceding, 0)
 
 
-def _found(rows: DataFrame, pattern: str, *keep: str) -> DataFrame:
-    """(path, *keep, at, name): each match of a pattern in `code`, and where it ends."""
-    whole = F.lit(f"\\G(?s:.*?)(?:{pattern})")  # from where the last match ended, so that a text is read once
-    hits = F.arrays_zip(F.transform(F.regexp_extract_all("code", whole, 0), F.length).alias("n"), F.regexp_extract_all("code", whole, 1).alias("name"))
-    got = rows.select("path", *keep, F.posexplode(hits).alias("nth", "hit"))
-    at = F.sum("hit.n").over(Window.partitionBy("path").orderBy("nth").rowsBetween(*_SO_FAR))
-    return got.select("path", *keep, at.cast("long").alias("at"), F.col("hit.name").alias("name"))
-
-
-def _delimiters(rows: DataFrame) -> DataFrame:
-    """(path, at, line, ch, close_at, close_line) of braces, semicolons and line ends; a brace that opens has its partner."""
-    cut = rows.select("path", F.posexplode(F.regexp_extract_all("code", F.lit("(?s)[^{};\\n]*+[{};\\n]"), 0)).alias("nth", "piece")).withColumn("ch", F.right("piece", F.lit(1)))
-    w = Window.partitionBy("path").orderBy("nth").rowsBetween(*_SO_FAR)
-    step = F.when(F.col("ch") == "{", 1).when(F.col("ch") == "}", -1).otherwise(0)
-    ends = F.when(F.col("ch") == "\n", 1).otherwise(0)
-    placed = cut.select("path", "ch", F.sum(F.length("piece")).over(w).cast("long").alias("at"), (1 + F.sum(ends).over(w) - ends).cast("int").alias("line"), (F.sum(step).over(w) + F.when(F.col("ch") == "}", 1).otherwise(0)).alias("depth"))
-    brace = F.when(F.col("ch").isin("{", "}"), F.col("depth"))
-    partner = lambda c: F.when(F.col("ch") == "{", F.lead(c).over(Window.partitionBy("path", brace).orderBy("at")))
-    return placed.select("path", "at", "line", "ch", partner("at").alias("close_at"), partner("line").alias("close_line"))
-
-
-def _braced(rows: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
-    """(spans, calls) of files of one language."""
-    rows = rows.withColumn("code", F.concat("code", F.lit("\n")))
-    marks = _delimiters(rows)
-    found = [_found(rows, pattern).withColumn("kind", F.lit(kind)) for kind, pattern in BRACED[language]]
-    found.append(_found(rows, _CALL).where(~F.col("name").isin(*NO_CALLS)).withColumn("kind", F.lit("call")))
-    named = reduce(DataFrame.unionByName, found)
-    stop = F.when(F.col("ch").isin("{", ";"), F.struct("ch", "at", "line", "close_at", "close_line"))
-    events = marks.select("path", "at", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind"), "line", stop.alias("stop"), F.lit(True).alias("mark"))
-    events = events.unionByName(named.select("path", "at", "name", "kind", F.lit(None).cast("int").alias("line"), F.lit(None).cast(events.schema["stop"].dataType).alias("stop"), F.lit(False).alias("mark")))
-    # what comes next in the file is what came last, read backwards
-    back = Window.partitionBy("path").orderBy(F.desc("at"), F.asc("mark")).rowsBetween(*_SO_FAR)
-    placed = events.select("path", "at", "name", "kind", F.last("line", ignorenulls=True).over(back).alias("line"), F.last("stop", ignorenulls=True).over(back).alias("stop")).where("name is not null")
-    body = F.col("stop.ch") == "{"
-    end_at, end_line = F.when(body, F.col("stop.close_at")).otherwise(F.col("stop.at")), F.when(body, F.col("stop.close_line")).otherwise(F.col("stop.line"))
+_TOLD = {
+    "symbols": ("path string, kind string, name string, start_line int, end_line int, parent string, parent_line int, level int", [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]),
+    "calls": ("path string, name string, line int, owner string, owner_line int", [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()]),
+}
+
+
+def _hits(pattern: str) -> Column:
+    """array<struct<n, name>>: each match of a pattern in `code`, and how many characters lie between the end of the last one and its own."""
+    # one pass marks what is found and its name; `code` holds no such marks
+    marked = F.split(F.regexp_replace("code", F.lit(pattern), F.lit("$0\0$1\x01")), "\x01")
+    row = lambda p: F.struct(F.length(F.substring_index(p, "\0", 1)).alias("n"), F.substring_index(p, "\0", -1).alias("name"))
+    return F.transform(F.filter(marked, lambda p: F.contains(p, F.lit("\0"))), row)
+
+
+def _lines(language: str) -> Column:
+    """array<struct<ink, indent, heads, calls>> of the lines of an indented language; heads: a name or '' by kind."""
+
+    def row(t: Column) -> Column:
+        no_head = lambda n: ~n.isin(*NO_CALLS) & ~F.rlike(t, F.concat(F.lit("^\\s*(?:async\\s+)?(?:def|class)\\s+"), n, F.lit("\\b")))
+        heads = F.array(*[F.regexp_extract(t, p, 2) for _, p in INDENTED[language]])
+        calls = F.filter(F.regexp_extract_all(t, F.lit(_CALL), 1), no_head)
+        return F.struct(F.rlike(t, F.lit("\\S")).alias("ink"), F.length(F.regexp_extract(t, "^(\\s*)", 1)).alias("indent"), heads.alias("heads"), calls.alias("calls"))
+
+    return F.transform(F.split("code", "\n"), row)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row of each value, values)."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), n), lists.flatten()
+
+
+def _sums(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Running sums within groups that lie together."""
+    total = np.cumsum(x)
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    base = np.where(starts > 0, total[starts - 1], 0) if len(starts) else starts
+    return total - np.repeat(base, np.diff([*starts, len(x)]))
+
+
+def _braced(batch: pa.RecordBatch, kinds: list[str]) -> tuple[dict, dict]:
+    """(spans, calls) of files of one braced language, as columns of equal length; file: the row of the batch."""
+    code = batch.column("code")
+    offsets = np.frombuffer(code.buffers()[1], dtype=np.int32)[code.offset : code.offset + len(code) + 1].astype(np.int64)
+    data = np.frombuffer(code.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    where = np.flatnonzero((data == 10) | (data == 59) | (data == 123) | (data == 125))  # \n ; { }
+    file = np.searchsorted(offsets, where, side="right") - 1
+    at = where - offsets[file] + 1
+    if len(data) and data.max() > 127:  # places are counted in characters
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        at = chars[where + 1] - chars[offsets[file]]
+    ch = data[where]
+    ends = (ch == 10).astype(np.int64)
+    line = 1 + _sums(ends, file) - ends
+    step = (ch == 123).astype(np.int64) - (ch == 125)
+    depth = _sums(step, file) + (ch == 125)
+    brace = np.flatnonzero(step)
+    brace = brace[np.lexsort((at[brace], depth[brace], file[brace]))]
+    nxt = np.full(len(where), -1)
+    same = (file[brace[:-1]] == file[brace[1:]]) & (depth[brace[:-1]] == depth[brace[1:]])
+    nxt[brace[:-1][same]] = brace[1:][same]
+
+    files, ats, names, kind = [], [], [], []
+    for i, what in enumerate(kinds):
+        f, hits = _flat(batch.column(f"h{i}"))
+        files.append(f)
+        ats.append(_sums(hits.field("n").to_numpy(zero_copy_only=False).astype(np.int64), f))
+        names.append(hits.field("name"))
+        kind.append(np.full(len(f), i))
+    f, a, k, name = np.concatenate(files), np.concatenate(ats), np.concatenate(kind), pa.concat_arrays(names)
+    width = int(max(at.max(initial=0), a.max(initial=0))) + 2
+    marks, key = file * width + at, f * width + a
+    # what comes next in the file: its line, and where a body or statement ends
+    after = np.searchsorted(marks, key, side="right")
+    stops = np.flatnonzero((ch == 123) | (ch == 59))
+    stop = np.searchsorted(marks[stops], key, side="right")
+    pick = lambda x, i, ok: np.where(ok, x[np.where(ok, i, 0)] if len(x) else 0, -1)
+    own_line = pick(line, after, after < len(where))
+    has = stop < len(stops)
+    s = pick(stops, stop, has)
+    has &= pick(file, s, has) == f
+    body = has & (pick(ch, s, has) == 123)
+    end = np.where(body, pick(nxt, s, has), s)
+    has &= end >= 0
     # without an end, a symbol ends where it is named
-    spans = placed.where("kind <> 'call'").select("path", "kind", "name", "at", F.coalesce(end_at, "at").alias("end_at"), F.col("line").alias("start_line"), F.coalesce(end_line, "line").alias("end_line"))
-    calls = placed.where("kind = 'call'").select("path", "name", "line", "at")
+    end_at, end_line = np.where(has, pick(at, end, has), a), np.where(has, pick(line, end, has), own_line)
+    call = k == len(kinds) - 1
+    drop = call & pc.is_in(name, value_set=pa.array(NO_CALLS)).to_numpy(zero_copy_only=False)
     # of the names before brackets on a definition's line, the first that is its own is no call
-    nth = F.row_number().over(Window.partitionBy("path", "line", "name").orderBy("at"))
-    own = spans.select("path", F.col("start_line").alias("line"), "name").distinct().withColumn("nth", F.lit(1))
-    return spans, calls.withColumn("nth", nth).join(own, ["path", "line", "name", "nth"], "left_anti").select("path", "name", "line", "at")
-
-
-def _indented(rows: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
-    lines = rows.select("path", F.posexplode(F.split("code", "\n")).alias("i", "text")).where(F.rlike("text", F.lit("\\S")))
-    line, indent = (F.col("i") + 1).alias("line"), F.length(F.regexp_extract("text", "^(\\s*)", 1)).alias("indent")
-    lines = lines.select("path", line, indent, "text").withColumn("before", F.lag("line").over(Window.partitionBy("path").orderBy("line")))
-    heads = [lines.select("path", "line", "indent", F.lit(kind).alias("kind"), F.regexp_extract("text", p, 2).alias("name")).where("name <> ''") for kind, p in INDENTED[language]]
-    heads = reduce(DataFrame.unionByName, heads)
-    # a line ends the blocks of every indent that is no less than its own; only indents at which something begins count
-    levels = heads.groupBy("path").agg(F.collect_set("indent").alias("levels"), F.max("indent").alias("deepest"))
-    last = lines.groupBy("path").agg(F.max("line").alias("last"))
-    stops = lines.join(levels, "path").where(F.col("indent") <= F.col("deepest")).select("path", "line", "before", F.explode(F.filter("levels", lambda v: v >= F.col("indent"))).alias("level"))
-    until = stops.withColumn("end_line", F.lead("before").over(Window.partitionBy("path", "level").orderBy("line"))).select("path", "line", F.col("level").alias("indent"), "end_line")
-    spans = heads.join(until, ["path", "line", "indent"]).join(last, "path")
-    end = F.coalesce("end_line", "last").cast("int")
-    spans = spans.select("path", "kind", "name", (2 * F.col("line").cast("long")).alias("at"), (2 * end.cast("long") + 1).alias("end_at"), F.col("line").alias("start_line"), end.alias("end_line"))
-    called = lines.select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(_CALL), 1)).alias("name"), "text").where(~F.col("name").isin(*NO_CALLS))
-    called = called.where(~F.rlike("text", F.concat(F.lit("^\\s*(?:async\\s+)?(?:def|class)\\s+"), F.col("name"), F.lit("\\b"))))
-    return spans, called.select("path", "name", "line", (2 * F.col("line").cast("long")).alias("at"))
+    word = pc.dictionary_encode(name).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((a, call, word, own_line, f))
+    order = order[~drop[order]]
+    place = np.stack([f, own_line, word])[:, order]
+    follows = np.zeros(len(order), dtype=bool)
+    follows[1:] = (place[:, 1:] == place[:, :-1]).all(axis=0) & call[order][1:] & ~call[order][:-1]
+    drop[order[follows]] = True
+    spans, calls = np.flatnonzero(~call), np.flatnonzero(call & ~drop)
+    kinds_ = pa.array(kinds).take(pa.array(k[spans]))
+    return (
+        {"file": f[spans], "at": a[spans], "end_at": end_at[spans], "start": own_line[spans], "end": end_line[spans], "name": name.take(pa.array(spans)), "kind": kinds_},
+        {"file": f[calls], "at": a[calls], "line": own_line[calls], "name": name.take(pa.array(calls))},
+    )
+
+
+def _indented(batch: pa.RecordBatch, kinds: list[str]) -> tuple[dict, dict]:
+    spans, calls = [], []
+    for file, lines in enumerate(batch.column("lines")):
+        open_: list[int] = []
+        levels: list[int] = []
+        last = 0
+        for i, t in enumerate(lines.as_py() or (), 1):
+            if not t["ink"]:
+                continue
+            # a line ends the blocks of every indent that is no less than its own
+            while open_ and levels[-1] >= t["indent"]:
+                spans[open_.pop()][3] = last
+                levels.pop()
+            for kind, name in zip(kinds, t["heads"], strict=True):
+                if name:
+                    open_.append(len(spans))
+                    levels.append(t["indent"])
+                    spans.append([file, kind, i, i, name])
+            calls += [(file, i, name) for name in t["calls"]]
+            last = i
+        for o in open_:
+            spans[o][3] = last
+    column = lambda rows, i: np.array([r[i] for r in rows], dtype=np.int64)
+    start, end, line = column(spans, 2), column(spans, 3), column(calls, 1)
+    text = lambda rows, i: pa.array([r[i] for r in rows], type=pa.string())
+    return (
+        {"file": column(spans, 0), "at": 2 * start, "end_at": 2 * end + 1, "start": start, "end": end, "name": text(spans, 4), "kind": text(spans, 1)},
+        {"file": column(calls, 0), "at": 2 * line, "line": line, "name": text(calls, 2)},
+    )
+
+
+def _nested(spans: dict, points: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(level of each span, its parent, owner of each point): as enclosing() does it, for files of a batch; -1 at the top."""
+    n, m = len(spans["file"]), len(points["file"])
+    file = np.concatenate([spans["file"], spans["file"], points["file"]])
+    at = np.concatenate([spans["at"], spans["end_at"], points["at"]])
+    step = np.concatenate([np.ones(n, np.int64), -np.ones(n, np.int64), np.zeros(m, np.int64)])
+    order = np.lexsort((-step, at, file))
+    level = np.empty(len(file), np.int64)
+    level[order] = _sums(step[order], file[order])
+    own, asked = level[:n], level[2 * n :]
+    deep, wide = int(level.max(initial=0)) + 2, int(at.max(initial=0)) + 1
+    key = lambda f, lev, a: (f * deep + lev) * wide + a
+    given = key(spans["file"], own, spans["at"])
+    rank = np.argsort(given, kind="stable")
+
+    def last(f: np.ndarray, lev: np.ndarray, a: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(given[rank], key(f, lev, a), side="right") - 1
+        got = rank[np.maximum(i, 0)] if n else np.zeros(len(f), np.int64)
+        ok = (i >= 0) & (lev > 0)
+        if n:
+            ok &= (spans["file"][got] == f) & (own[got] == lev)
+        return np.where(ok, got, -1)
+
+    return own - 1, last(spans["file"], own - 1, spans["at"]), last(points["file"], asked, points["at"])
+
+
+def _reader(kinds: list[str], braced: bool, what: str):
+    schema = pa.schema([(c.split()[0], t) for c, t in zip(_TOLD[what][0].split(", "), _TOLD[what][1], strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, calls = (_braced if braced else _indented)(batch, kinds)
+            level, parent, owner = _nested(spans, calls)
+            rows, up = (spans, parent) if what == "symbols" else (calls, owner)
+            up = pa.array(up, mask=up < 0)
+            path, small = batch.column("path").take(pa.array(rows["file"])), lambda x: pa.array(x.astype(np.int32))
+            name, line = spans["name"].take(up), pa.array(spans["start"].astype(np.int32)).take(up)
+            if what == "symbols":
+                yield pa.RecordBatch.from_arrays([path, rows["kind"], rows["name"], small(rows["start"]), small(rows["end"]), name, line, small(level)], schema=schema)
+            else:
+                yield pa.RecordBatch.from_arrays([path, rows["name"], small(rows["line"]), name, line], schema=schema)
+
+    return run
 
 
 def enclosing(spans: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -139,19 +259,17 @@ def symbols(files: DataFrame, languages: tuple[str, ...]) -> tuple[DataFrame, Da
     innermost symbol around them. Comments and strings are blanked first. A null text has none, an unknown language neither; paths are taken to be unique.
     An unclosed body ends where it is named. Null paths are dropped.
     """
-    spans, calls = [], []
-    clean = [files.where((F.col("language") == x) & F.col("path").isNotNull()).select("path", "language", code_only(F.col("content"), x).alias("code")) for x in languages]
-    clean = materialised(reduce(DataFrame.unionByName, clean), "code")  # every pattern reads it
-    for language in languages:
-        rows = clean.where(F.col("language") == language).select("path", "code")
-        own = _braced(rows, language) if language in BRACED else _indented(rows, language)
-        spans.append(own[0])
-        calls.append(own[1])
-    own, points = enclosing(materialised(reduce(DataFrame.unionByName, spans), "spans"), materialised(reduce(DataFrame.unionByName, calls), "calls"))
-    line = own.select("path", F.col("at").alias("owner_at"), F.col("start_line").alias("owner_line"))
-
-    def told(rows: DataFrame, name: str) -> DataFrame:
-        out = rows.withColumn("owner_at", F.col("owner.at")).join(line, ["path", "owner_at"], "left")
-        return out.withColumns({name: F.col("owner.name"), f"{name}_line": F.col("owner_line")})
-
-    return told(own, "parent").select("path", "kind", "name", "start_line", "end_line", "parent", "parent_line", "level"), told(points.withColumnRenamed("line", "at_line"), "by").select("path", "name", F.col("at_line").alias("line"), F.col("by").alias("owner"), F.col("by_line").alias("owner_line"))
+    def read(language: str, what: str) -> DataFrame:
+        code = code_only(F.col("content"), language)
+        rows = files.where((F.col("language") == language) & F.col("path").isNotNull() & F.col("content").isNotNull())
+        if language in BRACED:
+            patterns = [*BRACED[language], ("call", _CALL)]
+            # a row of its own, so that the text is cleaned once and not for each pattern
+            rows = rows.select("path", F.explode(F.array(F.concat(F.translate(code, "\0\x01", "\x02\x02"), F.lit("\n")))).alias("code"))
+            rows = rows.select("path", "code", *[_hits(p).alias(f"h{i}") for i, (_, p) in enumerate(patterns)])
+        else:
+            patterns = INDENTED[language]
+            rows = rows.select("path", F.explode(F.array(code)).alias("code")).select("path", _lines(language).alias("lines"))
+        return rows.mapInArrow(_reader([kind for kind, _ in patterns], language in BRACED, what), _TOLD[what][0])
+
+    return tuple(reduce(DataFrame.unionByName, [read(x, what) for x in languages]) for what in ("symbols", "calls"))

@@ -15,9 +15,11 @@ def source_files(s, d):
     """(path, language, content): a Java class for each order, a Python class for each brand and size of parts, a Go type with its methods for each supplier."""
     text = lambda *x: F.concat(*[c.cast("string") if not isinstance(c, str) else F.lit(c) for c in x])
     listed = lambda order, x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), x.alias("x")))), lambda e: e["x"]), "")
-    n, key = F.col("l_linenumber"), F.col("l_orderkey")
-    method = text("  public int line_", n, "(int a) {\n    if (a > 0) { part_", F.col("l_partkey"), "(\"{ ghost(\"); }\n    // void no() {\n    return supply(a);\n  }\n")
-    java = b.table(s, d, "lineitem").groupBy("l_orderkey").agg(listed("l_linenumber", method).alias("body"))
+    key = F.col("l_orderkey")
+    # lines are gathered as numbers; texts of equal numbers are in order of their parts
+    method = lambda e: F.concat(F.lit("  public int line_"), e["n"].cast("string"), F.lit("(int a) {\n    if (a > 0) { part_"), e["p"], F.lit("(\"{ ghost(\"); }\n    // void no() {\n    return supply(a);\n  }\n"))
+    lines = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("string").alias("p"))))
+    java = b.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(lines, method), "").alias("body"))
     java = java.select(text("orders/o", key, ".java").alias("path"), F.lit("java").alias("language"), text("/* class Ghost { */\npublic class Order_", key, " {\n", F.col("body"), "  interface Part { void find(int a); }\n}\n").alias("content"))
     member = text("    def part_", F.col("p_partkey"), "(self, a):\n        if a:\n            size_", F.col("p_size"), "(a)\n\n        return \"def ghost():\"\n")
     python = b.table(s, d, "part").groupBy("p_brand", "p_size").agg(listed("p_partkey", member).alias("body"))

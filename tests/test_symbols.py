@@ -120,3 +120,17 @@ def test_broken_files(found):
     assert {s[:4] for s in found[0]["open.java"]} == {("class", "Open", 1, 1), ("method", "a", 2, 2)}
     assert found[0]["shut.java"] == {("class", "Shut", 1, 1, None, None)}
     assert not {"none.java", "x.txt", None} & set(found[0])
+
+
+def test_nothing_of_a_file_is_shuffled(spark):
+    files = spark.createDataFrame([("a.java", "java", JAVA), ("b.py", "python", PY)], "path string, language string, content string")
+    for rows in symbols.symbols(files, ("java", "python")):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_places_are_counted_in_characters(spark):
+    text = "class \0A {\n  /* é😀 */ void é() { go(1); }\n  void b() { é😀; run(2); }\n}\n"
+    own, calls = symbols.symbols(spark.createDataFrame([("a.java", "java", text)], "path string, language string, content string"), ("java",))
+    assert {tuple(r) for r in own.collect()} >= {("a.java", "method", "b", 3, 3, None, None, 0)}
+    assert {tuple(r) for r in calls.select("name", "line", "owner").collect()} >= {("run", 3, "b")}
