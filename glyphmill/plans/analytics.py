@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import score, text, vector
-from glyphmill.operators import graph, ordered
+from glyphmill.operators import graph, ordered, resolution
 from glyphmill.operators.storage import materialised
 from glyphmill.plans import bindings as b
 from glyphmill.plans.registry import query
@@ -417,11 +417,8 @@ def exact_name(s, d):
 
 @query("resolve_best_match", f"WITH c AS (SELECT a.id AS ref, z.id AS target, CASE WHEN a.file_path = z.file_path THEN 100 ELSE 0 END + CASE WHEN a.language = z.language THEN 50 ELSE -80 END + CASE WHEN z.is_exported THEN 10 ELSE 0 END + greatest(0, 20 - abs(a.start_line - z.start_line) // 10) AS points FROM {N} a JOIN {N} z ON a.name = z.name AND a.id <> z.id WHERE a.kind = 'function' AND z.kind = 'function') SELECT ref, target, points::INTEGER AS points FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY points DESC, target) AS rn FROM c) WHERE rn = 1 AND points > -1")
 def best_match(s, d):
-    n = b.nodes(s, d).where("kind = 'function'").select("id", "name", "file_path", "language", "start_line", "is_exported")
-    a, z = n.toDF("ref", "name", "fa", "la", "sa", "xa"), n.toDF("target", "name", "fz", "lz", "sz", "xz")
-    points = F.when(F.col("fa") == F.col("fz"), 100).otherwise(0) + F.when(F.col("la") == F.col("lz"), 50).otherwise(-80) + F.when(F.col("xz"), 10).otherwise(0) + F.greatest(F.lit(0), F.lit(20) - F.floor(F.abs(F.col("sa") - F.col("sz")) / 10).cast("int"))
-    c = a.join(z, "name").where("ref <> target").select("ref", "target", points.cast("int").alias("points"))
-    return graph.first_by(c, ["ref"], [F.desc("points"), F.col("target")]).where("points > -1")
+    n = b.nodes(s, d).where("kind = 'function'").select("id", "name", "file_path", "language", "start_line", F.coalesce("is_exported", F.lit(False)).alias("is_exported"))
+    return resolution.best_homonyms(n)
 
 
 @query("resolve_fuzzy_name", f"SELECT lower(name) AS low, count(*)::BIGINT AS n, CASE WHEN count(*) = 1 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM {N} GROUP BY 1")
